@@ -117,17 +117,15 @@ def attach(
     their list can be broadcast whatever the data size. Facts of a hot key are spread over
     `salts` tasks and its single row is copied to each; all other keys join once.
     """
-    total = per_key.agg(F.sum(size)).scalar()
-    hot = per_key.where((F.col(size) > min_rows) & (F.col(size) > total / share)).select(
-        key, F.lit(True).alias("_hot")
-    )
+    is_hot = F.col(size) > F.greatest(F.lit(min_rows), per_key.agg(F.sum(size)).scalar() / share)
+    hot = per_key.where(is_hot).select(key, F.lit(True).alias("_hot"))
     spread = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
     left = facts.join(F.broadcast(hot), key, "left").withColumn(
         "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))
     )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = per_key.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies))
-    return left.drop("_hot").join(right.drop("_hot"), [key, "_salt"], how).drop("_salt")
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = per_key.withColumn("_salt", F.explode(copies))
+    return left.drop("_hot").join(right, [key, "_salt"], how).drop("_salt")
 
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], buckets: int = 4096) -> DataFrame:
