@@ -83,11 +83,20 @@ def tokens(text: Column, strip_accents: bool = True) -> Column:
 
 
 def ngrams(words: Column, low: int, high: int) -> Column:
-    """All runs of `low`..`high` neighbouring words, joined by a space."""
-    parts = []
-    for n in range(low, high + 1):
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, F.lit(n)), " ")))
-    return F.concat(*parts)
+    """All runs of `low`..`high` neighbouring words, joined by a space.
+
+    The word array is bound once: inside a lambda a plain expression would be computed
+    again for every position.
+    """
+    if (low, high) == (1, 1):
+        return words
+
+    def runs(bound: Column) -> Column:
+        parts = []
+        for n in range(low, high + 1):
+            starts = F.when(F.size(bound) >= n, F.sequence(F.lit(1), F.size(bound) - (n - 1)))
+            run = F.transform(starts, lambda i, n=n: F.array_join(F.slice(bound, i, F.lit(n)), " "))
+            parts.append(F.coalesce(run, F.array().cast("array<string>")))
+        return F.concat(*parts)
+
+    return F.flatten(F.transform(F.array(words), runs))

@@ -1,37 +1,36 @@
-"""Arithmetic on array columns, written out per element so that it is compiled."""
+"""Arithmetic on array columns.
 
-from __future__ import annotations
+Products run as loops over arrays: written out per element they compile to methods too
+long for the JVM's compiler. Element-wise sums are separate aggregates, so partial sums
+combine before a shuffle.
+"""
 
-from functools import reduce
-from operator import add
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def elements(vector: Column, dim: int) -> list[Column]:
-    return [F.get(vector, F.lit(i)) for i in range(dim)]
-
-
-def dot(a: Column, b: Column, dim: int) -> Column:
-    return reduce(add, [x * y for x, y in zip(elements(a, dim), elements(b, dim))])
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
 
 
-def norm(a: Column, dim: int) -> Column:
-    return F.sqrt(dot(a, a, dim))
+def scale(a: Column, factor: Column) -> Column:
+    return F.transform(a, lambda x: x * factor)
 
 
-def cosine(a: Column, b: Column, dim: int) -> Column:
-    lengths = norm(a, dim) * norm(b, dim)
-    return F.when(lengths > 0, dot(a, b, dim) / lengths).otherwise(F.lit(0.0))
+def unit(a: Column) -> Column:
+    """The vector at length 1; a zero vector stays zero. The length is bound once."""
+    length = F.sqrt(dot(a, a))
+    safe = F.transform(F.array(F.when(length > 0, length).otherwise(F.lit(1.0))), lambda n: F.transform(a, lambda x: x / n))
+    return F.get(safe, F.lit(0))
 
 
-def vector_sum(vector: Column, dim: int, weight: Column | None = None) -> Column:
-    """Aggregate: element-wise sum, optionally weighted; partial sums combine map-side."""
-    return F.array(*[F.sum(x if weight is None else x * weight) for x in elements(vector, dim)])
+def vector_sum(vector: Column, dim: int) -> Column:
+    """Aggregate: element-wise sum."""
+    return F.array(*[F.sum(F.get(vector, F.lit(i))) for i in range(dim)])
 
 
-def mix(a: Column, b: Column, dim: int, wa: float, wb: float) -> Column:
+def mix(a: Column, b: Column, wa: float, wb: float) -> Column:
     """(wa·a + wb·b) / (wa + wb)"""
-    pairs = zip(elements(a, dim), elements(b, dim))
-    return F.array(*[(x * wa + y * wb) / (wa + wb) for x, y in pairs])
+    return F.zip_with(a, b, lambda x, y: (x * wa + y * wb) / (wa + wb))

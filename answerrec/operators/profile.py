@@ -144,7 +144,7 @@ def word_length(text: Column, empty_as_zero: bool = False) -> Column:
 
 def word_frequency(df: DataFrame, text: str, max_words: int = 5000, stop_words: Sequence[str] = ()) -> DataFrame:
     """The most frequent words, ties in word order."""
-    words = df.select(F.explode(tokens(F.col(text))).alias("word"))
+    words = df.select(F.explode_outer(tokens(F.col(text))).alias("word")).where("word is not null")
     if stop_words:
         words = words.where(~F.col("word").isin(*stop_words))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("occurrences"))
