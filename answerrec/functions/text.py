@@ -91,12 +91,10 @@ def ngrams(words: Column, low: int, high: int) -> Column:
     if (low, high) == (1, 1):
         return words
 
-    def runs(bound: Column) -> Column:
-        parts = []
-        for n in range(low, high + 1):
-            starts = F.when(F.size(bound) >= n, F.sequence(F.lit(1), F.size(bound) - (n - 1)))
-            run = F.transform(starts, lambda i, n=n: F.array_join(F.slice(bound, i, F.lit(n)), " "))
-            parts.append(F.coalesce(run, F.array().cast("array<string>")))
-        return F.concat(*parts)
-
-    return F.flatten(F.transform(F.array(words), runs))
+    def runs_of(bound: Column, n: int) -> Column:
+        starts = F.when(F.size(bound) >= n, F.sequence(F.lit(1), F.size(bound) - (n - 1)))
+        run = F.transform(starts, lambda i: F.array_join(F.slice(bound, i, F.lit(n)), " "))
+        return F.coalesce(run, F.array().cast("array<string>"))
+
+    every = F.transform(F.array(words), lambda bound: F.concat(*[runs_of(bound, n) for n in range(low, high + 1)]))
+    return F.flatten(every)

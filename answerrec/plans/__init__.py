@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import ModuleType
 
-GROUPS = ["prep", "split", "profile", "text", "keyrank", "features"]
+GROUPS = ["prep", "split", "profile", "text", "keyrank", "features", "rank"]
 
 
 def load_catalogue() -> ModuleType:
