@@ -20,6 +20,7 @@ from answerrec.operators.skew import attach
 
 QUESTION_BLOCK = 2048
 USER_BLOCK = 8192
+HELD_PER_PART = 4096  # held-out pairs of one question that travel together
 ROWS_AT_ONCE = 256  # rows of a block multiplied at once: 256 x 8192 doubles are 16 MB
 
 # kinds of rows that meet in one pair of blocks
@@ -65,11 +66,12 @@ def _cells(
     """Rows of all block pairs: each question goes to every user block and each user to
     every question block; a known pair goes to the one block pair that scores it.
 
-    Blocks are hash buckets, so their sizes are even and no id list is collected.
+    Blocks are hash buckets of question parts and of users, so their sizes are even and no
+    id list is collected. `questions`, `seen` and `held` carry the column `part`.
     """
     q_blocks = _blocks(questions.agg(F.count(F.lit(1))).scalar(), question_block)
     u_blocks = _blocks(users.agg(F.count(F.lit(1))).scalar(), user_block)
-    qb = F.pmod(F.xxhash64("question_id"), q_blocks).cast("int")
+    qb = F.pmod(F.xxhash64("question_id", "part"), q_blocks).cast("int")
     ub = F.pmod(F.xxhash64("user_id"), u_blocks).cast("int")
     every_q = F.explode(F.sequence(F.lit(0), q_blocks - 1))
     every_u = F.explode(F.sequence(F.lit(0), u_blocks - 1))
@@ -86,8 +88,7 @@ def _cells(
     cells = shaped(questions, QUESTION, qb, every_u, question, no_id, F.col("vector"), zero)
     cells = cells.unionAll(shaped(users, USER, every_q, ub, no_id, user, F.col("vector"), F.col("bias")))
     if seen is not None:
-        known = seen.select("question_id", "user_id").distinct()
-        cells = cells.unionAll(shaped(known, SEEN, qb, ub, question, user, no_vector, zero))
+        cells = cells.unionAll(shaped(seen, SEEN, qb, ub, question, user, no_vector, zero))
     if held is not None:
         # the held-out score travels in `bias` to all user blocks of its question
         cells = cells.unionAll(shaped(held, HELD, qb, every_u, question, user, no_vector, F.col("score")))
@@ -97,7 +98,8 @@ def _cells(
 def _score_block(cell: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, Callable[[int, int], np.ndarray]]:
     """Questions and user ids of a block pair, and a function that scores a few questions;
     known pairs score NaN. Users stand in id order."""
-    questions = cell[cell["kind"] == QUESTION].sort_values("question_id", ignore_index=True)
+    questions = cell[cell["kind"] == QUESTION].drop_duplicates("question_id")
+    questions = questions.sort_values("question_id", ignore_index=True)
     users = cell[cell["kind"] == USER].sort_values("user_id", ignore_index=True)
     if questions.empty or users.empty:
         return questions, np.empty(0, dtype=np.int64), lambda start, end: np.empty((end - start, 0))
@@ -156,7 +158,10 @@ def top_users(
         empty = pd.DataFrame({"question_id": [], "user_id": [], "score": []})
         return pd.concat(parts, ignore_index=True) if parts else empty
 
-    cells = _cells(questions, users, exclude_seen, None, question_block, user_block)
+    whole = questions.withColumn("part", F.lit(0))
+    if exclude_seen is not None:
+        exclude_seen = exclude_seen.select("question_id", "user_id").distinct().withColumn("part", F.lit(0))
+    cells = _cells(whole, users, exclude_seen, None, question_block, user_block)
     found = cells.groupBy("qb", "ub").applyInPandas(best, "question_id long, user_id long, score double")
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "user_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -175,6 +180,7 @@ def held_out_positions(
     seen: DataFrame | None = None,
     question_block: int = QUESTION_BLOCK,
     user_block: int = USER_BLOCK,
+    held_per_part: int = HELD_PER_PART,
 ) -> DataFrame:
     """For each held-out pair, where its user stands among all users not seen with the
     question: `below` (lower scores), `equal` (same score, itself included), `ahead`
@@ -186,10 +192,19 @@ def held_out_positions(
     if seen is not None:
         # only pairs of held-out questions matter
         asked = pairs.select("question_id").distinct()
-        seen = seen.select("question_id", "user_id").join(asked, "question_id", "left_semi")
+        seen = seen.select("question_id", "user_id").distinct().join(asked, "question_id", "left_semi")
         pairs = pairs.join(seen, ["question_id", "user_id"], "left_anti")
     scored = score_pairs(pairs, questions, users)
-    questions = questions.join(scored.select("question_id").distinct(), "question_id", "left_semi")
+    # a question with very many held-out pairs is split into parts that meet all users each
+    parts = scored.groupBy("question_id").agg(F.count(F.lit(1)).alias("_held"))
+    parts = parts.withColumn("_parts", F.ceil(F.col("_held") / held_per_part).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    questions = questions.join(parts, "question_id").withColumn("part", every)
+    one = F.pmod(F.xxhash64("user_id"), F.col("_parts")).cast("int")
+    scored = attach(scored, parts, "question_id", size="_held").withColumn("part", one)
+    if seen is not None:
+        sizes = seen.groupBy("question_id").agg(F.count(F.lit(1)).alias("_seen")).join(parts, "question_id")
+        seen = attach(seen, sizes, "question_id", size="_seen").withColumn("part", every)
 
     def count(cell: pd.DataFrame) -> pd.DataFrame:
         found, ids, scores = _score_block(cell)

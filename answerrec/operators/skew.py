@@ -100,32 +100,43 @@ def first_by_hash(
     return first_rows(hashed, keys, bucket, [F.col("_h"), *map(F.col, cols)], quota, quotas).drop("_h")
 
 
-def attach(
-    facts: DataFrame,
-    per_key: DataFrame,
-    key: str,
-    size: str,
-    how: str = "inner",
-    salts: int = 64,
-    share: int = 1000,
-    min_rows: int = 1_000_000,
+def with_copies(
+    per_key: DataFrame, size: str, salts: int = 64, share: int = 1000, min_rows: int = 1_000_000
 ) -> DataFrame:
+    """Add `_copies` to a table with one row per key: `salts` for hot keys, else 1.
+
+    `size` is the number of fact rows of the key. A key with more than 1/share of all rows
+    is hot, so there are fewer than `share` hot keys whatever the data size.
+    """
+    total = per_key.agg(F.sum(size)).scalar()
+    hot = F.col(size) > F.greatest(F.lit(min_rows), total / share)
+    return per_key.withColumn("_copies", F.when(hot, F.lit(salts)).otherwise(F.lit(1)))
+
+
+def salted(facts: DataFrame, per_key: DataFrame, key: str, name: str = "_salt") -> DataFrame:
+    """Add a salt to facts: rows of a hot key spread evenly, all others get 0.
+
+    Only the hot keys, a bounded list, are broadcast.
+    """
+    hot = per_key.where(F.col("_copies") > 1).select(key, F.col("_copies").alias("_spread"))
+    spread = F.pmod(F.xxhash64(*facts.columns), F.coalesce("_spread", F.lit(1))).cast("int")
+    return facts.join(F.broadcast(hot), key, "left").withColumn(name, spread).drop("_spread")
+
+
+def join_salted(facts: DataFrame, per_key: DataFrame, key: str, name: str = "_salt", how: str = "inner") -> DataFrame:
+    """Join salted facts with the row of their key, copied once per salt of a hot key."""
+    copied = per_key.withColumn(name, F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
+    return facts.join(copied, [key, name], how).drop(name)
+
+
+def attach(facts: DataFrame, per_key: DataFrame, key: str, size: str, how: str = "inner", **limits: int) -> DataFrame:
     """Join a table with one row per key onto facts in which some keys are hot.
 
-    `size` is a column of `per_key` with the number of fact rows of the key. Keys with
-    more than 1/share of all rows are hot, so there are fewer than `share` of them and
-    their list can be broadcast whatever the data size. Facts of a hot key are spread over
-    `salts` tasks and its single row is copied to each; all other keys join once.
+    `size` is a column of `per_key` with the number of fact rows of the key; `limits` are
+    those of `with_copies`.
     """
-    is_hot = F.col(size) > F.greatest(F.lit(min_rows), per_key.agg(F.sum(size)).scalar() / share)
-    hot = per_key.where(is_hot).select(key, F.lit(True).alias("_hot"))
-    spread = F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
-    left = facts.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))
-    )
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = per_key.withColumn("_salt", F.explode(copies))
-    return left.drop("_hot").join(right, [key, "_salt"], how).drop("_salt")
+    per_key = with_copies(per_key, size, **limits)
+    return join_salted(salted(facts, per_key, key), per_key, key, how=how)
 
 
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], buckets: int = 4096) -> DataFrame:
