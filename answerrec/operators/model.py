@@ -83,17 +83,14 @@ class RankingModel:
     def _with_last(self, last: float) -> Column:
         return F.concat(F.slice("vector", 1, self.options.components), F.array(F.lit(last)))
 
-    def question_vectors(self) -> DataFrame:
-        rows = self.vectors().where(~_is_user())
-        vector = F.slice("vector", 1, self.options.components).alias("vector")
-        return rows.select((F.col("node") / 2).cast("bigint").alias("question_id"), vector)
-
-    def user_vectors(self) -> DataFrame:
-        """Item representations: `(user_id, vector, bias)`."""
-        rows = self.vectors().where(_is_user())
+    def sides(self) -> tuple[DataFrame, DataFrame]:
+        """Item representations of both sides, computed and written once:
+        `(question_id, vector)` and `(user_id, vector, bias)`."""
+        rows = materialize(self.vectors(), "representations")
         vector = F.slice("vector", 1, self.options.components).alias("vector")
         bias = F.get("vector", F.lit(self.options.components)).alias("bias")
-        return rows.select(((F.col("node") - 1) / 2).cast("bigint").alias("user_id"), vector, bias)
+        questions = rows.where(~_is_user()).select(F.shiftright("node", 1).alias("question_id"), vector)
+        return questions, rows.where(_is_user()).select(F.shiftright("node", 1).alias("user_id"), vector, bias)
 
 
 def new_model(question_features: DataFrame, user_features: DataFrame, options: Options = Options()) -> RankingModel:
@@ -248,7 +245,8 @@ def _epoch(model: RankingModel, training: _Training, epoch: int) -> RankingModel
 
 def positions(model: RankingModel, held: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Where the held-out users stand; see `held_out_positions`."""
-    return held_out_positions(model.question_vectors(), model.user_vectors(), held, seen)
+    questions, users = model.sides()
+    return held_out_positions(questions, users, held, seen)
 
 
 def evaluate(

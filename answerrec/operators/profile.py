@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from answerrec.errors import need_columns, need_option
 from answerrec.functions.text import tokens
 from answerrec.operators.skew import quantiles
+from answerrec.session import spread
 
 DECILES = [i / 10 for i in range(1, 10)]
 
@@ -144,7 +145,8 @@ def word_length(text: Column, empty_as_zero: bool = False) -> Column:
 
 def word_frequency(df: DataFrame, text: str, max_words: int = 5000, stop_words: Sequence[str] = ()) -> DataFrame:
     """The most frequent words, ties in word order."""
-    words = df.select(F.explode_outer(tokens(F.col(text))).alias("word")).where("word is not null")
+    words = spread(df.select(text)).select(F.explode_outer(tokens(F.col(text))).alias("word"))
+    words = words.where(F.col("word").isNotNull())
     if stop_words:
         words = words.where(~F.col("word").isin(*stop_words))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("occurrences"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from answerrec.errors import need_columns
 from answerrec.functions.vectors import dot
 from answerrec.operators.skew import attach
+from answerrec.session import materialize
 
 QUESTION_BLOCK = 2048
 USER_BLOCK = 8192
@@ -194,7 +195,8 @@ def held_out_positions(
         asked = pairs.select("question_id").distinct()
         seen = seen.select("question_id", "user_id").distinct().join(asked, "question_id", "left_semi")
         pairs = pairs.join(seen, ["question_id", "user_id"], "left_anti")
-    scored = score_pairs(pairs, questions, users)
+    # the scored pairs feed three branches below, so they are computed once
+    scored = materialize(score_pairs(pairs, questions, users), "held-scores")
     # a question with very many held-out pairs is split into parts that meet all users each
     parts = scored.groupBy("question_id").agg(F.count(F.lit(1)).alias("_held"))
     parts = parts.withColumn("_parts", F.ceil(F.col("_held") / held_per_part).cast("int"))

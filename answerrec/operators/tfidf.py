@@ -13,6 +13,7 @@ from answerrec.functions.stem import stem
 from answerrec.functions.text import clean_text, tokens
 from answerrec.operators.prep import tag_columns
 from answerrec.operators.skew import attach
+from answerrec.session import materialize, spread
 
 STEMS = ["none", "stemmer", "lemmatizer"]
 
@@ -54,19 +55,25 @@ class Tfidf:
     def term_counts(self, docs: DataFrame, doc: str, text: str) -> DataFrame:
         """Rows `(doc, term, tf)` of all terms of the cleaned texts."""
         need_columns(docs.columns, doc, text)
-        words = docs.select(doc, F.explode_outer(tokens(clean_text(F.col(text)), self.strip_accents)).alias("term")).where("term is not null")
+        words = tokens(clean_text(F.col(text)), self.strip_accents)
+        # explode_outer: explode would add a filter that computes all tokens a second time
+        words = spread(docs.select(doc, text)).select(doc, F.explode_outer(words).alias("term"))
+        words = words.where(F.col("term").isNotNull())
         if self.stem == "none" or not self.stop_after_stem_only:
             words = without(words, self.stop_words)
         counts = words.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
         if self.stem == "none":
             return counts
-        # each distinct word is normalised once, then joined back to its documents
+        # each distinct word is normalised once, on all cores, and written for the branches
+        # of the join that takes it back to its documents
+        counts = materialize(counts, "term-counts")
         vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_docs"))
+        vocabulary = vocabulary.repartition(docs.sparkSession.sparkContext.defaultParallelism, "term")
         if self.stem == "stemmer":
             vocabulary = vocabulary.withColumn("form", stem("term"))
         else:
             vocabulary = lemmas(vocabulary, self.lexicon)
-        vocabulary = without(vocabulary, self.stop_words, "form")
+        vocabulary = without(materialize(vocabulary, "vocabulary"), self.stop_words, "form")
         formed = attach(counts, vocabulary, "term", size="_docs")
         return formed.groupBy(doc, F.col("form").alias("term")).agg(F.sum("tf").alias("tf"))
 
