@@ -142,7 +142,8 @@ def top_users(
 
     def best(cell: pd.DataFrame) -> pd.DataFrame:
         found, ids, scores = _score_block(cell)
-        parts = []
+        question_ids = found["question_id"].to_numpy(dtype=np.int64)
+        owners, chosen, values = [], [], []
         for start in range(0, len(found) if len(ids) else 0, ROWS_AT_ONCE):
             end = min(start + ROWS_AT_ONCE, len(found))
             block = scores(start, end)
@@ -153,11 +154,11 @@ def top_users(
             for i, row in enumerate(block):
                 at = np.flatnonzero((row >= limit[i]) & np.isfinite(row))
                 at = at[np.argsort(-row[at], kind="stable")][:k]
-                parts.append(
-                    pd.DataFrame({"question_id": found["question_id"].iat[start + i], "user_id": ids[at], "score": row[at]})
-                )
-        empty = pd.DataFrame({"question_id": [], "user_id": [], "score": []})
-        return pd.concat(parts, ignore_index=True) if parts else empty
+                owners.append(np.full(len(at), question_ids[start + i]))
+                chosen.append(ids[at])
+                values.append(row[at])
+        joined = [np.concatenate(c) if c else np.empty(0) for c in (owners, chosen, values)]
+        return pd.DataFrame(dict(zip(["question_id", "user_id", "score"], joined)))
 
     whole = questions.withColumn("part", F.lit(0))
     if exclude_seen is not None:

@@ -78,10 +78,10 @@ class Tfidf:
         return formed.groupBy(doc, F.col("form").alias("term")).agg(F.sum("tf").alias("tf"))
 
     def fit(self, docs: DataFrame, doc: str, text: str) -> TfidfModel:
-        counts = self.term_counts(docs, doc, text)
+        counts = materialize(self.term_counts(docs, doc, text), "term-counts")
         total = docs.agg(F.count(F.lit(1))).scalar()
         terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= self.min_df)
-        return TfidfModel(self, terms.withColumn("idf", self.idf(F.col("df"), total)))
+        return TfidfModel(self, terms.withColumn("idf", self.idf(F.col("df"), total)), (docs, doc, text), counts)
 
     def idf(self, df: Column, total: Column) -> Column:
         if not self.use_idf:
@@ -92,17 +92,24 @@ class Tfidf:
 
 @dataclass(frozen=True)
 class TfidfModel:
-    """Fitted `(term, df, idf)` table; documents not seen when fitting use the same idf."""
+    """Fitted `(term, df, idf)` table; documents not seen when fitting use the same idf.
+
+    The term counts of the fitted documents are kept, so that their texts are read once.
+    """
 
     options: Tfidf
     terms: DataFrame
+    fitted: tuple[DataFrame, str, str]
+    counts: DataFrame
 
     def vocabulary(self) -> DataFrame:
         return self.terms.select("term").orderBy("term")
 
     def weights(self, docs: DataFrame, doc: str, text: str) -> DataFrame:
         """Rows `(doc, term, tf, weight)`; terms outside the vocabulary are left out."""
-        known = attach(self.options.term_counts(docs, doc, text), self.terms, "term", size="df")
+        same = docs is self.fitted[0] and (doc, text) == self.fitted[1:]
+        counts = self.counts if same else self.options.term_counts(docs, doc, text)
+        known = attach(counts, self.terms, "term", size="df")
         tf = F.log(F.col("tf")) + 1 if self.options.sublinear_tf else F.col("tf")
         raw = known.select(doc, "term", "tf", (tf * F.col("idf")).alias("weight"))
         whole = Window.partitionBy(doc)

@@ -82,13 +82,14 @@ def event_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.event_pairs(spark, sf_dir).select("question_id").distinct().select("question_id", vector(q % 7, q % 5 + 1))
 
 
-HELD_OUT = (F.col("question_id") * 31 + F.col("user_id") * 17) % 5 == 0
+def held_out() -> F.Column:
+    return (F.col("question_id") * 31 + F.col("user_id") * 17) % 5 == 0
 
 
 def event_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = views.event_pairs(spark, sf_dir)
     return scoring.held_out_positions(
-        event_questions(spark, sf_dir), event_users(spark, sf_dir), pairs.where(HELD_OUT), pairs.where(~HELD_OUT)
+        event_questions(spark, sf_dir), event_users(spark, sf_dir), pairs.where(held_out()), pairs.where(~held_out())
     )
 
 

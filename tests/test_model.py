@@ -107,3 +107,17 @@ def test_constant_scores_give_half(spark):
     held = spark.range(5).selectExpr("id as question_id", "id + 3 as user_id")
     found = metrics.question_metrics(scoring.held_out_positions(vectors, users, held)).collect()
     assert [r.auc for r in found] == [0.5] * 5
+
+
+def test_training_continues_and_repeats(planted):
+    train, _, questions, users = planted
+    start = model.new_model(*features(questions, users, []), model.Options(components=3, loss="bpr", batches=1))
+    once = model.fit(start, train, epochs=1)
+    again = model.fit(start, train.repartition(3), epochs=1)
+    further = model.fit(once, train, epochs=1, first_epoch=1)
+
+    def values(m):
+        return {r.feature: [round(x, 9) for x in r.vector] for r in m.factors.collect()}
+
+    assert values(once) == values(again)
+    assert values(further) != values(once)

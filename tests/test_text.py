@@ -110,3 +110,19 @@ def test_candidate_filters(spark):
     assert only(allowed=spark.createDataFrame([("cat",)], "term string")) == {(1, "cat")}
     nouns = spark.createDataFrame([("dog", "NOUN"), ("red", "ADJ")], "token string, pos string")
     assert only(nouns=nouns) == {(2, "dog")}
+
+
+def test_unseen_documents_use_fitted_frequencies(spark):
+    docs = spark.createDataFrame(DOCS, "id long, t string")
+    model = Tfidf(stem="none", norm=None).fit(docs, "id", "t")
+    new = spark.createDataFrame([(9, "spark unknown sorts")], "id long, t string")
+    found = {r.term: r.weight for r in model.weights(new, "id", "t").collect()}
+    known = {r.term: r.idf for r in model.terms.collect()}
+    assert found == {"spark": pytest.approx(known["spark"]), "sorts": pytest.approx(known["sorts"])}
+
+
+def test_weights_follow_the_text_column(spark):
+    docs = spark.createDataFrame([(1, "aa bb", "bb cc")], "id long, t string, other string")
+    model = Tfidf(stem="none").fit(docs, "id", "t")
+    assert {r.term for r in model.weights(docs, "id", "t").collect()} == {"aa", "bb"}
+    assert {r.term for r in model.weights(docs, "id", "other").collect()} == {"bb"}
