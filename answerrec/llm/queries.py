@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from answerrec.llm.base import fold, table
 from answerrec.llm.bpe import decode_ids, encode_texts
+from answerrec.llm.decontam import find_items
 from answerrec.llm.langid import identify, train_languages
 from answerrec.llm.lines import dedup_lines
 from answerrec.llm.neardup import near_duplicates
@@ -51,6 +52,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items = F.transform("found", lambda f: f["item_id"])
+    return found.select("doc_id", F.size("found").cast("long").alias("n_items"), items.alias("item_ids"), F.transform("found", lambda f: f["distance"]).alias("distances"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -78,6 +85,6 @@ from marked group by doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
-    for q in (op1_toxicity, op3_bpe, op5_quality, op6_line_dedup, op7_language, op10_near_duplicates)
+    for q in (op1_toxicity, op3_bpe, op5_quality, op6_line_dedup, op7_language, op8_decontamination, op10_near_duplicates)
 }
 ORACLES = {"op6_line_dedup": OP6_SQL}
