@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from answerrec.llm.grams import runs
 
-CACHED_CHUNKS = 800_000
+CACHED_CHUNKS = 300_000
 _loaded: dict[bytes, "Vocabulary"] = {}
 
 
@@ -305,26 +305,31 @@ def vocabulary(text: bytes) -> Vocabulary:
     return _loaded[text]
 
 
-def encode_texts(docs: DataFrame, path: str) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, decode: bool = False) -> DataFrame:
     """Adds `ids` (binary: token ids as little-endian unsigned 32-bit integers) and `n_tokens`.
 
     The ids are those of the tokenizers library with the vocabulary file at `path` on the
-    driver and without added special tokens; special tokens written in a text are found. A
-    null text counts as empty and gives no ids. Repeated rows give repeated results, an empty
-    table an empty one. Whole texts are encoded, in a few batches of texts at a time, and
+    driver and without added special tokens; special tokens written in a text are found. With
+    `decode`, the ids are decoded again by the same worker, into `decoded`. A null text counts
+    as empty and gives no ids. Repeated rows give repeated results, an empty table an empty
+    one. Columns of these names are replaced. Whole texts are encoded, some at a time, and
     nothing is shuffled. The vocabulary travels once, as a broadcast of the size of its file.
     """
     with open(path, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
 
-    @F.pandas_udf(T.BinaryType())
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("ids binary, decoded string")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words = vocabulary(shared.value)
         for texts in batches:
-            plain = texts.fillna("").tolist()
-            yield pd.Series([x for i in range(0, len(plain), 256) for x in words.encode(plain[i : i + 256])], dtype=object)
-
-    return docs.withColumn("ids", encode("text")).withColumn("n_tokens", F.octet_length("ids").cast("long") / 4).withColumn("n_tokens", F.col("n_tokens").cast("long"))
+            ids: list[bytes] = []
+            for at in range(0, len(texts), 256):
+                ids += words.encode(texts[at : at + 256].fillna("").tolist())
+            yield pd.DataFrame({"ids": ids, "decoded": [words.decode(x) if decode else None for x in ids]})
+
+    kept = [c for c in docs.columns if c not in ("ids", "n_tokens", *["decoded"] * decode)]
+    new = [F.col("_c.ids").alias("ids"), (F.octet_length("_c.ids") / 4).cast("long").alias("n_tokens")]
+    return docs.select(*kept, encode("text").alias("_c")).select(*kept, *new, *[F.col("_c.decoded").alias("decoded")] * decode)
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

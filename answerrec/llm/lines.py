@@ -7,6 +7,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from answerrec.llm.base import checkpoint
+
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -50,8 +52,10 @@ def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 10) -> Dat
         counted = holders.agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last")
     else:
         counted = holders.agg(F.min("_id").alias("_first"), F.count_distinct("_id").alias("_docs")).where(F.col("_docs") >= threshold)
+    # cut here: adaptive execution splits a hot line only if both sides of the join are plain shuffles
+    counted = checkpoint(counted.select("_h1", "_h2", "_first"))
     dropped = (
-        lines.join(counted.select("_h1", "_h2", "_first"), ["_h1", "_h2"])
+        lines.join(counted, ["_h1", "_h2"])
         .where("_id > _first")
         .groupBy("_id", "_version")
         .agg(F.collect_set("_at").alias("_gone"))

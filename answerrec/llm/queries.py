@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerrec.llm.base import fold, table
-from answerrec.llm.bpe import decode_ids, encode_texts
+from answerrec.llm.bpe import encode_texts
 from answerrec.llm.decontam import find_items
 from answerrec.llm.langid import identify, train_languages
 from answerrec.llm.lines import dedup_lines
 from answerrec.llm.neardup import near_duplicates
 from answerrec.llm.quality import score_quality, train_quality
+from answerrec.llm.topk import top_inner_products
 from answerrec.llm.toxicity import score_toxicity, train_toxicity
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -30,10 +31,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode_ids(encode_texts(docs, VOCABULARY), VOCABULARY)
+    coded = encode_texts(docs, VOCABULARY, decode=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train_quality(docs, table(spark, sf_dir, "labels"))
@@ -85,6 +90,20 @@ from marked group by doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
-    for q in (op1_toxicity, op3_bpe, op5_quality, op6_line_dedup, op7_language, op8_decontamination, op10_near_duplicates)
+    for q in (op1_toxicity, op3_bpe, op4_topk, op5_quality, op6_line_dedup, op7_language, op8_decontamination, op10_near_duplicates)
 }
-ORACLES = {"op6_line_dedup": OP6_SQL}
+OP4_SQL = """
+with whole as (
+    select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v
+    from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+    from whole q join whole c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id
+), ranked as (
+    select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 20
+"""
+
+ORACLES = {"op4_topk": OP4_SQL, "op6_line_dedup": OP6_SQL}
