@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerrec.llm.base import table
-from answerrec.llm.bpe import decode_ids, encode_texts
+from answerrec.llm.bpe import encode_texts
 from answerrec.llm.decontam import decontaminate
 from answerrec.llm.lines import dedup_lines
 from answerrec.llm.neardup import keep_first, near_duplicates
@@ -49,7 +49,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per document: number of tokens, and digests of the ids and of the decoded text."""
-    coded = decode_ids(encode_texts(docs.select("doc_id", "text"), VOCABULARY), VOCABULARY)
+    coded = encode_texts(docs.select("doc_id", "text"), VOCABULARY, decode=True)
     digests = F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
     return coded.select("doc_id", "n_tokens", *digests)
 
