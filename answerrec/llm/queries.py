@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from answerrec.llm.base import fold, table
 from answerrec.llm.bpe import encode_texts
 from answerrec.llm.decontam import find_items
+from answerrec.llm.html import extract_text
 from answerrec.llm.langid import identify, train_languages
+from answerrec.llm.licenses import scan_licenses, train_licenses
 from answerrec.llm.lines import dedup_lines
 from answerrec.llm.neardup import near_duplicates
 from answerrec.llm.quality import score_quality, train_quality
@@ -29,6 +31,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan_licenses(docs, train_licenses(docs))
+    return found.select("doc_id", F.size("licenses").alias("n_notices"), "licenses")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = encode_texts(docs, VOCABULARY, decode=True)
@@ -63,6 +71,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("found").cast("long").alias("n_items"), items.alias("item_ids"), F.transform("found", lambda f: f["distance"]).alias("distances"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text")
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -90,7 +102,7 @@ from marked group by doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
-    for q in (op1_toxicity, op3_bpe, op4_topk, op5_quality, op6_line_dedup, op7_language, op8_decontamination, op10_near_duplicates)
+    for q in (op1_toxicity, op2_licenses, op3_bpe, op4_topk, op5_quality, op6_line_dedup, op7_language, op8_decontamination, op9_html, op10_near_duplicates)
 }
 OP4_SQL = """
 with whole as (
