@@ -177,6 +177,35 @@ def verify(pairs: DataFrame, texts: DataFrame, weighted: bool, least: float) ->
     return pairs.select("a", "b").join(left, "a").join(right, "b").where(near("text_a", "text_b")).select("a", "b")
 
 
+def prefix_pairs(ids: DataFrame, texts: DataFrame, weighted: bool, least: float) -> DataFrame:
+    """Pairs (a, b) of different classes among the given (id, class) that can have the similarity.
+
+    Of n shingles in any common order, the first n - ceil(least x n) + 1 hold one that both
+    texts share. In the order of rarity these are mostly a text's own, so texts that share a
+    frequent passage, or differ a little too much, rarely meet. Repeated shingles count as
+    different ones if the sets are weighted.
+    """
+
+    @F.pandas_udf("array<long>")
+    def elements(batch: pd.Series) -> pd.Series:
+        out = []
+        for s, w in weighted_sets(batch.fillna("").tolist(), weighted):
+            number = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+            out.append(mix(np.repeat(s, w) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
+        return pd.Series(out, dtype=object)
+
+    rows = texts.join(ids, "id").select("id", "class", F.xxhash64("text").alias("version"), elements("text").alias("s"))
+    rows = rows.select("id", "class", "version", F.size("s").alias("n"), F.explode("s").alias("s"))
+    counts = rows.groupBy("s").agg(F.count("*").alias("df"))
+    first = F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)) + 1
+    ordered = rows.join(counts, "s").groupBy("id", "class", "version", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
+    rare = ordered.select("id", "class", "n", F.explode(F.slice("all", F.lit(1), first.cast("int"))).alias("e")).where("e.df > 1")
+    x = rare.select("e.s", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("class").alias("class_a"))
+    y = rare.select("e.s", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("class").alias("class_b"))
+    fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least)
+    return x.join(y, "s").where("class_a < class_b").where(fits).select("a", "b").distinct()
+
+
 def groups(edges: DataFrame) -> DataFrame:
     """(id, class) of every id in an edge; the class is the smallest id of its connected component.
 
@@ -196,7 +225,7 @@ def groups(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
-    """`doc_id, class_id, members` for every row of `docs`.
+    """`doc_id, class_id` for every row of `docs`.
 
     Two texts are linked if the Jaccard similarity of their sets of five-word shingles is at
     least `least` (with `weighted`, a shingle counts as often as it occurs); classes are the
@@ -208,9 +237,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool =
     gives an empty table.
 
     Buckets of equal band keys never emit all their pairs. Every bucket first compares its
-    members with the most central one, the member that shares buckets with most others. Only
-    members that are in different classes after that are compared with each other, and only
-    if their sizes allow the similarity. Signatures are read from whole texts; only the texts
+    members with the most central one, the member that shares buckets with most others. Members
+    that are in different classes after that meet by a prefix filter instead, which loses no
+    pair: only two texts that share one of their rarest shingles can be so similar. Signatures are read from whole texts; only the texts
     of candidates are shuffled a second time. Counts are combined map-side, and joins with hot
     keys are left to adaptive execution, which splits them.
     """
@@ -236,9 +265,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool =
     labelled = checkpoint(members.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id")))
     mixed = labelled.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
     rest = labelled.join(mixed, "key")
-    x = rest.select("key", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("class").alias("class_a"))
-    y = rest.select("key", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("class").alias("class_b"))
-    cross = x.join(y, "key").where("class_a < class_b").where(fits(F.col("size_a"), F.col("size_b"))).select("a", "b").distinct()
+    cross = prefix_pairs(rest.select("id", "class").distinct(), texts, weighted, least)
     tested = star.select(F.least("a", "b").alias("s"), F.greatest("a", "b").alias("t"))
     cross = cross.withColumn("s", F.least("a", "b")).withColumn("t", F.greatest("a", "b")).join(tested, ["s", "t"], "left_anti")
     more = checkpoint(verify(cross, texts, weighted, least))
@@ -248,9 +275,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool =
     own = of_doc.join(several, "doc_id").select(F.col("id").alias("a"), F.col("lo").alias("b")).where("a <> b")
     classes = groups(found.union(more).union(own))
     node_class = nodes.join(classes, "id", "left").select("fp", F.coalesce("class", "id").alias("class_id"))
-    out = sketches.select("doc_id", "fp").join(node_class, "fp", "left").select("doc_id", "class_id")
-    counts = out.groupBy("class_id").agg(F.count("*").alias("members"))
-    return out.join(counts, "class_id", "left").select("doc_id", "class_id", "members")
+    return sketches.select("doc_id", "fp").join(node_class, "fp", "left").select("doc_id", "class_id")
 
 
 def candidate_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
