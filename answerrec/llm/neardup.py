@@ -24,6 +24,7 @@ from answerrec.llm.grams import WORD, mix, packs, shingles, word_hashes
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 40, 6  # a pair at 0.8 agrees in no band with a probability of 5e-6
+LONGS = 16  # the bitmap of a text's shingles has 64 times as many bits
 LEAST = -8  # the first layer of ranks ends at 2^LEAST
 
 
@@ -183,27 +184,37 @@ def prefix_pairs(ids: DataFrame, texts: DataFrame, weighted: bool, least: float)
     Of n shingles in any common order, the first n - ceil(least x n) + 1 hold one that both
     texts share. In the order of rarity these are mostly a text's own, so texts that share a
     frequent passage, or differ a little too much, rarely meet. Repeated shingles count as
-    different ones if the sets are weighted.
+    different ones if the sets are weighted. Before a pair is made, a bitmap of the shingles
+    bounds what the two can share; the bound is exact, so it too loses no pair.
     """
 
-    @F.pandas_udf("array<long>")
-    def elements(batch: pd.Series) -> pd.Series:
-        out = []
+    @F.pandas_udf("s array<long>, bits array<long>")
+    def elements(batch: pd.Series) -> pd.DataFrame:
+        out, maps = [], []
         for s, w in weighted_sets(batch.fillna("").tolist(), weighted):
             number = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-            out.append(mix(np.repeat(s, w) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
-        return pd.Series(out, dtype=object)
-
-    rows = texts.join(ids, "id").select("id", "class", F.xxhash64("text").alias("version"), elements("text").alias("s"))
-    rows = rows.select("id", "class", "version", F.size("s").alias("n"), F.explode("s").alias("s"))
+            found = mix(np.repeat(s, w) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            flags = np.zeros(64 * LONGS, np.uint8)
+            flags[found % np.uint64(64 * LONGS)] = 1
+            out.append(found.view(np.int64))
+            maps.append(np.packbits(flags).view(np.int64))
+        return pd.DataFrame({"s": out, "bits": maps})
+
+    sets = texts.join(ids, "id").select("id", "class", F.xxhash64("text").alias("version"), elements("text").alias("e"))
+    rows = sets.select("id", "class", "version", F.size("e.s").alias("n"), "e.bits", F.explode("e.s").alias("s"))
     counts = rows.groupBy("s").agg(F.count("*").alias("df"))
+    bits = [f"bits{i}" for i in range(LONGS)]
+    rows = rows.select("id", "class", "version", "n", "s", *[F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(bits)])
     first = F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)) + 1
-    ordered = rows.join(counts, "s").groupBy("id", "class", "version", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
-    rare = ordered.select("id", "class", "n", F.explode(F.slice("all", F.lit(1), first.cast("int"))).alias("e")).where("e.df > 1")
-    x = rare.select("e.s", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("class").alias("class_a"))
-    y = rare.select("e.s", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("class").alias("class_b"))
+    ordered = rows.join(counts, "s").groupBy("id", "class", "version", "n", *bits).agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
+    rare = ordered.select("id", "class", "n", *bits, F.explode(F.slice("all", F.lit(1), first.cast("int"))).alias("e")).where("e.df > 1")
+    x, y = (rare.select("e.s", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "class", *bits)]) for side in "ab")
     fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least)
-    return x.join(y, "s").where("class_a < class_b").where(fits).select("a", "b").distinct()
+    # every bit of one text that the other lacks is a shingle that they do not share
+    only = lambda p, q: sum((F.bit_count(F.col(f"{c}_{p}").bitwiseAND(F.bitwise_not(F.col(f"{c}_{q}")))) for c in bits), F.lit(0))
+    both = F.least(F.col("n_a") - only("a", "b"), F.col("n_b") - only("b", "a"))
+    enough = both * F.lit(1 + least) >= (F.col("n_a") + F.col("n_b")) * F.lit(least) - F.lit(1e-6)
+    return x.join(y, "s").where("class_a < class_b").where(fits & enough).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def groups(edges: DataFrame) -> DataFrame:
