@@ -82,8 +82,8 @@ def score_texts(texts: list[str], direction: np.ndarray, bias: float) -> np.ndar
     return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + bias)))
 
 
-def fit_quality(rows: pd.DataFrame, size: int = 8, epochs: int = 6, batch: int = 16, rate: float = 1.0) -> Model:
-    """Stochastic gradient descent over averaged vectors."""
+def fit_quality(rows: pd.DataFrame, size: int = 8, epochs: int = 6, least_steps: int = 700, batch: int = 16, rate: float = 1.0) -> Model:
+    """Stochastic gradient descent over averaged vectors, in `epochs` rounds or more until `least_steps` batches."""
     rng = np.random.default_rng(7)
     vectors = rng.uniform(-1 / size, 1 / size, (BUCKETS, size)).astype(np.float32)
     weights, bias = np.zeros((size, 2), np.float32), np.zeros(2, np.float32)
@@ -98,6 +98,7 @@ def fit_quality(rows: pd.DataFrame, size: int = 8, epochs: int = 6, batch: int =
     share = np.bincount(label, minlength=2) / len(label)
     bias = np.log(np.maximum(share, 1e-3)).astype(np.float32)
     weights = rng.normal(0, 0.5, (size, 2)).astype(np.float32)
+    epochs = max(epochs, -(-least_steps * batch // len(rows)))  # few rows are seen more often
     steps, step = epochs * (len(rows) // batch + 1), 0
     for _ in range(epochs):
         order = rng.permutation(len(rows))
