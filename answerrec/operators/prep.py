@@ -142,7 +142,7 @@ def unpivot_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
 def display_name(metric: Column) -> Column:
     return (
         F.when(metric == "auc", "ROC AUC")
-        .when(metric == "precision", "Precision")
-        .when(metric == "recall", "Recall")
+        .when(metric.isin("precision", "prec"), "Precision")
+        .when(metric.isin("recall", "rec"), "Recall")
         .otherwise(metric)
     )

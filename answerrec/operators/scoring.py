@@ -29,12 +29,15 @@ QUESTION, USER, SEEN, HELD = 0, 1, 2, 3
 
 
 def exact(score: Column) -> Column:
-    """Cut a score to a grid of 1e-6, so that every way to compute it finds the same ties."""
-    return F.floor(score * 1e6 + 0.5) / 1e6
+    """Cut a score to single precision, so that every way to compute it finds the same ties.
+
+    The cut is relative: small scores keep their order.
+    """
+    return score.cast("float").cast("double")
 
 
 def _exact(scores: np.ndarray) -> np.ndarray:
-    return np.floor(scores * 1e6 + 0.5) / 1e6
+    return scores.astype(np.float32).astype(float)
 
 
 def score_pairs(pairs: DataFrame, questions: DataFrame, users: DataFrame) -> DataFrame:

@@ -121,8 +121,7 @@ class TfidfModel:
 
     def top_terms(self, docs: DataFrame, doc: str, text: str) -> DataFrame:
         """Rows `(doc, rank, term, weight)` of the strongest terms; ties in term order."""
-        scored = self.weights(docs, doc, text).withColumn("weight", F.round("weight", 6))
-        return top_per_document(scored, doc, "weight", self.options.top_n)
+        return top_per_document(self.weights(docs, doc, text), doc, "weight", self.options.top_n)
 
     def keywords(self, docs: DataFrame, doc: str, text: str, order: str = "desc") -> DataFrame:
         """Every document with its keyword array and `tag1..tagN`, strongest first."""

@@ -118,7 +118,7 @@ weighted as (select {doc}, term, tf, raw / {length[norm]} as weight from raw)"""
 def top_sql(doc: str = "doc_id", n: int = 5) -> str:
     return f"""
 ranked as (select * from (select {doc}, term, round(weight, 6) as weight, row_number() over (
-  partition by {doc} order by round(weight, 6) desc, term) as rank from weighted) where rank <= {n})"""
+  partition by {doc} order by weight desc, term) as rank from weighted) where rank <= {n})"""
 
 
 @register(sql_with(WORDS, KEPT, tfidf_sql("kept", "documents"), select="select doc_id, term, tf from counts"))
@@ -158,7 +158,7 @@ def tfidf_raw_unsmoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(sql_with(WORDS, KEPT, tfidf_sql("kept", "documents"), top_sql(), select="select doc_id, rank, term, weight from ranked"))
 def tfidf_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return PLAIN.fit(docs, "doc_id", "text").top_terms(docs, "doc_id", "text")
+    return PLAIN.fit(docs, "doc_id", "text").top_terms(docs, "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
 STEM_KEPT = f"""
@@ -170,7 +170,8 @@ stem_kept as (select doc_id, stem as term from words join stemmed using (word)
                    select="select doc_id, rank, term, weight from ranked"))
 def stemmed_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return Tfidf(stop_words=STOP_WORDS).fit(docs, "doc_id", "text").top_terms(docs, "doc_id", "text")
+    ranked = Tfidf(stop_words=STOP_WORDS).fit(docs, "doc_id", "text").top_terms(docs, "doc_id", "text")
+    return ranked.withColumn("weight", F.round("weight", 6))
 
 
 def tags_sql(entity: str, key: str, n: int = 5) -> str:

@@ -51,12 +51,13 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
         raise InputDataError(f"cannot read {path}") from error
 
 
-def read_delimited(spark: SparkSession, path: str, columns: list[str], encoding: str = "ISO-8859-1") -> DataFrame:
-    """A `;`-separated file with header, all text; malformed rows and undecodable bytes do
-    not stop the scan."""
+def read_delimited(spark: SparkSession, path: str, columns: list[str], encoding: str = "UTF-8") -> DataFrame:
+    """A `;`-separated file with header, all text; malformed rows do not stop the
+    scan, and bytes that cannot be decoded are dropped."""
     schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
     try:
-        return spark.read.csv(path, sep=";", header=True, schema=schema, mode="PERMISSIVE", encoding=encoding)
+        rows = spark.read.csv(path, sep=";", header=True, schema=schema, mode="PERMISSIVE", encoding=encoding)
+        return rows.select(*[F.replace(F.col(f"`{name}`"), F.lit("\ufffd"), F.lit("")).alias(name) for name in columns])
     except AnalysisException as error:
         raise InputDataError(f"cannot read {path}") from error
 
@@ -108,12 +109,13 @@ def write_run(df: DataFrame, root: str, run_id: str | None = None) -> str:
 
 
 def read_latest_run(spark: SparkSession, root: str) -> DataFrame:
-    """The newest run that finished."""
+    """The run that finished last, by the time of its success mark; of equal times the larger name."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     folder = hadoop.Path(root)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = fs.globStatus(hadoop.Path(f"{root}/run_id=*/_SUCCESS"))
-    runs = sorted(status.getPath().getParent().toString() for status in found or [])
+    done = sorted((status.getModificationTime(), status.getPath().getParent().toString()) for status in found or [])
+    runs = [path for _, path in done]
     if not runs:
         raise InputDataError(f"no finished run in {root}")
     return spark.read.parquet(runs[-1]).withColumn("run_id", F.lit(runs[-1].rsplit("run_id=", 1)[1]))
