@@ -15,6 +15,7 @@ from answerrec.llm.base import fit_in_task, fold
 from answerrec.llm.grams import packs
 
 SAMPLE_ROWS = 4_000
+BROADCAST_LANGUAGES = 10_000
 BITS = 12
 BUCKETS = 2**BITS
 UNKNOWN = "und"
@@ -147,6 +148,8 @@ def train_languages(docs: DataFrame, limit: int = SAMPLE_ROWS) -> Model:
     counts = known.groupBy("lang").count().withColumnRenamed("count", "_rows").withColumnRenamed("lang", "_lang")
     langs = max(1, counts.count())
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.col("_rows")) < max(1, limit // langs)
+    # a row per language; drawn where they lie, so texts are not shuffled by language
+    counts = F.broadcast(counts) if langs <= BROADCAST_LANGUAGES else counts
     sample = known.join(counts, F.col("lang") == F.col("_lang")).where(drawn).select("doc_id", "text", "lang")
     return fit_in_task(sample, fit_languages)
 
