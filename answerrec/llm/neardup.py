@@ -184,8 +184,10 @@ def prefix_pairs(ids: DataFrame, texts: DataFrame, weighted: bool, least: float)
     Of n shingles in any common order, the first n - ceil(least x n) + 1 hold one that both
     texts share. In the order of rarity these are mostly a text's own, so texts that share a
     frequent passage, or differ a little too much, rarely meet. Repeated shingles count as
-    different ones if the sets are weighted. Before a pair is made, a bitmap of the shingles
-    bounds what the two can share; the bound is exact, so it too loses no pair.
+    different ones if the sets are weighted. Before a pair is made, two bounds on what the two
+    can share must allow it: from the places of the shingle in both orders, as nothing before
+    the first shared shingle is shared, and from a bitmap of the shingles. Both are exact, so
+    they lose no pair.
     """
 
     @F.pandas_udf("s array<long>, bits array<long>")
@@ -207,12 +209,13 @@ def prefix_pairs(ids: DataFrame, texts: DataFrame, weighted: bool, least: float)
     rows = rows.select("id", "class", "version", "n", "s", *[F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(bits)])
     first = F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)) + 1
     ordered = rows.join(counts, "s").groupBy("id", "class", "version", "n", *bits).agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
-    rare = ordered.select("id", "class", "n", *bits, F.explode(F.slice("all", F.lit(1), first.cast("int"))).alias("e")).where("e.df > 1")
-    x, y = (rare.select("e.s", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "class", *bits)]) for side in "ab")
+    rare = ordered.select("id", "class", "n", *bits, F.posexplode(F.slice("all", F.lit(1), first.cast("int"))).alias("at", "e")).where("e.df > 1")
+    rare = rare.withColumn("left", F.col("n") - F.col("at"))
+    x, y = (rare.select("e.s", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "left", "class", *bits)]) for side in "ab")
     fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least)
     # every bit of one text that the other lacks is a shingle that they do not share
     only = lambda p, q: sum((F.bit_count(F.col(f"{c}_{p}").bitwiseAND(F.bitwise_not(F.col(f"{c}_{q}")))) for c in bits), F.lit(0))
-    both = F.least(F.col("n_a") - only("a", "b"), F.col("n_b") - only("b", "a"))
+    both = F.least("left_a", "left_b", F.col("n_a") - only("a", "b"), F.col("n_b") - only("b", "a"))
     enough = both * F.lit(1 + least) >= (F.col("n_a") + F.col("n_b")) * F.lit(least) - F.lit(1e-6)
     return x.join(y, "s").where("class_a < class_b").where(fits & enough).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
