@@ -15,7 +15,8 @@ HIDDEN = [
     r"(?is)<script[^>]*>.*?</script>",
     r"(?is)<style[^>]*>.*?</style>",
 ]
-TAG = r"(?s)</?[A-Za-z!][^>]*>"
+# a tag ends at the first > outside of quoted attribute values
+TAG = r"""(?s)</?[A-Za-z!](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+>"""
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 ENTITIES = {
     "&lt;": "<",

@@ -299,8 +299,10 @@ def als_vectors(
     coded = interactions.join(questions.withColumnRenamed("idx", "q"), "question_id")
     coded = coded.join(users.withColumnRenamed("idx", "u"), "user_id")
     coded = coded.select(F.col("q").cast("int"), F.col("u").cast("int"), F.col("weight").cast("float"))
+    # one block for a million ids or so, and never fewer than the library's own number
+    blocks = [max(10, -(-ids.count() // 1_000_000)) for ids in (questions, users)]
     als = ALS(
-        rank=components, maxIter=iterations, implicitPrefs=True, userCol="q", itemCol="u", ratingCol="weight", seed=seed
+        numUserBlocks=blocks[0], numItemBlocks=blocks[1], rank=components, maxIter=iterations, implicitPrefs=True, userCol="q", itemCol="u", ratingCol="weight", seed=seed
     )
     found = als.fit(coded)
     vector = F.col("features").cast("array<double>").alias("vector")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from answerrec.errors import need_columns, need_option
 from answerrec.functions.text import tokens
 from answerrec.operators.skew import quantiles
-from answerrec.session import spread
 
 DECILES = [i / 10 for i in range(1, 10)]
 
@@ -52,8 +51,9 @@ def describe(
 
 
 def percent_name(p: Column) -> Column:
-    """0.25 becomes `25%`."""
-    return F.concat(F.round(p * 100).cast("int").cast("string"), F.lit("%"))
+    """0.25 becomes `25%`, 0.995 becomes `99.5%`."""
+    digits = (p * 100).cast("decimal(20,6)").cast("string")
+    return F.concat(F.regexp_replace(digits, r"\.?0+$", ""), F.lit("%"))
 
 
 def non_null_counts(df: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def word_length(text: Column, empty_as_zero: bool = False) -> Column:
 
 def word_frequency(df: DataFrame, text: str, max_words: int = 5000, stop_words: Sequence[str] = ()) -> DataFrame:
     """The most frequent words, ties in word order."""
-    words = spread(df.select(text)).select(F.explode_outer(tokens(F.col(text))).alias("word"))
+    words = df.select(F.explode_outer(tokens(F.col(text))).alias("word"))
     words = words.where(F.col("word").isNotNull())
     if stop_words:
         words = words.where(~F.col("word").isin(*stop_words))

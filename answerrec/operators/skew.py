@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ROWS_PER_TASK = 1_000_000  # fact rows of one key that one task joins
 HASH_PREFIX = 3  # hex digits of the md5 that form a bucket: 4096 even buckets
 
 
@@ -100,23 +101,20 @@ def first_by_hash(
     return first_rows(hashed, keys, bucket, [F.col("_h"), *map(F.col, cols)], quota, quotas).drop("_h")
 
 
-def with_copies(
-    per_key: DataFrame, size: str, salts: int = 64, share: int = 1000, min_rows: int = 1_000_000
-) -> DataFrame:
-    """Add `_copies` to a table with one row per key: `salts` for hot keys, else 1.
+def with_copies(per_key: DataFrame, size: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Add `_copies` to a table with one row per key: into how many parts its rows are dealt.
 
-    `size` is the number of fact rows of the key. A key with more than 1/share of all rows
-    is hot, so there are fewer than `share` hot keys whatever the data size.
+    `size` is the number of fact rows of the key. No part is much larger than
+    `rows_per_task`, and fewer keys than all rows / rows_per_task have several parts.
     """
-    total = per_key.agg(F.sum(size)).scalar()
-    hot = F.col(size) > F.greatest(F.lit(min_rows), total / share)
-    return per_key.withColumn("_copies", F.when(hot, F.lit(salts)).otherwise(F.lit(1)))
+    parts = F.ceil(F.col(size) / F.lit(rows_per_task))
+    return per_key.withColumn("_copies", F.greatest(F.lit(1), parts.cast("int")))
 
 
 def salted(facts: DataFrame, per_key: DataFrame, key: str, name: str = "_salt") -> DataFrame:
     """Add a salt to facts: rows of a hot key spread evenly, all others get 0.
 
-    Only the hot keys, a bounded list, are broadcast.
+    Only the hot keys are broadcast, at most one for every ROWS_PER_TASK fact rows.
     """
     hot = per_key.where(F.col("_copies") > 1).select(key, F.col("_copies").alias("_spread"))
     spread = F.pmod(F.xxhash64(*facts.columns), F.coalesce("_spread", F.lit(1))).cast("int")

@@ -13,7 +13,7 @@ from answerrec.functions.stem import stem
 from answerrec.functions.text import clean_text, tokens
 from answerrec.operators.prep import tag_columns
 from answerrec.operators.skew import attach
-from answerrec.session import materialize, spread
+from answerrec.session import materialize
 
 STEMS = ["none", "stemmer", "lemmatizer"]
 
@@ -57,18 +57,17 @@ class Tfidf:
         need_columns(docs.columns, doc, text)
         words = tokens(clean_text(F.col(text)), self.strip_accents)
         # explode_outer: explode would add a filter that computes all tokens a second time
-        words = spread(docs.select(doc, text)).select(doc, F.explode_outer(words).alias("term"))
+        words = docs.select(doc, F.explode_outer(words).alias("term"))
         words = words.where(F.col("term").isNotNull())
         if self.stem == "none" or not self.stop_after_stem_only:
             words = without(words, self.stop_words)
         counts = words.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
         if self.stem == "none":
             return counts
-        # each distinct word is normalised once, on all cores, and written for the branches
+        # each distinct word is normalised once, and written for the branches
         # of the join that takes it back to its documents
         counts = materialize(counts, "term-counts")
         vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_docs"))
-        vocabulary = vocabulary.repartition(docs.sparkSession.sparkContext.defaultParallelism, "term")
         if self.stem == "stemmer":
             vocabulary = vocabulary.withColumn("form", stem("term"))
         else:
@@ -107,8 +106,13 @@ class TfidfModel:
 
     def weights(self, docs: DataFrame, doc: str, text: str) -> DataFrame:
         """Rows `(doc, term, tf, weight)`; terms outside the vocabulary are left out."""
-        same = docs is self.fitted[0] and (doc, text) == self.fitted[1:]
-        counts = self.counts if same else self.options.term_counts(docs, doc, text)
+        return self._weighted(self.options.term_counts(docs, doc, text), doc)
+
+    def fitted_weights(self) -> DataFrame:
+        """The weights of the fitted documents, without reading their texts again."""
+        return self._weighted(self.counts, self.fitted[1])
+
+    def _weighted(self, counts: DataFrame, doc: str) -> DataFrame:
         known = attach(counts, self.terms, "term", size="df")
         tf = F.log(F.col("tf")) + 1 if self.options.sublinear_tf else F.col("tf")
         raw = known.select(doc, "term", "tf", (tf * F.col("idf")).alias("weight"))
@@ -123,10 +127,19 @@ class TfidfModel:
         """Rows `(doc, rank, term, weight)` of the strongest terms; ties in term order."""
         return top_per_document(self.weights(docs, doc, text), doc, "weight", self.options.top_n)
 
+    def fitted_top_terms(self) -> DataFrame:
+        """`top_terms` of the fitted documents."""
+        return top_per_document(self.fitted_weights(), self.fitted[1], "weight", self.options.top_n)
+
     def keywords(self, docs: DataFrame, doc: str, text: str, order: str = "desc") -> DataFrame:
         """Every document with its keyword array and `tag1..tagN`, strongest first."""
         return keyword_table(docs, self.top_terms(docs, doc, text), doc, self.options.top_n, order)
 
+    def fitted_keywords(self, order: str = "desc") -> DataFrame:
+        """`keywords` of the fitted documents."""
+        docs, doc, _ = self.fitted
+        return keyword_table(docs, self.fitted_top_terms(), doc, self.options.top_n, order)
+
 
 def top_per_document(scored: DataFrame, doc: str, score: str, top_n: int) -> DataFrame:
     best = Window.partitionBy(doc).orderBy(F.desc(score), "term")

@@ -21,7 +21,7 @@ NUMERIC = ["reputation", "up_votes", "down_votes", "views"]
 PREP = (ANSWERS, QUESTIONS, PREPROCESSED)
 
 STRIP_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(?s)<!--.*?-->', '', 'g'),
-  '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?s)</?[A-Za-z!][^>]*>', '', 'g')"""
+  '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?s)</?[A-Za-z!](?:[^>=]|=\s*(?:"[^"]*"|''[^'']*'')|=)*>', '', 'g')"""
 for _entity, _char in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"), ("&apos;", "''"),
                        ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&reg;", "®"), ("&hellip;", "…"),
                        ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&")]:
@@ -155,9 +155,9 @@ def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions with their title, the document of the same number, and the accepted flag."""
+    """Questions with their title, the document of the same number (null if there is none), and the accepted flag."""
     documents = views.table(spark, sf_dir, "documents").select("doc_id", "text")
-    questions = views.questions(spark, sf_dir).join(documents, F.col("question_id") == F.col("doc_id"))
+    questions = views.questions(spark, sf_dir).join(documents, F.col("question_id") == F.col("doc_id"), "left")
     return questions.select(
         "question_id",
         profile.word_length(F.col("title")).alias("title_len"),
@@ -171,7 +171,7 @@ texts as (
   select question_id, len(string_split(title, ' ')) as title_len,
          len(string_split({STRIP_SQL.format('text')}, ' ')) as text_len,
          case when accepted_answer_id is null then 0 else 1 end as is_accepted_answer
-  from questions join documents on question_id = doc_id)"""
+  from questions left join documents on question_id = doc_id)"""
 
 
 @register(sql_with(ANSWERS, QUESTIONS, TEXTS, select="select * from texts"))

@@ -21,6 +21,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def word_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, word); explode_outer, as explode would compute all tokens twice for its filter."""
+    words = textfn.tokens(textfn.clean_text(F.col("text")))
+    return documents(spark, sf_dir).select("doc_id", F.explode_outer(words).alias("word")).where("word is not null")
+
+
 def digest(column: F.Column) -> list[F.Column]:
     return [F.md5(column).alias("digest"), F.length(column).alias("chars")]
 
@@ -61,7 +67,7 @@ def stem_sql(source: str, word: str) -> str:
 
 @register(sql_with(WORDS, stem_sql("words", "word"), select="select word, stem from stemmed"))
 def stemmed_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = documents(spark, sf_dir).select(F.explode(textfn.tokens(textfn.clean_text(F.col("text")))).alias("word"))
+    words = word_rows(spark, sf_dir).select("word")
     return words.distinct().withColumn("stem", stem("word"))
 
 
@@ -73,7 +79,7 @@ lexicon as (select word as form, left(word, length(word) - 1) as lemma from voca
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A `(form, lemma)` table from the texts: words that also occur without their last n."""
-    words = documents(spark, sf_dir).select(F.explode(textfn.tokens(textfn.clean_text(F.col("text")))).alias("word"))
+    words = word_rows(spark, sf_dir).select("word")
     vocabulary = words.distinct()
     forms = vocabulary.where(F.col("word").endswith("n")).select(
         F.col("word").alias("form"), F.expr("left(word, length(word) - 1)").alias("lemma")
@@ -93,9 +99,7 @@ def lemma_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 select doc_id, count(*) as words, count(distinct word) as distinct_words, min(word) as first_word, max(word) as last_word
 from words group by 1"""))
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = documents(spark, sf_dir).select(
-        "doc_id", F.explode(textfn.tokens(textfn.clean_text(F.col("text")))).alias("word")
-    )
+    words = word_rows(spark, sf_dir)
     return words.groupBy("doc_id").agg(
         F.count("word").alias("words"), F.count_distinct("word").alias("distinct_words"),
         F.min("word").alias("first_word"), F.max("word").alias("last_word"))
@@ -133,7 +137,7 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weights(spark: SparkSession, sf_dir: str, options: Tfidf) -> DataFrame:
     docs = documents(spark, sf_dir)
-    weighted = options.fit(docs, "doc_id", "text").weights(docs, "doc_id", "text")
+    weighted = options.fit(docs, "doc_id", "text").fitted_weights()
     return weighted.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -158,7 +162,7 @@ def tfidf_raw_unsmoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(sql_with(WORDS, KEPT, tfidf_sql("kept", "documents"), top_sql(), select="select doc_id, rank, term, weight from ranked"))
 def tfidf_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return PLAIN.fit(docs, "doc_id", "text").top_terms(docs, "doc_id", "text").withColumn("weight", F.round("weight", 6))
+    return PLAIN.fit(docs, "doc_id", "text").fitted_top_terms().withColumn("weight", F.round("weight", 6))
 
 
 STEM_KEPT = f"""
@@ -170,7 +174,7 @@ stem_kept as (select doc_id, stem as term from words join stemmed using (word)
                    select="select doc_id, rank, term, weight from ranked"))
 def stemmed_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    ranked = Tfidf(stop_words=STOP_WORDS).fit(docs, "doc_id", "text").top_terms(docs, "doc_id", "text")
+    ranked = Tfidf(stop_words=STOP_WORDS).fit(docs, "doc_id", "text").fitted_top_terms()
     return ranked.withColumn("weight", F.round("weight", 6))
 
 
@@ -188,13 +192,13 @@ def user_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = views.users(spark, sf_dir)
     described = users.where(F.col("about_me").isNotNull())
     model = PLAIN.fit(described, "id", "about_me")
-    tagged = model.keywords(described, "id", "about_me")
+    tagged = model.fitted_keywords()
     return users.join(tagged.select("id", *TAGS), "id", "left")
 
 
 def question_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = views.questions(spark, sf_dir)
-    return PLAIN.fit(questions, "question_id", "title").keywords(questions, "question_id", "title")
+    return PLAIN.fit(questions, "question_id", "title").fitted_keywords()
 
 
 USER_KEPT = f"""

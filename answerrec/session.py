@@ -47,18 +47,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-SPLIT_BYTES = 128 * 2**20  # what one scan task reads by default
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before costly work per row.
-
-    Few large texts often arrive as one scan task. An input that already has a scan task
-    per core, by the sizes of the tables it reads, is returned unchanged and not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df

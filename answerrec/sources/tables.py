@@ -44,9 +44,12 @@ def read_base(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """A CSV table with header; the schema is given, so no pass is spent on guessing."""
+    """A CSV table with header; the schema is given, so no pass is spent on guessing.
+
+    Fields may hold line breaks, so a file is read by one task: write many files, not one.
+    """
     try:
-        return spark.read.csv(path, header=True, schema=schema, mode="FAILFAST", escape='"', multiLine=False)
+        return spark.read.csv(path, header=True, schema=schema, mode="FAILFAST", escape='"', multiLine=True)
     except AnalysisException as error:
         raise InputDataError(f"cannot read {path}") from error
 
@@ -73,6 +76,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tu
     writer = df.write.mode("overwrite").partitionBy(*partition_by).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"')
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     writer.save(path)
     return path
 

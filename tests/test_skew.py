@@ -46,11 +46,13 @@ def test_hash_sample_is_partition_independent(rows):
 def test_attach_spreads_hot_keys(rows, spark):
     data, df = rows
     per_key = df.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    sized = skew.with_copies(per_key, "n", salts=8, share=10, min_rows=10)
+    sized = skew.with_copies(per_key, "n", rows_per_task=200)
     assert [r.key for r in sized.where("_copies > 1").collect()] == [7]
     salts = skew.salted(df, sized, "key").where("key = 7").groupBy("_salt").count().collect()
-    assert len(salts) == 8
-    joined = skew.attach(df, per_key, "key", size="n", salts=8, share=10, min_rows=10)
+    hot = sum(k == 7 for _, k, _ in data)
+    assert len(salts) == -(-hot // 200)
+    assert max(r["count"] for r in salts) < 300
+    joined = skew.attach(df, per_key, "key", size="n", rows_per_task=200)
     assert sorted((r.id, r.key, r.n) for r in joined.collect()) == sorted(
         (i, k, sum(1 for _, x, _ in data if x == k)) for i, k, _ in data
     )
