@@ -47,3 +47,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+TEXT_PARTITIONS = "answerrec.text.partitions"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal texts to as many tasks as the setting `answerrec.text.partitions` says, if it is set.
+
+    Without it the scan's own splits stay. It helps with files of a single row group.
+    """
+    number = df.sparkSession.conf.get(TEXT_PARTITIONS, None)
+    return df.repartition(int(number)) if number else df
