@@ -7,7 +7,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answerrec.llm.base import checkpoint
+from answerrec.llm.base import checkpoint, unused
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -39,6 +39,7 @@ def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 10) -> Dat
     and each text once, to its dropped positions. Equal lines are counted map-side, and a
     line found everywhere is split by adaptive execution when it meets its count.
     """
+    own, version, gone, whole, parts = unused(docs, "_id", "_version", "_gone", "_text", "_lines")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = (
         docs.where(F.col("doc_id").isNotNull())
@@ -57,20 +58,20 @@ def dedup_lines(docs: DataFrame, threshold: int = 2, min_chars: int = 10) -> Dat
     dropped = (
         lines.join(counted, ["_h1", "_h2"])
         .where("_id > _first")
-        .groupBy("_id", "_version")
-        .agg(F.collect_set("_at").alias("_gone"))
+        .groupBy(F.col("_id").alias(own), F.col("_version").alias(version))
+        .agg(F.collect_set("_at").alias(gone))
     )
-    joined = docs.withColumn("_text", text).join(
-        dropped, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("_text") == F.col("_version")), "left"
+    joined = docs.withColumn(whole, text).join(
+        dropped, (F.col("doc_id") == F.col(own)) & (F.xxhash64(whole) == F.col(version)), "left"
     )
     places = F.sequence(F.lit(0), F.col("n_lines") - 1)
-    left = F.array_except(places, "_gone")
-    kept = F.array_join(F.transform(left, lambda at: F.get("_lines", at)), "\n")
+    left = F.array_except(places, gone)
+    kept = F.array_join(F.transform(left, lambda at: F.get(parts, at)), "\n")
     return (
-        joined.withColumn("_lines", text_lines(F.col("_text")))
-        .withColumn("n_lines", F.size("_lines"))
-        .withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-        .withColumn("kept", F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(kept))
+        joined.withColumn(parts, text_lines(F.col(whole)))
+        .withColumn("n_lines", F.size(parts))
+        .withColumn("n_dropped", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
+        .withColumn("kept", F.when(F.col(gone).isNull(), F.col(whole)).otherwise(kept))
         .withColumn("n_lines", F.col("n_lines").cast("long"))
-        .drop("_id", "_version", "_gone", "_lines", "_text")
+        .drop(own, version, gone, parts, whole)
     )

@@ -222,12 +222,12 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     kept = [c for c in docs.columns if c != "score"]
     if model.trees is None:
         return docs.select(*kept).withColumn("score", F.lit(model.base))
-    rows = with_features(docs.select(*kept), model.lexicon).withColumn("_vector", array_to_vector("_features"))
+    rows = with_features(docs.select(F.struct(*kept).alias("_row"), "text"), model.lexicon).withColumn("_vector", array_to_vector("_features"))
     trees = model.trees.copy()
     trees.setFeaturesCol("_vector").setProbabilityCol("_probability").setRawPredictionCol("").setPredictionCol("")
     rated = trees.transform(rows).withColumn("_raw", vector_to_array("_probability")[1])
     if model.calibration is None:
-        return rated.select(*kept, F.col("_raw").alias("score"))
+        return rated.select("_row.*", F.col("_raw").alias("score"))
     calibration = model.calibration.copy()
     calibration.setFeaturesCol("_raw").setPredictionCol("_score")
-    return calibration.transform(rated).select(*kept, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_score"))).alias("score"))
+    return calibration.transform(rated).select("_row.*", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_score"))).alias("score"))

@@ -22,14 +22,14 @@ from answerrec.llm.bpe import Vocabulary, decode_ids, encode_texts  # noqa: E402
 from answerrec.llm.queries import ORACLES, QUERIES, VOCABULARY  # noqa: E402
 from oracle import compare, connect  # noqa: E402
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, found int, fp int, label int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, found int, fp int, label int, _id int, _text string, _lines int, _gone int, _probability double, _row int"
 LONG = "the quick brown fox jumps over the lazy dog near a river " * 3000
 
 
 def odd_rows(spark):
     """Nulls in every column, empty and very long texts, repeated rows, extra columns with clashing names."""
     rows = [(1, "one two three four five six seven", "en"), (1, "one two three four five six seven", "en"), (2, None, None), (3, "", "en"), (4, LONG, "en"), (None, "a text without id here now", None), (5, "a\n\n  A\t\nb", "fr"), (6, "!!! ???", None)]
-    return spark.createDataFrame([(i, t, lang, None, None, "x", 7, 8, None) for i, t, lang in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, lang, None, None, "x", 7, 8, None, 9, "y", 1, 2, 0.5, 3) for i, t, lang in rows], SCHEMA)
 
 
 def empty(spark):
