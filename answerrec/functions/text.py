@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from collections.abc import Sequence
+from html.entities import html5
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: the patterns and entities that the cleaning removes or decodes
+# fixed values: the patterns that the cleaning removes or decodes
 URL = r"https?://[A-Za-z0-9./]+"
 DIGITS = r"\p{Nd}+"
 HIDDEN = [
@@ -18,30 +22,20 @@ HIDDEN = [
 # a tag ends at the first > outside of quoted attribute values
 TAG = r"""(?s)</?[A-Za-z!](?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+>"""
 TOKEN = r"[\p{L}\p{N}_]{2,}"
-ENTITIES = {
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&#39;": "'",
-    "&#x27;": "'",
-    "&apos;": "'",
-    "&nbsp;": " ",
-    "&middot;": "·",
-    "&copy;": "©",
-    "&reg;": "®",
-    "&hellip;": "…",
-    "&ndash;": "–",
-    "&mdash;": "—",
-    "&amp;": "&",
-}
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# the standard's names of characters; a no-break space is a space
+NAMED = {name[:-1]: text.replace("\u00a0", " ") for name, text in html5.items() if name.endswith(";")}
+# numbers from 128 to 159 mean the characters of Windows-1252
+CONTROLS = "".join(map(chr, range(0x80, 0xA0))) + "\u00a0"
+MEANT = "".join(bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0)) + " "
 
 
 def _accent_table() -> tuple[str, str]:
-    """Latin small letters with marks and their base letters; bare marks are deleted."""
+    """Letters with marks, other than capitals, and their base letters; bare marks are deleted."""
     folded = {}
-    for code in [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]:
+    for code in range(0x00C0, 0x2000):
         base, *marks = unicodedata.normalize("NFKD", chr(code))
-        if marks and base.isascii() and base.islower() and all(map(unicodedata.combining, marks)):
+        if marks and base.isalpha() and not chr(code).isupper() and all(map(unicodedata.combining, marks)):
             folded[chr(code)] = base
     bare = "".join(map(chr, range(0x0300, 0x0370)))
     return "".join(folded) + bare, "".join(folded.values())
@@ -50,14 +44,40 @@ def _accent_table() -> tuple[str, str]:
 ACCENTED, PLAIN = _accent_table()
 
 
+def decode_entities(text: Column) -> Column:
+    """Named and numeric character references that end in a semicolon, decoded once.
+
+    Unknown names stay; numbers that are no character become U+FFFD.
+    """
+    named = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+
+    def character(name: Column) -> Column:
+        digits = F.regexp_extract(name, "^#[xX](.+)", 1)
+        number = F.when(digits != "", F.conv(digits, 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7)).cast("int")
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        point = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        numeric = F.when(valid, F.translate(point, CONTROLS, MEANT)).otherwise(F.lit("\ufffd"))
+        return F.when(name.startswith("#"), numeric).otherwise(F.try_element_at(named, name))
+
+    def piece(part: Column, at: Column) -> Column:
+        name = F.regexp_extract(part, REFERENCE, 1)
+        rest = F.substr(part, F.length(name) + 2)
+        return F.when(at == 0, part).otherwise(F.coalesce(F.concat(character(name), rest), F.concat(F.lit("&"), part)))
+
+    return F.array_join(F.transform(F.split(text, "&", -1), piece), "")
+
+
 def strip_html(text: Column) -> Column:
     """Text nodes of a page, joined without separator; scripts, styles and comments are no
-    text. `&amp;` is decoded last, so `&amp;lt;` becomes `&lt;`."""
+    text. Entities are decoded once, so `&amp;lt;` becomes `&lt;`."""
     for pattern in [*HIDDEN, TAG]:
         text = F.regexp_replace(text, F.lit(pattern), F.lit(""))
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    return decode_entities(text)
+
+
+def stop_list(words: str | Sequence[str]) -> list[str]:
+    """The words themselves, or Spark's list for a language such as "english"."""
+    return StopWordsRemover.loadDefaultStopWords(words) if isinstance(words, str) else list(words)
 
 
 def strip_urls_and_digits(text: Column) -> Column:

@@ -100,14 +100,12 @@ def interactions(data: DataFrame, with_weights: bool = True, weight: str = "clam
 
 def unknown_ids(pairs: DataFrame, questions: DataFrame, users: DataFrame) -> DataFrame:
     """Ids of interactions that the entity tables do not know."""
-    lost_questions = pairs.select(F.col("question_id").alias("id")).join(
-        questions.select(F.col("question_id").alias("id")), "id", "left_anti"
-    )
-    lost_users = pairs.select(F.col("user_id").alias("id")).join(users.select("id"), "id", "left_anti")
-    return (
-        lost_questions.distinct().withColumn("side", F.lit("question"))
-        .unionByName(lost_users.distinct().withColumn("side", F.lit("user")))
-    )
+    # distinct first: a hot id is combined before it is shuffled
+    asked = pairs.select(F.col("question_id").alias("id")).distinct()
+    answering = pairs.select(F.col("user_id").alias("id")).distinct()
+    lost_questions = asked.join(questions.select(F.col("question_id").alias("id")), "id", "left_anti")
+    lost_users = answering.join(users.select("id"), "id", "left_anti")
+    return lost_questions.withColumn("side", F.lit("question")).unionByName(lost_users.withColumn("side", F.lit("user")))
 
 
 def require_known_ids(pairs: DataFrame, questions: DataFrame, users: DataFrame) -> DataFrame:

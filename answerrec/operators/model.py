@@ -20,7 +20,7 @@ from answerrec.operators.features import dense_ids
 from answerrec.operators.metrics import METRICS, best_epoch, mean_metrics, need_metrics, question_metrics
 from answerrec.operators.prep import display_name
 from answerrec.operators.scoring import held_out_positions
-from answerrec.operators.skew import join_salted, salted, with_copies
+from answerrec.operators.skew import attach, join_salted, salted, with_copies
 from answerrec.session import materialize
 
 LOSSES = ("warp", "bpr")
@@ -296,8 +296,10 @@ def als_vectors(
     need_columns(interactions.columns, "question_id", "user_id", "weight")
     questions = materialize(dense_ids(interactions, "question_id"), "question-ids")
     users = materialize(dense_ids(interactions, "user_id"), "user-ids")
-    coded = interactions.join(questions.withColumnRenamed("idx", "q"), "question_id")
-    coded = coded.join(users.withColumnRenamed("idx", "u"), "user_id")
+    coded = interactions.select("question_id", "user_id", "weight")
+    for ids, key, name in ((questions, "question_id", "q"), (users, "user_id", "u")):
+        sizes = interactions.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+        coded = attach(coded, ids.withColumnRenamed("idx", name).join(sizes, key), key, size="_rows").drop("_rows")
     coded = coded.select(F.col("q").cast("int"), F.col("u").cast("int"), F.col("weight").cast("float"))
     # one block for a million ids or so, and never fewer than the library's own number
     blocks = [max(10, -(-ids.count() // 1_000_000)) for ids in (questions, users)]

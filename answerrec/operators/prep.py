@@ -131,6 +131,16 @@ def distinct_values(df: DataFrame, columns: list[str], name: str = "value") -> D
     return stacked.where(F.col(name).isNotNull()).distinct()
 
 
+def pair_weights(candidates: DataFrame, weights: DataFrame, weight: str = "weight") -> DataFrame:
+    """Pairs of question and user with their known weight, 0 where none is known.
+
+    `weights` has one row per pair, so no key of the join is hot.
+    """
+    keys = ["question_id", "user_id"]
+    known = weights.select(*keys, weight)
+    return candidates.join(known, keys, "left").withColumn(weight, F.coalesce(weight, F.lit(0.0)))
+
+
 def unpivot_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     """Columns `model_<metric>_<stage>` to rows `(metric, stage, value)` with display names."""
     columns = [c for c in df.columns if c not in keys]

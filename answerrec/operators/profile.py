@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerrec.errors import need_columns, need_option
-from answerrec.functions.text import tokens
+from answerrec.functions.text import stop_list, tokens
 from answerrec.operators.skew import quantiles
 from answerrec.session import spread
 
@@ -144,11 +144,11 @@ def word_length(text: Column, empty_as_zero: bool = False) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0)).otherwise(length) if empty_as_zero else length
 
 
-def word_frequency(df: DataFrame, text: str, max_words: int = 5000, stop_words: Sequence[str] = ()) -> DataFrame:
+def word_frequency(df: DataFrame, text: str, max_words: int = 5000, stop_words: str | Sequence[str] = ()) -> DataFrame:
     """The most frequent words, ties in word order."""
     words = spread(df.select(text)).select(F.explode_outer(tokens(F.col(text))).alias("word"))
     words = words.where(F.col("word").isNotNull())
     if stop_words:
-        words = words.where(~F.col("word").isin(*stop_words))
+        words = words.where(~F.col("word").isin(*stop_list(stop_words)))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("occurrences"))
     return counts.orderBy(F.desc("occurrences"), "word").limit(max_words)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from answerrec.errors import KeywordExtractorError, need_columns, need_option
 from answerrec.functions.stem import stem
-from answerrec.functions.text import clean_text, tokens
+from answerrec.functions.text import clean_text, stop_list, tokens
 from answerrec.operators.prep import tag_columns
 from answerrec.operators.skew import attach
 from answerrec.session import materialize, spread
@@ -25,8 +25,8 @@ def lemmas(vocabulary: DataFrame, lexicon: DataFrame) -> DataFrame:
     return vocabulary.join(known, "term", "left").withColumn("form", F.coalesce("_lemma", "term")).drop("_lemma")
 
 
-def without(words: DataFrame, stop_words: Sequence[str], word: str = "term") -> DataFrame:
-    return words.where(~F.col(word).isin(*stop_words)) if stop_words else words
+def without(words: DataFrame, stop_words: str | Sequence[str], word: str = "term") -> DataFrame:
+    return words.where(~F.col(word).isin(*stop_list(stop_words))) if stop_words else words
 
 
 @dataclass(frozen=True)
@@ -39,7 +39,7 @@ class Tfidf:
     sublinear_tf: bool = False
     top_n: int = 5
     stem: str = "stemmer"
-    stop_words: Sequence[str] = ()
+    stop_words: str | Sequence[str] = ()  # words, or a language such as "english"
     strip_accents: bool = True
     stop_after_stem_only: bool = False
     min_df: int = 1

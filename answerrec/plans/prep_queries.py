@@ -178,3 +178,15 @@ def unseen_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate pairs that are not among the known interactions."""
     candidates = views.answers(spark, sf_dir).select("question_id", "user_id", "score")
     return candidates.join(views.event_pairs(spark, sf_dir), ["question_id", "user_id"], "left_anti")
+
+
+@register(sql_with(ANSWERS, EVENT_PAIRS, select="""
+select question_id, user_id, coalesce(weight, 0) as weight
+from (select distinct question_id, user_id from answers union select question_id, user_id from event_pairs where weight > 1)
+left join event_pairs using (question_id, user_id)"""))
+def pair_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All answered pairs and those of repeated events; pairs without an event weigh 0."""
+    events = views.event_pairs(spark, sf_dir)
+    pairs = views.answers(spark, sf_dir).select("question_id", "user_id")
+    candidates = pairs.union(events.where("weight > 1").select("question_id", "user_id")).distinct()
+    return prep.pair_weights(candidates, events)

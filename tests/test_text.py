@@ -41,6 +41,24 @@ def test_strip_html(spark):
     assert apply(spark, text.strip_html, expected) == expected
 
 
+def test_entities(spark):
+    given = ["caf&eacute; &#8217;&#x2019; &euro;&nbsp;5 &rsquo;", "a&b &unknown; &#0; &#xD800; &#9999999; &", "&#146;&AMP;&ngE;", "a=1&copy=2&copy;", ""]
+    wanted = ["café ’’ € 5 ’", "a&b &unknown; \ufffd \ufffd \ufffd &", "’&≧̸", "a=1&copy=2©", ""]
+    assert apply(spark, text.decode_entities, given) == dict(zip(given, wanted))
+
+
+def test_stop_words_of_a_language(spark):
+    docs = spark.createDataFrame([(1, "The answer is not in the question about Spark")], "id long, t string")
+    kept = candidate_terms(docs, "id", "t", stop_words="english").select("term").collect()
+    assert {r.term for r in kept} == {"answer", "question", "spark"}
+    counted = Tfidf(stem="none", stop_words="english").term_counts(docs, "id", "t").select("term").collect()
+    assert {r.term for r in counted} == {"answer", "question", "spark"}
+
+
+def test_accents_of_other_scripts(spark):
+    assert apply(spark, text.fold_accents, ["ёлка άλφα été"]) == {"ёлка άλφα été": "елка αλφα ete"}
+
+
 def test_cleaning_order_matters(spark):
     assert apply(spark, text.clean_text, ["<h1>T</h1>&#39;"]) == {"<h1>T</h1>&#39;": "T&#;"}
 
