@@ -1,8 +1,10 @@
 """Benchmark decontamination: exact hits of pieces, verified by Myers' bit-parallel distance.
 
-A text within e edits of an item contains at least one of any e + 1 pieces of the item
-unchanged. So the pieces are searched exactly, in one pass over each text, and only the
-surroundings of a hit are compared with the whole item.
+An item is cut into pieces, pieces into groups of two or three. If a stretch of n pieces stands
+in a text with fewer than n edits, then in one of its groups there are fewer edits than pieces,
+so one piece of it stands unchanged. So the pieces are searched exactly, in one pass over each
+text; where one is hit, its group is compared, and only where that fits as well the whole item,
+its windows and its lines.
 """
 
 from __future__ import annotations
@@ -18,12 +20,16 @@ from pyspark.sql import types as T
 
 from answerrec.llm.base import checkpoint
 
-ERROR_RATE = 0.05
+ERROR_RATE = 0.1
 MIN_CHARS = 20
+PIECE = 10  # letters of a piece, at most
+WINDOW_SHARE, WINDOW_PIECES = 0.6, 16  # a window is this share of the item, or so many pieces if that is less
+LINE_CHARS = 50  # a line of an item counts alone from here on
 BLOCK_ITEMS = 20_000
 
 SPACED = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
-FOUND = "array<struct<item_id:bigint,distance:int,start:int,end:int>>"
+PLACE = "item_id bigint, distance int, start int, end int, letters int"
+FOUND = f"array<struct<{PLACE}>>"
 
 
 def normal(text: str) -> str:
@@ -70,11 +76,90 @@ def best_match(peq: dict[str, int], m: int, text: str, most: int) -> tuple[int,
     return best if best[0] <= most else None
 
 
+class Stretch:
+    """A normalised text that is searched: an item or one of its lines, its pieces, groups and windows."""
+
+    def __init__(self, item: int, text: str, rate: float, windows: bool):
+        self.item, self.text, self.rate = item, text, rate
+        size = len(text)
+        parts = max(int(size * rate) + 1, size // PIECE)
+        self.cuts = [size * i // parts for i in range(parts + 1)]
+        self.groups = [(i, i + 2) for i in range(0, parts - 1, 2)] or [(0, 1)]
+        self.groups[-1] = (self.groups[-1][0], parts)
+        self.spans = [(0, len(self.groups))]  # of groups: the whole, then the windows
+        wide = -(-min(int(parts * WINDOW_SHARE) + 1, WINDOW_PIECES) // 2)
+        if windows and wide < len(self.groups):
+            self.spans += [(g, g + wide) for g in range(len(self.groups) - wide + 1)]
+        self.masks: dict[tuple[int, int], tuple[dict[str, int], dict[str, int]]] = {}
+
+    def bounds(self, low: int, high: int) -> tuple[int, int]:
+        """The letters of the groups from `low` to before `high`."""
+        return self.cuts[self.groups[low][0]], self.cuts[self.groups[high - 1][1]]
+
+    def find(self, text: str, low: int, high: int, begins: list[tuple[int, int]], most: int) -> tuple[int, int, int] | None:
+        """(distance, start, end) of the best place of these groups, if they may begin in the ranges."""
+        a, b = self.bounds(low, high)
+        m = b - a
+        if (low, high) not in self.masks:
+            self.masks[low, high] = masks(self.text[a:b]), masks(self.text[a:b][::-1])
+        forward, backward = self.masks[low, high]
+        best = None
+        for first, last in merged(begins, most):
+            start = max(0, first - most)
+            window = text[start : last + m + most]
+            if len(window) < m - most:
+                continue
+            found = best_match(forward, m, window, most)
+            if found and (best is None or found[0] < best[0]):
+                distance, stop = found
+                # the start, from the end backwards
+                back = best_match(backward, m, window[:stop][::-1], distance)
+                best = (distance, start + stop - (back[1] if back else m), start + stop)
+        return best
+
+    def fits(self, text: str, at: int, piece: int, group: int) -> bool:
+        """Whether the group of a piece that stands at `at` has fewer edits than pieces there."""
+        low, high = self.groups[group]
+        if high - low == 1:
+            return True
+        if high - low == 2:  # one edit: half of the other piece is unchanged
+            other = low + high - 1 - piece
+            a, b = self.cuts[other], self.cuts[other + 1]
+            if other > piece:
+                end = at + a - self.cuts[piece]
+                near = text[end : end + b - a + 1]
+            else:
+                near = text[max(0, at - (b - a) - 1) : at]
+            half = (a + b) // 2
+            if self.text[a:half] not in near and self.text[half:b] not in near:
+                return False
+        begin = at - self.cuts[piece] + self.cuts[low]
+        return self.find(text, group, group + 1, [(begin, begin)], high - low - 1) is not None
+
+    def best(self, text: str, hits: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
+        """(distance, start, end, letters) of the whole, or else of its best window: the least distance, the first place.
+
+        `hits` has the place where the whole would begin, and the group that fits there.
+        """
+        for part in (self.spans[:1], self.spans[1:]):
+            found = []
+            for low, high in part:
+                a, b = self.bounds(low, high)
+                if begins := sorted({(at + a, at + a) for at, g in hits if low <= g < high}):
+                    pieces = self.groups[high - 1][1] - self.groups[low][0]
+                    place = self.find(text, low, high, begins, min(int((b - a) * self.rate), pieces - 1))
+                    if place:
+                        found.append((*place, b - a))
+            if found:
+                return min(found)
+        return None
+
+
 @dataclass
 class Items:
     """A block of items: its automaton of pieces is built once per worker."""
 
-    texts: dict[int, str]  # normalised, by item id
+    texts: dict[int, list[str]]  # normalised, by item id: the whole, then the lines that count alone
     rate: float
     _ready: dict = field(default_factory=dict, repr=False)
 
@@ -83,51 +168,46 @@ class Items:
 
     def ready(self):
         if not self._ready:
-            pieces: dict[str, list[tuple[int, int]]] = {}
-            for item, text in self.texts.items():
-                parts = int(len(text) * self.rate) + 1
-                cuts = [len(text) * i // parts for i in range(parts + 1)]
-                for a, b in zip(cuts, cuts[1:]):
-                    pieces.setdefault(text[a:b], []).append((item, a))
+            stretches = [Stretch(item, t, self.rate, i == 0) for item, texts in self.texts.items() for i, t in enumerate(texts)]
+            pieces: dict[str, list[tuple[int, int, int]]] = {}
+            for s, stretch in enumerate(stretches):
+                for g, (low, high) in enumerate(stretch.groups):
+                    for i in range(low, high):
+                        pieces.setdefault(stretch.text[stretch.cuts[i] : stretch.cuts[i + 1]], []).append((s, i, g))
             automaton = ahocorasick.Automaton()
             for piece, places in pieces.items():
                 automaton.add_word(piece, (len(piece), places))
             automaton.make_automaton()
-            self._ready = {"automaton": automaton, "forward": {}, "backward": {}}
+            self._ready = {"automaton": automaton, "stretches": stretches}
         return self._ready
 
-    def search(self, raw: str | None) -> list[tuple[int, int, int, int]]:
-        """(item, distance, start, end) of the best place of each item found, in the normalised text."""
+    def search(self, raw: str | None) -> list[tuple[int, int, int, int, int]]:
+        """(item, distance, start, end, letters) of the best place of each item found, in the normalised text."""
         if not raw or not self.texts:
             return []
-        ready = self.ready()
+        stretches = self.ready()["stretches"]
         text = normal(raw)
-        tried: dict[int, list[tuple[int, int]]] = {}
-        for end, (size, places) in ready["automaton"].iter(text):
-            for item, offset in places:
-                begin = end - size + 1 - offset
-                tried.setdefault(item, []).append((begin, begin))
-        out = []
-        for item, begins in tried.items():
-            pattern = self.texts[item]
-            m, most = len(pattern), int(len(pattern) * self.rate)
-            best = None
-            for low, high in merged(sorted(begins), most):
-                start = max(0, low - most)
-                window = text[start : high + m + most]
-                if len(window) < m - most:
-                    continue
-                if "forward" in ready and item not in ready["forward"]:
-                    ready["forward"][item], ready["backward"][item] = masks(pattern), masks(pattern[::-1])
-                found = best_match(ready["forward"][item], m, window, most)
-                if found and (best is None or found[0] < best[0]):
-                    distance, stop = found
-                    # the start, from the end backwards
-                    back = best_match(ready["backward"][item], m, window[:stop][::-1], distance)
-                    best = (distance, start + stop - (back[1] if back else m), start + stop)
-            if best:
-                out.append((item, *best))
-        return sorted(out)
+        hits: dict[int, list[tuple[int, int]]] = {}
+        for end, (size, places) in self.ready()["automaton"].iter(text):
+            at = end - size + 1
+            for s, piece, group in places:
+                if stretches[s].fits(text, at, piece, group):
+                    hits.setdefault(s, []).append((at - stretches[s].cuts[piece], group))
+        out: dict[int, tuple[int, int, int, int]] = {}
+        for s in sorted(hits):  # an item comes before its lines
+            item = stretches[s].item
+            if item in out and out[item][3] >= len(stretches[s].text):
+                continue
+            if found := stretches[s].best(text, hits[s]):
+                out[item] = found
+        return sorted((item, *found) for item, found in out.items())
+
+
+def stretches_of(raw: str, min_chars: int) -> list[str]:
+    """The normalised item, then those of its lines that count alone; none if it is too short."""
+    whole = normal(raw)
+    lines = dict.fromkeys(normal(line) for line in raw.splitlines())
+    return [whole, *(t for t in lines if max(LINE_CHARS, min_chars) <= len(t) < len(whole))] if len(whole) >= min_chars else []
 
 
 def merged(begins: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
@@ -146,8 +226,11 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, min_
 
     Texts and items are compared in lower case, with everything but letters and digits as one
     space. An item is found if a stretch of the text is within floor(rate x length) edits of
-    the whole item; `distance`, `start` and `end` (in the normalised text) describe the best
-    stretch, the first of equal ones. Items that are null or normalise to fewer than
+    the whole item or, where that is not so, of one of its windows (60 % of the item in its
+    pieces of at most 10 letters, at most 16 pieces; one begins every second piece) or of one
+    of its lines of 50 letters or more, with their own length and fewer edits than pieces. `distance`, `start` and `end`
+    (in the normalised text) describe the best place of the whole, or else of what is found
+    of it; `letters` is how many letters of the item were compared. Items that are null or normalise to fewer than
     `min_chars` letters are too short to prove anything and are never found; of items with a
     common id the longest text counts. Null and empty texts hold nothing; repeated rows are
     each searched; an empty table on either side gives no places. Other columns stay.
@@ -166,18 +249,20 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, min_
     out = docs.select(*kept).withColumn("found", F.array().cast(FOUND))
     for k in range(blocks):
         rows = ordered.where(F.col("_block") == k).select("item_id", "text").toLocalIterator()
-        texts = {r["item_id"]: normal(r["text"]) for r in rows}
-        shared = spark.sparkContext.broadcast(Items({i: t for i, t in sorted(texts.items()) if len(t) >= min_chars}, rate))
+        texts = {r["item_id"]: stretches_of(r["text"], min_chars) for r in rows}
+        shared = spark.sparkContext.broadcast(Items({i: t for i, t in sorted(texts.items()) if t}, rate))
         out = out.withColumn("found", F.concat("found", searcher(shared)("text")))
     return out
 
 
 def searcher(shared):
-    @F.pandas_udf(T.ArrayType(T.StructType.fromDDL("item_id bigint, distance int, start int, end int")))
+    place = T.StructType.fromDDL(PLACE)
+
+    @F.pandas_udf(T.ArrayType(place))
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         items = shared.value
         for texts in batches:
-            yield pd.Series([[dict(zip(("item_id", "distance", "start", "end"), f)) for f in items.search(t)] for t in texts], dtype=object)
+            yield pd.Series([[dict(zip(place.names, f)) for f in items.search(t)] for t in texts], dtype=object)
 
     return search
 

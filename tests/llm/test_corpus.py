@@ -200,6 +200,44 @@ def test_items_are_found_within_the_budget(spark):
     assert decontam.find_items(empty(spark), items.limit(0)).count() == 0
 
 
+def test_items_changed_or_left_in_part_are_found():
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(3, 7))) for _ in range(n))
+    short = (words(30)[:74] + " zebras").strip()
+    several = [words(14), words(15), words(13)]
+    long = words(45)
+    items = decontam.Items({1: decontam.stretches_of(short, 20), 2: decontam.stretches_of("\n".join(several), 20), 3: decontam.stretches_of(long, 20)}, decontam.ERROR_RATE)
+    around = lambda text: words(40) + " " + text + " " + words(40)
+    found = lambda text: [f[0] for f in items.search(around(text))]
+    assert found(short.replace("zebras", "kk")) == [1]  # one word of 81 letters
+    assert found(several[0] + "\n" + several[2]) == [2] and found(several[1]) == [2]  # lines taken out
+    assert found(long[60:]) == [3] and found(long[:170]) == [3]
+    assert found(words(60)) == [] and found(several[0][:40]) == []
+
+
+def test_whole_items_and_windows_equal_brute_force():
+    rng = random.Random(9)
+    hits = 0
+    for _ in range(60):
+        item = "".join(rng.choices("abcd ", k=rng.randint(40, 130))).strip().replace("  ", " a")
+        part = item[rng.choice([0, 0, 20]) :]
+        for _ in range(rng.randint(0, 16)):
+            at = rng.randrange(len(part))
+            part = part[:at] + rng.choice(["", "c", "xx"]) + part[at + 1 :]
+        text = decontam.normal("zz " * 9 + part + " yy" * 9)
+        stretch = decontam.Stretch(1, decontam.normal(item), decontam.ERROR_RATE, True)
+        expected = []
+        for low, high in stretch.spans:
+            a, b = stretch.bounds(low, high)
+            pieces = stretch.groups[high - 1][1] - stretch.groups[low][0]
+            if place := plain_distance(stretch.text[a:b], text, min(int((b - a) * decontam.ERROR_RATE), pieces - 1)):
+                expected.append((low > 0 or high < len(stretch.groups), place[0]))
+        found = decontam.Items({1: [decontam.normal(item)]}, decontam.ERROR_RATE).search(text)
+        assert [(f[4] < len(stretch.text), f[1]) for f in found] == [min(expected)] if expected else found == []
+        hits += bool(expected)
+    assert 10 < hits < 60
+
+
 # top k
 
 
