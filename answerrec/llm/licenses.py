@@ -1,8 +1,9 @@
-"""License scans: n-gram logistic regression names the family of a paragraph, templates confirm it."""
+"""License scans: n-gram logistic regression over windows of a paragraph, templates confirm the family and the place."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,13 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from answerrec.llm.base import fit_in_task
-from answerrec.llm.grams import WORD, mix, packs, shingles, word_hashes
+from answerrec.llm.grams import WORD, mix, pack, packs, shingles, word_hashes
 
 BITS = 14
 BUCKETS = 2**BITS
 UNKNOWN = "unknown"
 SAMPLE_DOCUMENTS = 400
 CONFIRMED_FROM, PARTLY_FROM = 0.6, 0.3
+WINDOWS = (6, 16, 48)  # words; one begins after every third of its length
+AROUND = 60  # words on both sides of a candidate that are compared with the templates as well
+UNIT, SHARED = 2**16, 2000  # letters of a paragraph that are classified at once, and how many of them twice
 
 #: Notices by family; the wording is fixed by the licences. The versions in braces vary.
 TEMPLATES: dict[str, list[str]] = {
@@ -85,12 +89,20 @@ PLAIN = [
     "Conditions of work are free of charge in the library.", "The above list of persons is complete.", "A warranty is included with the machine.",
     "He attributes his success to creative work in common with others.", "The foundation published a paper about free speech.", "We released the results under difficult conditions.",
 ]
-SPLIT = re.compile(r"\n[ \t\r]*\n|\n")
-
-
-def paragraphs(text: str) -> list[str]:
-    """The lines of a text, without empty ones; a license notice in prose is a line or part of one."""
-    return [p for p in SPLIT.split(text) if p.strip()]
+BREAK = re.compile(r"\r\n?|\n")
+MARK = re.compile(r"^[ \t]*(?:dnl|REM)\b")  # comment marks that look like words
+
+
+def paragraphs(lines: list[str]) -> list[tuple[int, int]]:
+    """The first line and the one after the last of each stretch of lines that hold a letter or digit."""
+    out: list[tuple[int, int]] = []
+    for i, line in enumerate(lines):
+        if re.search(r"\w", line):
+            if out and out[-1][1] == i:
+                out[-1] = (out[-1][0], i + 1)
+            else:
+                out.append((i, i + 1))
+    return out
 
 
 def words_of(text: str) -> list[str]:
@@ -124,8 +136,18 @@ class Model:
         total = np.stack([np.bincount(owner, w[bucket], len(texts)) for w in self.weights.T], axis=1)
         return total / np.sqrt(count)[:, None] + self.bias
 
-    def probabilities(self, texts: list[str]) -> np.ndarray:
-        return softmax(self.logits(texts) / self.heat)
+    def windows(self, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Probabilities of the windows from word `begin` to before word `end`, as those of texts of their own."""
+        total, count = np.zeros((len(begin), len(self.names))), np.zeros(len(begin))
+        for n in (1, 2, 3):
+            h, _ = shingles(hashes, np.zeros(len(hashes), np.int8), n)
+            bucket = (mix(h + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int64)
+            sums = np.concatenate((np.zeros((1, len(self.names))), np.cumsum(self.weights[bucket], axis=0)))
+            last = np.maximum(end - n + 1, begin)
+            some = last > begin
+            total[some] += sums[last[some]] - sums[begin[some]]
+            count += last - begin
+        return softmax((total / np.sqrt(np.maximum(count, 1))[:, None] + self.bias) / self.heat)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -145,6 +167,14 @@ def variants(text: str, rng: np.random.Generator) -> Iterator[str]:
     yield "Copyright (c) 2021 The Authors. " + text
 
 
+def cut(line: str, kind: int, rng: np.random.Generator) -> str:
+    """The line, or a window of its words."""
+    words = line.split()
+    size = (len(words), *WINDOWS)[kind]
+    at = rng.integers(0, max(len(words) - size, 0) + 1)
+    return " ".join(words[at : at + size]) if kind else line
+
+
 def fit_licenses(rows: pd.DataFrame, epochs: int = 30) -> Model:
     """Logistic regression by gradient descent on notices, plain sentences and lines of the corpus.
 
@@ -160,9 +190,9 @@ def fit_licenses(rows: pd.DataFrame, epochs: int = 30) -> Model:
             for v in variants(template, rng):
                 texts.append(v)
                 label.append(k)
-    lines = sorted({p[:2000] for t in rows["text"].fillna("") for p in paragraphs(t)}) if len(rows) else []
+    lines = sorted({p[:2000] for t in rows["text"].fillna("") for p in BREAK.split(t) if p.strip()}) if len(rows) else []
     lines = [p for p in lines if not re.search("licen[cs]e|copyright|permission", p, re.I) and " ".join(words_of(p)) not in known]
-    lines = [lines[i] for i in rng.permutation(len(lines))[:2000]]
+    lines = [cut(lines[i], k % 3, rng) for k, i in enumerate(rng.permutation(len(lines))[:2000])]
     plain = [*PLAIN * 3, *lines]
     texts += plain
     label += [0] * len(plain)
@@ -189,35 +219,170 @@ def fit_licenses(rows: pd.DataFrame, epochs: int = 30) -> Model:
     return model
 
 
-def confirm(text: str, family: str) -> tuple[float, int]:
-    """(share of the best template's word pairs that the text holds, its number) for a family."""
-    words = words_of(text)
-    mine = set(zip(words, words[1:]))
-    best = (0.0, -1)
-    for i, template in enumerate(TEMPLATES[family]):
-        theirs = words_of(template)
-        pairs = set(zip(theirs, theirs[1:]))
-        if pairs and (share := len(pairs & mine) / len(pairs)) > best[0]:
-            best = (share, i)
-    return best
+def pairs_of(words: list[str]) -> set[tuple[str, str]]:
+    return set(zip(words, words[1:]))
+
+
+#: Word pairs and number of words of each template; the templates that hold a pair.
+KNOWN = {(f, i): (pairs_of(words_of(t)), len(words_of(t))) for f, texts in TEMPLATES.items() for i, t in enumerate(texts)}
+HOLDERS: dict[tuple[str, str], list[tuple[str, int]]] = {}
+for _name, (_pairs, _) in KNOWN.items():
+    for _pair in _pairs:
+        HOLDERS.setdefault(_pair, []).append(_name)
+
+
+@dataclass
+class Place:
+    share: float  # of the template's word pairs
+    pairs: int
+    family: str
+    template: int
+    start: int  # letters of the paragraph
+    end: int
+
+
+def places(text: str, offset: int) -> list[Place]:
+    """Where stretches hold 30 % of a template's word pairs; a stretch is little longer than its template."""
+    words = [(m.group(), m.start() + offset, m.end() + offset) for m in re.finditer(r"\w+", text)]
+    hits: dict[tuple[str, int], list[int]] = {}
+    for i in range(len(words) - 1):
+        for name in HOLDERS.get((words[i][0], words[i + 1][0]), ()):
+            hits.setdefault(name, []).append(i)
+    out = []
+    for name, at in hits.items():
+        pairs, size = KNOWN[name]
+        reach = size * 4 // 3 + 3
+        held: dict[tuple[str, str], int] = {}
+        first = 0
+        for i in at:
+            pair = words[i][0], words[i + 1][0]
+            held[pair] = held.get(pair, 0) + 1
+            while True:  # the first pair goes if it is too far away or stands in the stretch again
+                head = words[at[first]][0], words[at[first] + 1][0]
+                if i + 2 - at[first] <= reach and held[head] == 1:
+                    break
+                held[head] -= 1
+                if not held[head]:
+                    del held[head]
+                first += 1
+            if len(held) / len(pairs) >= PARTLY_FROM:
+                out.append(Place(len(held) / len(pairs), len(held), *name, words[at[first]][1], words[i + 1][2]))
+    return out
+
+
+def units(blocks: list[str]) -> Iterator[list[tuple[int, int, str]]]:
+    """Groups of bounded size: (number, offset, text) of paragraphs; long ones in parts that overlap."""
+    held, size = [], 0
+    for i, block in enumerate(blocks):
+        at = 0
+        while at < len(block):
+            part = block[at : at + UNIT]
+            if size + len(part) > 2 * UNIT and held:
+                yield held
+                held, size = [], 0
+            held.append((i, at, part))
+            size += len(part)
+            at += UNIT - SHARED if at + UNIT < len(block) else len(block)
+    if held:
+        yield held
+
+
+def spans(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, word after the last, unit) of all windows of units with so many words."""
+    begins, ends, owners = [], [], []
+    for k, (first, n) in enumerate(zip(np.cumsum(counts) - counts, counts)):
+        for size in WINDOWS:
+            if not n:
+                break
+            begin = np.append(np.arange(0, max(n - size, 0), size // 3), max(n - size, 0))
+            begins.append(begin + first)
+            ends.append(np.minimum(begin + size, n) + first)
+            owners.append(np.full(len(begin), k))
+            if n <= size:
+                break
+    none = np.empty(0, np.int64)
+    return tuple(np.concatenate([none, *x]).astype(np.int64) for x in (begins, ends, owners))
+
+
+def free(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether none of the sorted stretches, which do not overlap, has a letter of this one."""
+    before = bisect_left(taken, (end,)) - 1
+    return before < 0 or taken[before][1] <= start
+
+
+@dataclass
+class Region:
+    """A stretch of a paragraph whose windows are candidates, with its surroundings."""
+
+    start: int  # letters of the paragraph
+    end: int
+    chance: np.ndarray  # by class: the largest one, of the unknown class the smallest
+    places: list[Place]
+
+
+def regions(blocks: list[str], model: Model, least: float) -> Iterator[tuple[int, Region]]:
+    """(paragraph, region) of all candidates."""
+    for group in units(blocks):
+        buffer, starts, _ = pack([(i, t.encode("utf-8", "replace")) for i, _, t in group])
+        hashes, begin, end = word_hashes(buffer, WORD[buffer])
+        owner = np.searchsorted(starts, begin, "right") - 1
+        counts = np.bincount(owner, minlength=len(group))
+        low, high, unit = spans(counts)
+        if not len(low):
+            continue
+        chance = model.windows(hashes, low, high)
+        picked = np.flatnonzero(chance[:, 0] < 1 - least)
+        picked = picked[np.lexsort((low[picked], unit[picked]))]
+        firsts = np.cumsum(counts) - counts
+        joined: list[list] = []  # unit, first word, word after the last, windows
+        for w in picked:
+            k, a, b = int(unit[w]), int(low[w]), int(high[w])
+            if joined and joined[-1][0] == k and a <= joined[-1][2]:
+                joined[-1][2] = max(joined[-1][2], b)
+                joined[-1][3].append(w)
+            else:
+                joined.append([k, a, b, [w]])
+        for k, a, b, members in joined:
+            a, b = max(a - AROUND, firsts[k]), min(b + AROUND, firsts[k] + counts[k])
+            i, offset, _ = group[k]
+            offset += len(buffer[starts[k] : begin[a]].tobytes().decode())
+            text = buffer[begin[a] : end[b - 1]].tobytes().decode()
+            best = chance[members].max(axis=0)
+            best[0] = chance[members, 0].min()
+            yield i, Region(offset, offset + len(text), best, places(text, offset))
 
 
 def scan(text: str, model: Model, least: float) -> list[dict]:
-    """The paragraphs of a text that hold a license notice."""
-    lines = paragraphs(text)
-    if not lines:
-        return []
-    chance = model.probabilities(lines)
+    """The places of a text that hold a license notice, in order."""
+    lines = BREAK.split(text)
+    ranges = paragraphs(lines)
+    bare = [MARK.sub("", line).lower() for line in lines]
+    by_block: dict[int, list[Region]] = {}
+    for i, region in regions(["\n".join(bare[a:b]) for a, b in ranges], model, least):
+        by_block.setdefault(i, []).append(region)
     out = []
-    for i in np.flatnonzero(chance[:, 0] < 1 - least):
-        family = model.names[int(chance[i, 1:].argmax()) + 1]
-        share, number = confirm(lines[i], family)
-        if share < CONFIRMED_FROM:  # another family's template may fit: the templates decide
-            share, number, family = max((*confirm(lines[i], f), f) for f in TEMPLATES)
-        if share >= CONFIRMED_FROM:
-            out.append({"paragraph": int(i), "family": family, "probability": float(chance[i, model.names.index(family)]), "template": number, "overlap": share, "notice": lines[i]})
-        elif chance[i, 0] < 0.5 and share >= PARTLY_FROM:
-            out.append({"paragraph": int(i), "family": UNKNOWN, "probability": float(1 - chance[i, 0]), "template": -1, "overlap": share, "notice": lines[i]})
+    for i, found in sorted(by_block.items()):
+        first, last = ranges[i]
+        begins = np.cumsum([0, *(len(line) + 1 for line in bare[first:last])]).tolist()
+
+        def notice(p: Place, family: str, chance: float, number: int, begins=begins, first=first, i=i) -> tuple[int, dict]:
+            a, b = bisect_right(begins, p.start) - 1, bisect_right(begins, p.end - 1)
+            return p.start, {"paragraph": i, "family": family, "probability": chance, "template": number, "overlap": p.share, "notice": "\n".join(lines[first + a : first + b])}
+
+        taken: list[tuple[int, int]] = []
+        rows: list[tuple[int, dict]] = []
+        # the best template decides; of equal ones the longer, then the family the classifier prefers
+        order = lambda x: (-x[0].share, -x[0].pairs, -x[1], x[0].family, x[0].template, x[0].start)
+        for p, chance in sorted(((p, float(r.chance[model.names.index(p.family)])) for r in found for p in r.places if p.share >= CONFIRMED_FROM), key=order):
+            if free(taken, p.start, p.end):
+                insort(taken, (p.start, p.end))
+                rows.append(notice(p, p.family, chance, p.template))
+        for r in found:
+            if r.chance[0] < 0.5 and r.places and free(taken, r.start, r.end):
+                p = max(r.places, key=lambda p: (p.share, p.pairs, -p.start))
+                insort(taken, (p.start, p.end))
+                rows.append(notice(p, UNKNOWN, float(1 - r.chance[0]), -1))
+        out += [row for _, row in sorted(rows, key=lambda x: x[0])]
     return out
 
 
@@ -231,14 +396,18 @@ def train_licenses(docs: DataFrame, limit: int = SAMPLE_DOCUMENTS) -> Model:
 
 
 def scan_licenses(docs: DataFrame, model: Model, least: float = 0.2) -> DataFrame:
-    """Adds `licenses`: the paragraphs (lines) of the whole text that hold a license notice.
-
-    A paragraph is a candidate if the classifier gives it at least `least` of being any
-    license. It is then compared with the templates: a family whose template it holds to 60 %
-    of its word pairs is confirmed; a candidate above one half that holds 30 % of one is
-    reported as `unknown`. Null and empty texts, and texts without notices, give an empty
-    array. Repeated rows give repeated results, an empty table an empty one; a column of that
-    name is replaced. Nothing is shuffled.
+    """Adds `licenses`: the places of the whole text that hold a license notice.
+
+    A paragraph is a stretch of lines between lines without letters and digits (blank ones,
+    or only comment marks), so a notice may run over its lines. Windows of 6, 16 and 48 words
+    of a paragraph are candidates if the classifier gives them at least `least` of being any
+    license; what else stands in the paragraph does not count. The words around candidates
+    are then compared with the templates: a stretch that holds 60 % of a template's word pairs
+    is a notice of its family, the best template first, without overlaps. Candidates above one
+    half without such a stretch, but with 30 % of a template, are reported as `unknown`.
+    `paragraph` counts from 0, `notice` is the lines the stretch touches. Null and empty texts,
+    and texts without notices, give an empty array. Repeated rows give repeated results, an
+    empty table an empty one; a column of that name is replaced. Nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

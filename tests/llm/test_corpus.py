@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import sys
+import textwrap
 from collections import Counter
 from pathlib import Path
 
@@ -301,6 +302,22 @@ def test_licenses(spark):
     assert out == {1: ["mit"], 2: ["gpl"], 3: ["cc"], 4: ["apache"], 5: [], 6: []}
 
 
+def test_licenses_over_several_lines_and_in_long_ones(spark):
+    rng = random.Random(12)
+    prose = lambda n: " ".join(rng.choices("the garden river house walked slowly under morning bread table was of and in a long story".split(), k=n))
+    wrapped = lambda text, mark="": "\n".join(mark + x for x in textwrap.wrap(text, 72))
+    mit, bsd, gpl = licenses.TEMPLATES["mit"][2], licenses.TEMPLATES["bsd"][1], licenses.TEMPLATES["gpl"][1]
+    docs = [
+        (1, "Title\n\n" + wrapped(mit)), (2, wrapped(bsd, " * ")), (3, "/*\n" + wrapped(gpl, " # ") + "\n */"), (4, wrapped(mit, "dnl ")),
+        (5, prose(3000) + " Released under the MIT License. " + prose(3000)), (6, prose(300) + " " + gpl + " " + prose(20000)),
+        (7, prose(9) + "\n" + licenses.TEMPLATES["mit"][0] + "\nLicensed under CC BY-SA 4.0.\n" + prose(9)), (8, prose(9000)),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(frame, licenses.train_licenses(frame)).collect()}
+    assert {i: [f["family"] for f in found] for i, found in out.items()} == {1: ["mit"], 2: ["bsd"], 3: ["gpl"], 4: ["mit"], 5: ["mit"], 6: ["gpl"], 7: ["mit", "cc"], 8: []}
+    assert out[1][0]["paragraph"] == 1 and out[1][0]["notice"] == wrapped(mit) and out[3][0]["overlap"] == 1
+
+
 # pages
 
 
