@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -35,7 +37,7 @@ CLOSE_P = (BLOCK - {"li", "td", "th", "tr", "thead", "tbody", "tfoot", "caption"
 INSIDE_HEAD = set("title meta link style script base noscript template".split())
 INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
-DEEPEST = 150  # elements nested deeper stand beside their parent
+DEEPEST = 150  # blocks nested deeper are not indented or aligned any more
 WIDEST = 60  # a cell wider than this does not widen its column
 
 
@@ -54,32 +56,38 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.at: dict[str, list[int]] = defaultdict(list)  # places of each tag among the open elements
+
+    def nearest(self, *tags: str) -> int:
+        """The place of the innermost open element of these tags, 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=0)
+
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.open))
+        self.open.append(node)
+
+    def close_from(self, place: int) -> None:
+        while len(self.open) > place:
+            self.at[self.open.pop().tag].pop()
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("html", "body") and any(n.tag == tag for n in self.open):
+        if tag == "html" or (tag == "body" and self.at[tag]):
             return
         if self.open[-1].tag == "head" and tag not in INSIDE_HEAD:
-            self.open.pop()  # the body begins where the head ends
+            self.close_from(len(self.open) - 1)  # the body begins where the head ends
         if tag in ENDS:
             ended, border = ENDS[tag]
-            for at in range(len(self.open) - 1, 0, -1):
-                if self.open[at].tag in border:
-                    break
-                if self.open[at].tag in ended:
-                    del self.open[at:]
-        if tag in CLOSE_P:
-            for at in range(len(self.open) - 1, 0, -1):
-                if self.open[at].tag in ("td", "th", "table", "button"):
-                    break
-                if self.open[at].tag == "p":
-                    del self.open[at:]
-                    break
+            low = self.nearest(*border)
+            above = [places[k] for t in ended if (k := bisect_right(places := self.at[t], low)) < len(places)]
+            self.close_from(min(above, default=len(self.open)))
+        if tag in CLOSE_P and (at := self.nearest("p")) > self.nearest("td", "th", "table", "button"):
+            self.close_from(at)
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-            self.open.pop()
+            self.close_from(len(self.open) - 1)
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEEPEST:
-            self.open.append(node)
+        if tag not in VOID:
+            self.push(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
@@ -89,18 +97,16 @@ class Tree(HTMLParser):
             self.handle_starttag("br", [])
         if tag in ("html", "body"):
             return
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag == tag:
-                del self.open[at:]
-                return
-            if self.open[at].tag in ("td", "th", "table") and tag not in ("tr", "table", "tbody", "thead", "tfoot"):
-                return  # a stray end tag in a cell does not reach out of it
+        at = self.nearest(tag)
+        # a stray end tag in a cell does not reach out of it
+        if at and (tag in ("tr", "table", "tbody", "thead", "tfoot") or at >= self.nearest("td", "th", "table")):
+            self.close_from(at)
 
     def handle_data(self, data):
         if self.open[-1].tag == "head":
             if not data.strip():
                 return
-            self.open.pop()
+            self.close_from(len(self.open) - 1)
         self.open[-1].children.append(data)
 
     def parse_marked_section(self, i, report=1):
@@ -129,17 +135,38 @@ def shown(node: Node) -> list[Node | str]:
 
 def inside(node: Node) -> Iterator[Node | str]:
     """Texts, line breaks and blocks in order; inline elements are dissolved."""
-    for child in shown(node):
-        if isinstance(child, str):
+    left = [iter(shown(node))]
+    while left:
+        child = next(left[-1], None)
+        if child is None:
+            left.pop()
+        elif isinstance(child, str):
             yield child
         elif visible(child):
             if child.tag == "br" or child.tag in BLOCK:
                 yield child
             else:
-                yield from inside(child)
+                left.append(iter(shown(child)))
+
+
+#: A layout that yields the layouts of the blocks in it and returns its lines.
+Layout = Generator["Layout", list[str], list[str]]
 
 
-def flow(node: Node, tight: bool = False) -> list[str]:
+def lay_out(layout: Layout) -> list[str]:
+    """The lines of a layout; nested blocks stand on a stack, not in calls."""
+    stack, lines = [layout], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(lines))
+            lines = None
+        except StopIteration as done:
+            stack.pop()
+            lines = done.value
+    return lines
+
+
+def flow(node: Node, tight: bool = False, depth: int = 0) -> Layout:
     """The lines of an element's content. Blocks get lines of their own, spaced ones a blank line around."""
     lines: list[str] = []
     words: list[str] = []
@@ -162,12 +189,15 @@ def flow(node: Node, tight: bool = False) -> list[str]:
             flush(always=True)
         else:
             flush()
-            block = render(part, tight)
+            block = yield render(part, tight, depth + 1)
             spaced = part.tag in SPACED and not tight
             if block:
                 if (gap or spaced) and lines and lines[-1]:
                     lines.append("")
-                lines += block
+                if lines:
+                    lines += block
+                else:
+                    lines = block
                 gap = spaced
             elif spaced:
                 gap = bool(lines)
@@ -177,24 +207,36 @@ def flow(node: Node, tight: bool = False) -> list[str]:
     return lines
 
 
-def render(node: Node, tight: bool = False) -> list[str]:
+def render(node: Node, tight: bool, depth: int) -> Layout:
     if node.tag in ("ul", "ol", "menu", "dir"):
-        return listing(node)
+        return (yield listing(node, depth))
     if node.tag == "table":
-        return grid(node)
+        return (yield grid(node, depth))
     if node.tag == "pre":
         text = raw(node)
         return text.removeprefix("\n").rstrip().split("\n") if text.strip() else []
-    if node.tag in ("blockquote", "dd"):
-        return ["    " + x if x else x for x in flow(node, tight)]
-    return flow(node, tight)
+    lines = yield flow(node, tight, depth)
+    if node.tag in ("blockquote", "dd") and depth < DEEPEST:
+        return ["    " + x if x else x for x in lines]
+    return lines
 
 
 def raw(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else raw(c) if visible(c) else "" for c in shown(node))
+    out, left = [], [iter(shown(node))]
+    while left:
+        child = next(left[-1], None)
+        if child is None:
+            left.pop()
+        elif isinstance(child, str):
+            out.append(child)
+        elif child.tag == "br":
+            out.append("\n")
+        elif visible(child):
+            left.append(iter(shown(child)))
+    return "".join(out)
 
 
-def listing(node: Node) -> list[str]:
+def listing(node: Node, depth: int) -> Layout:
     """Items with a dash or their number; what follows in an item is indented."""
     lines: list[str] = []
     start = node.attrs.get("start", "1")
@@ -204,35 +246,42 @@ def listing(node: Node) -> list[str]:
             lines += [t] if (t := BLANKS.sub(" ", part).strip(" ")) else []
             continue
         if part.tag != "li":
-            lines += ["  " + x if x else x for x in render(part, True)]
+            block = yield render(part, True, depth + 1)
+            lines += ["  " + x if x and depth < DEEPEST else x for x in block]
             continue
         mark = f"{number}. " if node.tag == "ol" else "- "
         number += 1
-        item = flow(part, True)
-        lines += [(mark if i == 0 else " " * len(mark)) + x for i, x in enumerate(item)]
+        item = yield flow(part, True, depth + 1)
+        lines += [(mark if i == 0 else " " * len(mark) if depth < DEEPEST else "") + x for i, x in enumerate(item)]
     return lines
 
 
-def grid(node: Node) -> list[str]:
+def grid(node: Node, depth: int) -> Layout:
     """A caption, then the rows with their columns aligned two spaces apart."""
     before: list[str] = []
     rows: list[list[tuple[list[str], int]]] = []
 
-    def collect(part: Node) -> None:
+    def collect(part: Node) -> Layout:
         for child in inside(part):
             if isinstance(child, str):
                 before.extend([t] if (t := BLANKS.sub(" ", child).strip(" ")) else [])
             elif child.tag == "tr":
                 cells = [c for c in inside(child) if isinstance(c, Node)]
-                rows.append([(flow(c, True) or [""], span(c)) for c in cells])
+                row = []
+                for c in cells:
+                    row.append(((yield flow(c, True, depth + 1)) or [""], span(c)))
+                rows.append(row)
             elif child.tag in ("thead", "tbody", "tfoot"):
-                collect(child)
+                yield collect(child)
             elif child.tag in ("td", "th"):  # a cell without its row
-                rows.append([(flow(child, True) or [""], span(child))])
+                rows.append([((yield flow(child, True, depth + 1)) or [""], span(child))])
             else:
-                before.extend(render(child, True))
+                before.extend((yield render(child, True, depth + 1)))
+        return []
 
-    collect(node)
+    yield collect(node)
+    if depth >= DEEPEST:
+        return before + [x for row in rows for lines, _ in row for x in lines if x]
     widths: dict[int, int] = {}
     for row in rows:
         at = 0
@@ -261,7 +310,7 @@ def span(cell: Node) -> int:
 
 
 def text_of(html: str | None) -> str:
-    return "\n".join(flow(tree(html))) if html else ""
+    return "\n".join(lay_out(flow(tree(html)))) if html else ""
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -272,8 +321,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     their own, paragraphs, headings, lists and tables with a blank line around; list items
     have a dash or a number; table cells are aligned; preformatted text keeps its blanks.
     Null and empty pages give an empty text, text without markup itself. Broken markup is
-    read by the rules of implied and stray tags; nothing raises. Elements nested more than
-    150 deep stand beside each other. Repeated rows give repeated results, an empty table an
+    read by the rules of implied and stray tags; nothing raises. Elements may be nested to
+    any depth; blocks more than 150 deep are not indented, tables there not aligned. Repeated rows give repeated results, an empty table an
     empty one; a column `text` is replaced. Each page is read whole, where it lies.
     """
 

@@ -328,6 +328,20 @@ def test_layout():
     assert html.text_of("<div>" * 3000 + "deep") == "deep" and html.text_of("</p></div><td>x") == "x"
 
 
+def test_deep_pages_lose_and_show_nothing_else():
+    deep = "<div>" * 170
+    assert html.text_of("<div>" * 147 + "<table><tr><td>cell</td><td>two</td></tr></table>") == "cell  two"
+    for n in range(140, 160):
+        assert html.text_of("<div>" * n + "<table><tr><td>cell<td>two</table>").split() == ["cell", "two"]
+        hidden = "a<script>no</script><style>no</style><p hidden>no</p><i style='display:none'>no</i>b"
+        assert html.text_of("<div>" * n + hidden).split() == ["a", "b"] or html.text_of("<div>" * n + hidden) == "ab"
+    assert html.text_of("<span hidden>" + deep + "no" + "</div>" * 170 + "</span>yes") == "yes"
+    assert html.text_of("<section hidden>" + deep + "<section>no</section>no</div></section>yes") == "yes"
+    assert html.text_of("<b>" * 50000 + "x" + "</b>" * 50000 + "y") == "xy"
+    assert html.text_of("".join(f"<blockquote>w{i} " for i in range(5000))).split() == [f"w{i}" for i in range(5000)]
+    assert html.text_of("<ul><li>" * 20000 + "x" + "<pre>" + "<i>" * 20000 + "y").split()[-2:] == ["x", "y"]
+
+
 def test_pages_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (2, "<p>a", None), (None, "<p>" + LONG, "t")], "page_id long, html string, text string")
     out = html.extract_text(pages)
