@@ -7,16 +7,19 @@ from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Elements that are not drawn where they stand, inside the element of the key.
+NOT_DRAWN = {"svg": set("title desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter".split()), "math": set("annotation annotation-xml mphantom".split())}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("head title script style template noscript iframe object applet canvas audio video svg math datalist meta link base noembed noframes".split())
+HIDDEN = set("head title script style template noscript iframe object applet canvas audio video datalist meta link base noembed noframes".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol menu dl table blockquote pre hr figure fieldset article section".split())
-BLOCK = SPACED | set("address aside body center dd details dialog dir div dt figcaption footer form header hgroup html legend li main nav search summary caption thead tbody tfoot tr td th option optgroup".split())
+BLOCK = SPACED | set("address aside body center dd details dialog dir div dt figcaption footer form header hgroup html legend li main nav search summary caption thead tbody tfoot tr td th option optgroup text".split())  # text is one of svg
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag ends these open elements, looking up as far as one of the second set.
 ENDS: dict[str, tuple[set[str], set[str]]] = {
@@ -33,12 +36,13 @@ ENDS: dict[str, tuple[set[str], set[str]]] = {
     "optgroup": ({"optgroup", "option"}, {"select", "table"}),
     "body": ({"head"}, set()),
 }
-CLOSE_P = (BLOCK - {"li", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "option", "optgroup", "html", "body"}) | {"li", "dd", "dt"}
+CLOSE_P = (BLOCK - {"li", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "option", "optgroup", "html", "body", "text"}) | {"li", "dd", "dt"}
 INSIDE_HEAD = set("title meta link style script base noscript template".split())
 INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 DEEPEST = 150  # blocks nested deeper are not indented or aligned any more
 WIDEST = 60  # a cell wider than this does not widen its column
+COLUMNS = 1000  # columns beyond this are not kept free below a cell of several rows
 
 
 class Node:
@@ -85,12 +89,16 @@ class Tree(HTMLParser):
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
             self.close_from(len(self.open) - 1)
         node = Node(tag, {k: v or "" for k, v in attrs})
+        if any(self.at[kind] and tag in tags for kind, tags in NOT_DRAWN.items()):
+            node.attrs["hidden"] = ""
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.push(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
+        if self.nearest("svg", "math") > self.nearest("foreignobject") and self.open[-1].tag == tag:
+            self.close_from(len(self.open) - 1)  # but it closes drawings and formulas
 
     def handle_endtag(self, tag):
         if tag == "br":
@@ -257,53 +265,82 @@ def listing(node: Node, depth: int) -> Layout:
 
 
 def grid(node: Node, depth: int) -> Layout:
-    """A caption, then the rows with their columns aligned two spaces apart."""
+    """A caption and what stands between cells, then the rows with their columns aligned two spaces apart."""
     before: list[str] = []
-    rows: list[list[tuple[list[str], int]]] = []
+    rows: list[list[tuple[list[str], int, int]]] = []  # lines, first column, number of columns
+
+    def loose(words: list[str]) -> None:
+        before.extend([t] if (t := BLANKS.sub(" ", "".join(words)).strip(" ")) else [])
+        words.clear()
+
+    def line(cells: list[Node], taken: dict[int, float]) -> Layout:
+        """A row beside the cells that reach down into it: `taken` has the row after their last one by column."""
+        row, at = [], 0
+        for cell in cells:
+            while taken.get(at, 0) > len(rows):
+                at += 1
+            wide, down = span(cell), height(cell)
+            row.append(((yield flow(cell, True, depth + 1)) or [""], at, wide))
+            if down > 1:
+                for column in range(at, min(at + wide, COLUMNS)):
+                    taken[column] = max(taken.get(column, 0), len(rows) + down)
+            at += wide
+        rows.append(row)
+        return []
 
     def collect(part: Node) -> Layout:
+        taken: dict[int, float] = {}
         for child in inside(part):
             if isinstance(child, str):
-                before.extend([t] if (t := BLANKS.sub(" ", child).strip(" ")) else [])
+                loose([child])
             elif child.tag == "tr":
-                cells = [c for c in inside(child) if isinstance(c, Node)]
-                row = []
-                for c in cells:
-                    row.append(((yield flow(c, True, depth + 1)) or [""], span(c)))
-                rows.append(row)
+                cells, words = [], []
+                for c in inside(child):
+                    if isinstance(c, str):
+                        words.append(c)
+                    else:
+                        loose(words)
+                        cells += [c] if c.tag != "br" else []
+                loose(words)
+                yield line(cells, taken)
             elif child.tag in ("thead", "tbody", "tfoot"):
+                taken = {}  # no cell reaches out of its part of the table
                 yield collect(child)
             elif child.tag in ("td", "th"):  # a cell without its row
-                rows.append([((yield flow(child, True, depth + 1)) or [""], span(child))])
+                yield line([child], taken)
             else:
                 before.extend((yield render(child, True, depth + 1)))
         return []
 
     yield collect(node)
     if depth >= DEEPEST:
-        return before + [x for row in rows for lines, _ in row for x in lines if x]
+        return before + [x for row in rows for lines, *_ in row for x in lines if x]
     widths: dict[int, int] = {}
     for row in rows:
-        at = 0
-        for lines, wide in row:
+        for lines, at, wide in row:
             if wide == 1:
                 longest = max(map(len, lines))
                 widths[at] = max(widths.get(at, 0), longest if longest <= WIDEST else 0)
-            at += wide
+    columns = max((at + wide for row in rows for _, at, wide in row), default=0)
+    places = [0, *accumulate(widths.get(c, 0) + 2 for c in range(columns))]
     out = before
     for row in rows:
-        for i in range(max((len(lines) for lines, _ in row), default=0)):
-            text, at, place = "", 0, 0
-            for lines, wide in row:
-                text = text.ljust(place) if len(text) <= place else text + "  "
+        for i in range(max((len(lines) for lines, *_ in row), default=0)):
+            text = ""
+            for lines, at, _ in row:
+                text = text.ljust(places[at]) if len(text) <= places[at] else text + "  "
                 text += lines[i] if i < len(lines) else ""
-                place += sum(widths.get(c, 0) + 2 for c in range(at, at + wide))
-                at += wide
             if text.strip():
                 out.append(text.rstrip())
     return out
 
 
+def height(cell: Node) -> float:
+    """The number of rows a cell reaches over; 0 is all that follow."""
+    value = cell.attrs.get("rowspan", "1")
+    return int(value) or float("inf") if re.fullmatch(r"\d{1,6}", value, re.ASCII) else 1
+
+
 def span(cell: Node) -> int:
     value = cell.attrs.get("colspan", "1")
     return max(1, min(100, int(value))) if re.fullmatch(r"\d{1,6}", value) else 1
@@ -319,7 +356,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     Elements that are never shown (head, scripts, styles, templates, `hidden`, display none,
     closed dialogs, the inside of closed details) are left out. Blocks stand on lines of
     their own, paragraphs, headings, lists and tables with a blank line around; list items
-    have a dash or a number; table cells are aligned; preformatted text keeps its blanks.
+    have a dash or a number; table cells are aligned, below a cell of several rows its columns
+    stay free, and text between cells stands before the rows; preformatted text keeps its blanks.
     Null and empty pages give an empty text, text without markup itself. Broken markup is
     read by the rules of implied and stray tags; nothing raises. Elements may be nested to
     any depth; blocks more than 150 deep are not indented, tables there not aligned. Repeated rows give repeated results, an empty table an

@@ -342,6 +342,26 @@ def test_deep_pages_lose_and_show_nothing_else():
     assert html.text_of("<ul><li>" * 20000 + "x" + "<pre>" + "<i>" * 20000 + "y").split()[-2:] == ["x", "y"]
 
 
+def test_tables_lose_no_text_and_keep_columns():
+    assert html.text_of("<table><tr>Total<td>5</table>") == "Total\n5"
+    assert html.text_of("<table><tr><b>Grand</b> total<td>x<td>1<tr><td>y<i>z</i><td>2</tr>end</table>") == "Grand total\nend\nx   1\nyz  2"
+    spanned = "<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>f<td rowspan=0 colspan=2>g<tr><td>h<td>i<tbody><tr><td>j<td>k</table>"
+    assert html.text_of(spanned) == "a  b  c\n   d  e\nf  g\nh        i\nj  k"
+    assert html.text_of("<p>see <svg><title>no</title><defs><text>no</text></defs><path d='M0'/><text>one</text><text>two</text></svg></p>") == "see\none\ntwo"
+    assert html.text_of("so <math><semantics><mi>x</mi><mo>=</mo><mspace/><mn>5</mn><annotation>no</annotation></semantics></math>.") == "so x=5."
+    rng = random.Random(14)
+    tags = "p div b li ul ol table tr td th tbody thead dl h1 button span br blockquote svg math text mi".split()
+    for _ in range(500):
+        page, words = "", []
+        for _ in range(rng.randint(1, 40)):
+            if rng.random() < 0.4:
+                words.append(f"w{len(words)}")
+                page += f" {words[-1]} "
+            else:
+                page += rng.choice(["<{}>", "<{}>", "</{}>", "<{} rowspan=3>"]).format(rng.choice(tags))
+        assert set(words) <= set(html.text_of(page).split()), page
+
+
 def test_pages_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (2, "<p>a", None), (None, "<p>" + LONG, "t")], "page_id long, html string, text string")
     out = html.extract_text(pages)
