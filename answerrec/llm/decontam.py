@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,7 +79,7 @@ def best_match(peq: dict[str, int], m: int, text: str, most: int) -> tuple[int,
 class Stretch:
     """A normalised text that is searched: an item or one of its lines, its pieces, groups and windows."""
 
-    def __init__(self, item: int, text: str, rate: float, windows: bool):
+    def __init__(self, item: int | None, text: str, rate: float, windows: bool):
         self.item, self.text, self.rate = item, text, rate
         size = len(text)
         parts = max(int(size * rate) + 1, size // PIECE)
@@ -159,16 +159,17 @@ class Stretch:
 class Items:
     """A block of items: its automaton of pieces is built once per worker."""
 
-    texts: dict[int, list[str]]  # normalised, by item id: the whole, then the lines that count alone
+    texts: dict[int, list[str]]  # normalised, by key: the whole, then the lines that count alone
     rate: float
+    ids: dict[int, int | None] = field(default_factory=dict)  # item ids by key, where they differ
     _ready: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return {"texts": self.texts, "rate": self.rate, "_ready": {}}
+        return {"texts": self.texts, "rate": self.rate, "ids": self.ids, "_ready": {}}
 
     def ready(self):
         if not self._ready:
-            stretches = [Stretch(item, t, self.rate, i == 0) for item, texts in self.texts.items() for i, t in enumerate(texts)]
+            stretches = [Stretch(self.ids.get(key, key), t, self.rate, i == 0) for key, texts in self.texts.items() for i, t in enumerate(texts)]
             pieces: dict[str, list[tuple[int, int, int]]] = {}
             for s, stretch in enumerate(stretches):
                 for g, (low, high) in enumerate(stretch.groups):
@@ -181,7 +182,7 @@ class Items:
             self._ready = {"automaton": automaton, "stretches": stretches}
         return self._ready
 
-    def search(self, raw: str | None) -> list[tuple[int, int, int, int, int]]:
+    def search(self, raw: str | None) -> list[tuple[int | None, int, int, int, int]]:
         """(item, distance, start, end, letters) of the best place of each item found, in the normalised text."""
         if not raw or not self.texts:
             return []
@@ -193,14 +194,16 @@ class Items:
             for s, piece, group in places:
                 if stretches[s].fits(text, at, piece, group):
                     hits.setdefault(s, []).append((at - stretches[s].cuts[piece], group))
-        out: dict[int, tuple[int, int, int, int]] = {}
-        for s in sorted(hits):  # an item comes before its lines
+        out: dict[int | None, tuple[int, int, int, int]] = {}
+        for s in sorted(hits):
             item = stretches[s].item
-            if item in out and out[item][3] >= len(stretches[s].text):
+            if item in out and out[item][3] > len(stretches[s].text):
                 continue
-            if found := stretches[s].best(text, hits[s]):
+            found = stretches[s].best(text, hits[s])
+            # the text or line of an item of which most is found, then the least distance, the first place
+            if found and (item not in out or (-found[3], *found) < (-out[item][3], *out[item])):
                 out[item] = found
-        return sorted((item, *found) for item, found in out.items())
+        return sorted(((item, *found) for item, found in out.items()), key=lambda f: (f[0] is None, f[0] or 0))
 
 
 def stretches_of(raw: str, min_chars: int) -> list[str]:
@@ -221,38 +224,48 @@ def merged(begins: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
     return out
 
 
-def find_items(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block: int = BLOCK_ITEMS) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block: int = BLOCK_ITEMS, unnamed: bool = False) -> DataFrame:
     """Adds `found`: for each item of a benchmark that the text holds, its best place.
 
     Texts and items are compared in lower case, with everything but letters and digits as one
     space. An item is found if a stretch of the text is within floor(rate x length) edits of
     the whole item or, where that is not so, of one of its windows (60 % of the item in its
     pieces of at most 10 letters, at most 16 pieces; one begins every second piece) or of one
-    of its lines of 50 letters or more, with their own length and fewer edits than pieces. `distance`, `start` and `end`
-    (in the normalised text) describe the best place of the whole, or else of what is found
-    of it; `letters` is how many letters of the item were compared. Items that are null or normalise to fewer than
-    `min_chars` letters are too short to prove anything and are never found; of items with a
-    common id the longest text counts. Null and empty texts hold nothing; repeated rows are
-    each searched; an empty table on either side gives no places. Other columns stay.
+    of its lines of 50 letters or more, with their own length and fewer edits than pieces.
+    `distance`, `start` and `end` (in the normalised text) describe the best place of the
+    whole, or else of what is found of it; `letters` is how many letters of the item were
+    compared. Items that are null or normalise to fewer than `min_chars` letters are too short
+    to prove anything and are never found. Of several texts with a common id each is searched,
+    and the one of which most is found is described; texts without id are searched if
+    `unnamed` is set, together as one item without id. Null and empty texts hold nothing;
+    repeated rows are each searched; an empty table on either side gives no places. Other
+    columns stay.
 
     Items are broadcast in blocks of at most `block`, one pass over the texts for each block;
     a benchmark of any size thus never needs more than one block in memory, and the texts are
     not shuffled at all.
     """
     spark = docs.sparkSession
-    named = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
-    ordered = named.groupBy("item_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
-    count = ordered.count()
+    some = F.col("text").isNotNull() if unnamed else F.col("item_id").isNotNull() & F.col("text").isNotNull()
+    texts = items.where(some).select(F.col("item_id").cast("long"), "text").distinct()
+    count = texts.count()
     blocks = max(1, -(-count // block))
-    ordered = checkpoint(ordered.withColumn("_block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))) if blocks > 1 else ordered.withColumn("_block", F.lit(0))
+    texts = checkpoint(texts.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))) if blocks > 1 else texts.withColumn("_block", F.lit(0))
     kept = [c for c in docs.columns if c != "found"]
     out = docs.select(*kept).withColumn("found", F.array().cast(FOUND))
     for k in range(blocks):
-        rows = ordered.where(F.col("_block") == k).select("item_id", "text").toLocalIterator()
-        texts = {r["item_id"]: stretches_of(r["text"], min_chars) for r in rows}
-        shared = spark.sparkContext.broadcast(Items({i: t for i, t in sorted(texts.items()) if t}, rate))
-        out = out.withColumn("found", F.concat("found", searcher(shared)("text")))
-    return out
+        rows = texts.where(F.col("_block") == k).select("item_id", "text").toLocalIterator()
+        rows = sorted(((r["item_id"], t) for r in rows if (t := stretches_of(r["text"], min_chars))), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        keyed = Items({key: t for key, (_, t) in enumerate(rows)}, rate, {key: item for key, (item, _) in enumerate(rows)})
+        out = out.withColumn("found", F.concat("found", searcher(spark.sparkContext.broadcast(keyed))("text")))
+    return out.withColumn("found", best_of_each("found")) if blocks > 1 else out
+
+
+def best_of_each(found: str) -> Column:
+    """One place for each item, as a single block of items would give it."""
+    ranked = F.sort_array(F.transform(found, lambda f: F.struct(f["item_id"].alias("item_id"), (-f["letters"]).alias("less"), f["distance"], f["start"], f["end"])))
+    firsts = F.filter(ranked, lambda f, i: (i == 0) | ~F.get(ranked, i - 1)["item_id"].eqNullSafe(f["item_id"]))
+    return F.transform(firsts, lambda f: F.struct(f["item_id"], f["distance"], f["start"], f["end"], -f["less"])).cast(FOUND)
 
 
 def searcher(shared):
@@ -268,7 +281,7 @@ def searcher(shared):
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` whose text holds no item of the benchmark, with their columns."""
-    found = find_items(docs.withColumnRenamed("found", "_found_before") if "found" in docs.columns else docs, items, **options)
+    """The rows of `docs` whose text holds no item of the benchmark, with or without id, with their columns."""
+    found = find_items(docs.withColumnRenamed("found", "_found_before") if "found" in docs.columns else docs, items, unnamed=True, **options)
     clean = found.where(F.size("found") == 0).drop("found")
     return clean.withColumnRenamed("_found_before", "found") if "found" in docs.columns else clean

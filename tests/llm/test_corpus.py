@@ -216,6 +216,16 @@ def test_items_changed_or_left_in_part_are_found():
     assert found(words(60)) == [] and found(several[0][:40]) == []
 
 
+def test_all_texts_of_items_are_searched(spark):
+    a, b, c, d = ("the first long passage of a benchmark item", "another passage that has the very same id", "a passage that came without any id at all", "the last passage, which is an item of its own")
+    items = spark.createDataFrame([(1, a + " and more"), (1, b), (None, c), (2, d), (1, b)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + b), (2, c + " y"), (3, a + " and more " + b), (4, d), (5, "clean")], "doc_id long, text string")
+    for block in (20_000, 1):
+        found = {r["doc_id"]: [(f["item_id"], f["distance"], f["letters"]) for f in r["found"]] for r in decontam.find_items(docs, items, block=block).collect()}
+        assert found == {1: [(1, 0, len(b))], 2: [], 3: [(1, 0, len(a) + 9)], 4: [(2, 0, len(d) - 1)], 5: []}
+        assert [r["doc_id"] for r in decontam.decontaminate(docs, items, block=block).collect()] == [5]
+
+
 def test_whole_items_and_windows_equal_brute_force():
     rng = random.Random(9)
     hits = 0
