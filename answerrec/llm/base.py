@@ -6,7 +6,10 @@ import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +77,14 @@ def fit_in_task(sample: DataFrame, fit: Callable[[pd.DataFrame], Any]) -> Any:
 
     found = sample.repartition(1).mapInPandas(run, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else fit(pd.DataFrame(columns=columns))
+
+
+def byte_slices(batch: pa.RecordBatch, column: int = 0, limit: int = 2**21) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts have at most `limit` bytes together; a longer text is alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop

@@ -17,6 +17,7 @@ from answerrec.llm.licenses import scan_licenses, train_licenses
 from answerrec.llm.lines import dedup_lines
 from answerrec.llm.neardup import near_duplicates
 from answerrec.llm.quality import score_quality, train_quality
+from answerrec.llm.simhash import simhash_duplicates
 from answerrec.llm.topk import top_inner_products
 from answerrec.llm.toxicity import score_toxicity, train_toxicity
 
@@ -79,6 +80,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP6_SQL = """
 with lines as (
     select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
@@ -102,7 +107,7 @@ from marked group by doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
-    for q in (op1_toxicity, op2_licenses, op3_bpe, op4_topk, op5_quality, op6_line_dedup, op7_language, op8_decontamination, op9_html, op10_near_duplicates)
+    for q in (op1_toxicity, op2_licenses, op3_bpe, op4_topk, op5_quality, op6_line_dedup, op7_language, op8_decontamination, op9_html, op10_near_duplicates, op11_simhash)
 }
 OP4_SQL = """
 with whole as (
