@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from answerrec.llm.base import fold, table
 from answerrec.llm.bpe import encode_texts
+from answerrec.llm.centroids import centroid_clusters
 from answerrec.llm.decontam import find_items
 from answerrec.llm.html import extract_text
 from answerrec.llm.langid import identify, train_languages
@@ -20,6 +21,7 @@ from answerrec.llm.quality import score_quality, train_quality
 from answerrec.llm.simhash import simhash_duplicates
 from answerrec.llm.topk import top_inner_products
 from answerrec.llm.toxicity import score_toxicity, train_toxicity
+from answerrec.llm.whitening import whitened
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 TOXIC_FROM, GOOD_FROM = 0.3, 0.7
@@ -84,6 +86,16 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroid_clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 OP6_SQL = """
 with lines as (
     select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
@@ -107,7 +119,7 @@ from marked group by doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
-    for q in (op1_toxicity, op2_licenses, op3_bpe, op4_topk, op5_quality, op6_line_dedup, op7_language, op8_decontamination, op9_html, op10_near_duplicates, op11_simhash)
+    for q in (op1_toxicity, op2_licenses, op3_bpe, op4_topk, op5_quality, op6_line_dedup, op7_language, op8_decontamination, op9_html, op10_near_duplicates, op11_simhash, op12_centroids, op13_whitening)
 }
 OP4_SQL = """
 with whole as (
@@ -123,4 +135,47 @@ with whole as (
 select query_id, rank, vec_id, score from ranked where rank <= 20
 """
 
-ORACLES = {"op4_topk": OP4_SQL, "op6_line_dedup": OP6_SQL}
+OP12_KEPT = """
+kept as materialized (
+    select row_number() over (order by vec_id, v) as r, vec_id, v from (
+        select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+        from embeddings
+        where vec_id is not null and len(embedding) = 64
+          and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    )
+), entries as materialized (
+    select r, unnest(v) as x, generate_subscripts(v, 1) as d from kept
+), started as materialized (
+    select row_number() over (order by h, v) - 1 as k, v
+    from (select sha256('3:' || vec_id) as h, v from kept order by h, v limit 8)
+), c0 as materialized (
+    select k, generate_subscripts(v, 1) as d, unnest(v) as x from started
+)"""
+OP12_ASSIGN = """
+a{i} as materialized (
+    select r, k, distance from (
+        select *, row_number() over (partition by r order by distance, k) as place from (
+            select r, k, sum((e.x - c.x) * (e.x - c.x)) as distance from entries e join c{i} c using (d) group by r, k
+        )
+    ) where place = 1
+)"""
+OP12_MOVE = """
+c{j} as materialized (
+    select c.k, c.d, case when m.n is null then c.x else (m.s - ((m.s % m.n) + m.n) % m.n) // m.n end as x
+    from c{i} c left join (
+        select k, d, sum(x) as s, count(*) as n from entries join a{i} using (r) group by k, d
+    ) m on c.k = m.k and c.d = m.d
+)"""
+OP12_ROUNDS = 10
+OP12_SQL = f"""
+with {OP12_KEPT}, {", ".join(OP12_ASSIGN.format(i=i) + "," + OP12_MOVE.format(i=i, j=i + 1) for i in range(OP12_ROUNDS))},
+{OP12_ASSIGN.format(i=OP12_ROUNDS)}, digests as (
+    select k, sha256(string_agg(cast(x as varchar), ',' order by d)) as centroid_sha256 from c{OP12_ROUNDS} group by k
+)
+select vec_id, cast(k as integer) as cluster, cast(distance as bigint) as distance,
+       cast(sum(distance) over (partition by k) as bigint) as cluster_inertia,
+       cast(sum(distance) over () as bigint) as inertia, centroid_sha256
+from a{OP12_ROUNDS} join kept using (r) join digests using (k)
+"""
+
+ORACLES = {"op4_topk": OP4_SQL, "op6_line_dedup": OP6_SQL, "op12_centroids": OP12_SQL}
