@@ -7,23 +7,25 @@ all pairs of a batch at once. Words whose proposal fails are merged step by step
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
 import struct
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from answerrec.llm.base import byte_slices, unused
 from answerrec.llm.grams import runs
 
-CACHED_CHUNKS = 300_000
+CACHED = 150_000  # words and stretches whose ids a worker remembers
+SEGMENT = 2**20  # letters of a text that are split at once
 _loaded: dict[bytes, "Vocabulary"] = {}
 
 
@@ -89,7 +91,6 @@ class Vocabulary:
         self.final_ids = np.array([self.final[self.letters[b]] for b in range(256)])
         self.load_merges(model["merges"], size)
         self.cache: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
         self.merged = 0  # words whose proposal failed
 
     def load_merges(self, merges: list[list[str]], size: int) -> None:
@@ -251,14 +252,15 @@ class Vocabulary:
         return self.words.findall(chunk)
 
     def learn(self, chunks: list[str]) -> None:
-        """Put the packed ids of stretches without white space into the cache."""
+        """Remember the packed ids of stretches without white space, and of their words."""
         split = [self.parts(c) for c in chunks]
-        known = self.known
-        words = list({w for part in split for w in part} - known.keys())
+        cache = self.cache
+        words = list({w for part in split for w in part} - cache.keys())
         for word, ids in zip(words, self.ids_of(words)):
-            known[word] = struct.pack(f"<{len(ids)}I", *ids)
+            cache[word] = struct.pack(f"<{len(ids)}I", *ids)
         for chunk, part in zip(chunks, split):
-            self.cache[chunk] = b"".join([known[w] for w in part])
+            if len(part) != 1 or part[0] != chunk:
+                cache[chunk] = b"".join([cache[w] for w in part])
 
     def normal(self, text: str) -> list[str]:
         """The normalised text, cut at white space."""
@@ -278,11 +280,28 @@ class Vocabulary:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text: little-endian unsigned 32-bit integers."""
-        split = [self.chunks(t) for t in texts]
-        if len(self.cache) > CACHED_CHUNKS:
+        """Packed ids of each text: little-endian unsigned 32-bit integers.
+
+        What is remembered beyond CACHED entries is forgotten before the next stretch of texts;
+        very long texts are taken in segments.
+        """
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, str]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            for part in segments(text):
+                held.append((i, part))
+                size += len(part)
+                if size >= SEGMENT:
+                    self.encode_parts(held, out)
+                    held, size = [], 0
+        self.encode_parts(held, out)
+        return [b"".join(x) for x in out]
+
+    def encode_parts(self, parts: list[tuple[int, str]], out: list[list[bytes]]) -> None:
+        split = [self.chunks(part) for _, part in parts]
+        if len(self.cache) > CACHED:
             self.cache.clear()
-            self.known.clear()
         for token, i in self.special.items():
             self.cache["\0\0" + token] = np.array([i], "<u4").tobytes()
         new: set[str] = set()
@@ -290,13 +309,23 @@ class Vocabulary:
             new.update(part)
         self.learn(list(new - self.cache.keys()))
         get = self.cache.__getitem__
-        return [b"".join(map(get, part)) for part in split]
+        for (i, _), part in zip(parts, split):
+            out[i].append(b"".join(map(get, part)))
 
     def decode(self, packed: bytes) -> str:
         """The tokens joined by spaces, as the library does for a file without a decoder."""
         return " ".join(self.tokens[np.frombuffer(packed, "<u4")].tolist())
 
 
+def segments(text: str) -> Iterator[str]:
+    """A text cut at blanks after every SEGMENT letters; no word or special token spans one."""
+    start = 0
+    while len(text) - start > SEGMENT and (cut := text.find(" ", start + SEGMENT)) >= 0:
+        yield text[start:cut]
+        start = cut + 1
+    yield text[start:]
+
+
 def vocabulary(text: bytes) -> Vocabulary:
     """One vocabulary per Python worker."""
     if text not in _loaded:
@@ -305,6 +334,23 @@ def vocabulary(text: bytes) -> Vocabulary:
     return _loaded[text]
 
 
+def by_texts(docs: DataFrame, path: str, schema: pa.DataType, returns: str, work: Callable[[Vocabulary, list[str]], list[dict]]) -> Column:
+    """The column `text` through `work`, some megabytes of texts at a time."""
+    with open(path, "rb") as file:
+        shared = docs.sparkSession.sparkContext.broadcast(file.read())
+
+    @F.arrow_udf(returns)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = vocabulary(shared.value)
+        for batch in batches:
+            parts = []
+            for some in byte_slices(pa.RecordBatch.from_arrays([batch], names=["text"])):
+                parts.append(pa.array(work(words, [t or "" for t in some.column(0).to_pylist()]), schema))
+            yield pa.concat_arrays(parts) if parts else pa.array([], schema)
+
+    return run("text")
+
+
 def encode_texts(docs: DataFrame, path: str, decode: bool = False) -> DataFrame:
     """Adds `ids` (binary: token ids as little-endian unsigned 32-bit integers) and `n_tokens`.
 
@@ -312,24 +358,39 @@ def encode_texts(docs: DataFrame, path: str, decode: bool = False) -> DataFrame:
     driver and without added special tokens; special tokens written in a text are found. With
     `decode`, the ids are decoded again by the same worker, into `decoded`. A null text counts
     as empty and gives no ids. Repeated rows give repeated results, an empty table an empty
-    one. Columns of these names are replaced. Whole texts are encoded, some at a time, and
-    nothing is shuffled. The vocabulary travels once, as a broadcast of the size of its file.
+    one. Columns of these names are replaced, others stay. Whole texts are encoded, some
+    megabytes at a time, and nothing is shuffled. The vocabulary travels once, as a broadcast
+    of the size of its file.
     """
-    with open(path, "rb") as file:
-        shared = docs.sparkSession.sparkContext.broadcast(file.read())
+    schema = pa.struct([("ids", pa.binary()), *[("decoded", pa.string())] * decode])
 
-    @F.pandas_udf("ids binary, decoded string")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words = vocabulary(shared.value)
-        for texts in batches:
-            ids: list[bytes] = []
-            for at in range(0, len(texts), 256):
-                ids += words.encode(texts[at : at + 256].fillna("").tolist())
-            yield pd.DataFrame({"ids": ids, "decoded": [words.decode(x) if decode else None for x in ids]})
+    def work(words: Vocabulary, texts: list[str]) -> list[dict]:
+        return [{"ids": ids, "decoded": words.decode(ids)} if decode else {"ids": ids} for ids in words.encode(texts)]
 
     kept = [c for c in docs.columns if c not in ("ids", "n_tokens", *["decoded"] * decode)]
-    new = [F.col("_c.ids").alias("ids"), (F.octet_length("_c.ids") / 4).cast("long").alias("n_tokens")]
-    return docs.select(*kept, encode("text").alias("_c")).select(*kept, *new, *[F.col("_c.decoded").alias("decoded")] * decode)
+    (coded,) = unused(docs, "_c")
+    new = [F.col(f"{coded}.ids").alias("ids"), (F.octet_length(f"{coded}.ids") / 4).cast("long").alias("n_tokens")]
+    column = by_texts(docs, path, schema, "ids binary" + ", decoded string" * decode, work)
+    return docs.select(*kept, column.alias(coded)).select(*kept, *new, *[F.col(f"{coded}.decoded").alias("decoded")] * decode)
+
+
+def digest_texts(docs: DataFrame, path: str) -> DataFrame:
+    """Adds `n_tokens`, `ids_sha256` and `decoded_sha256`, the digests of what `encode_texts` gives.
+
+    Ids and decoded texts stay in the worker, so only the digests travel. Nulls, empty tables,
+    repeats and columns of the same names are treated as there.
+    """
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    schema = pa.struct([(names[0], pa.int64()), (names[1], pa.string()), (names[2], pa.string())])
+
+    def work(words: Vocabulary, texts: list[str]) -> list[dict]:
+        digest = lambda data: hashlib.sha256(data).hexdigest()
+        return [dict(zip(names, (len(x) // 4, digest(x), digest(words.decode(x).encode())))) for x in words.encode(texts)]
+
+    kept = [c for c in docs.columns if c not in names]
+    (coded,) = unused(docs, "_c")
+    column = by_texts(docs, path, schema, "n_tokens long, ids_sha256 string, decoded_sha256 string", work)
+    return docs.select(*kept, column.alias(coded)).select(*kept, *[F.col(f"{coded}.{n}").alias(n) for n in names])
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -337,10 +398,10 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
     with open(path, "rb") as file:
         shared = df.sparkSession.sparkContext.broadcast(file.read())
 
-    @F.pandas_udf(T.StringType())
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = vocabulary(shared.value)
         for packed in batches:
-            yield pd.Series([words.decode(x) if x is not None else "" for x in packed], dtype=object)
+            yield pa.array([words.decode(x.as_buffer()) if x.is_valid else "" for x in packed], pa.string())
 
     return df.withColumn(out, decode(ids))

@@ -14,17 +14,23 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
+KEPT_POWERS = 2**19
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((BASE, INVERSE)):
-            steps = np.full(max(n, 2**16), base)
+    """The first n powers of the base and of its inverse; those of small buffers are kept."""
+    found = []
+    for i, base in enumerate((BASE, INVERSE)):
+        if len(_powers[i]) < n:
+            steps = np.full(max(n, KEPT_POWERS), base)
             steps[0] = 1
-            _powers[i] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+            found.append(np.cumprod(steps, dtype=np.uint64))
+            if n <= KEPT_POWERS:
+                _powers[i] = found[i]
+        else:
+            found.append(_powers[i])
+    return found[0][:n], found[1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -37,7 +43,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def pieces(texts: list[bytes], limit: int = 2**21) -> Iterator[tuple[int, bytes]]:
     """(index, part) of each text; a text beyond `limit` bytes is cut at spaces after every `limit`.
 
-    The cuts depend on the text alone. N-grams across a cut are not seen.
+    The cuts depend on the text alone. Callers that need n-grams across cuts carry words over.
     """
     for i, text in enumerate(texts):
         start = 0
@@ -50,12 +56,15 @@ def pieces(texts: list[bytes], limit: int = 2**21) -> Iterator[tuple[int, bytes]
         yield i, text[start:]
 
 
-def packs(texts: list[bytes], limit: int = 2**21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Buffers of bounded size: (bytes, first position of each part, index of its text)."""
+def packs(texts: list[bytes], limit: int = 2**21, together: int = 2**18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Buffers of bounded size: (bytes, first position of each part, index of its text).
+
+    Parts share a buffer up to `together` bytes; a longer one has its own.
+    """
     held: list[tuple[int, bytes]] = []
     size = 0
     for item in pieces(texts, limit):
-        if held and size + len(item[1]) > 2 * limit:
+        if held and size + len(item[1]) > together:
             yield pack(held)
             held, size = [], 0
         held.append(item)

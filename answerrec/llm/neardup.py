@@ -14,11 +14,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerrec.llm.base import checkpoint
+from answerrec.llm.base import byte_slices, checkpoint
 from answerrec.llm.grams import WORD, mix, packs, shingles, word_hashes
 
 WORDS = 5
@@ -28,27 +29,58 @@ LONGS = 16  # the bitmap of a text's shingles has 64 times as many bits
 LEAST = -8  # the first layer of ranks ends at 2^LEAST
 
 
+#: What separates words beyond ASCII, and letters of scripts without spaces between words.
+SEPARATOR = regex.compile(r"[^\x00-\x7F\p{L}\p{M}\p{N}]")
+ALONE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+
+
+def plain(text: str) -> bytes:
+    """Lower case; beyond ASCII, all but letters, marks and digits become blanks, and letters of
+    scripts that put no spaces between words stand alone."""
+    text = text.lower()
+    if not text.isascii():
+        if SEPARATOR.search(text):
+            text = SEPARATOR.sub(" ", text)
+        if ALONE.search(text):
+            text = ALONE.sub(r" \g<0> ", text)
+    return text.encode("utf-8", "replace")
+
+
 def shingle_sets(texts: list[str], n: int = WORDS) -> list[tuple[np.ndarray, np.ndarray]]:
     """(sorted distinct shingle hashes, their counts) of each text.
 
-    Words are stretches of letters, digits and underscores, lower case. A text of fewer than
-    n words is one shingle of all its words; a text without words has none.
+    Words are stretches of letters, marks, digits and underscores, lower case; a letter of a
+    script without spaces is a word. A text of fewer than n words is one shingle of all its
+    words; a text without words has none.
     """
-    out: list[list[np.ndarray]] = [[] for _ in texts]
-    for buffer, starts, owner in packs([t.lower().encode("utf-8", "replace") for t in texts]):
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    words = np.zeros(len(texts), np.int64)
+    tail, tail_of = np.empty(0, np.uint64), -1  # the last words of a text that may go on in the next buffer
+    short: dict[int, list[np.ndarray]] = {}  # all words of texts that have had fewer than n so far
+    for buffer, starts, owner in packs([plain(t) for t in texts]):
         hashes, begin, _ = word_hashes(buffer, WORD[buffer])
-        part = np.searchsorted(starts, begin, "right") - 1
-        whole, whole_part = shingles(hashes, part, n)
-        first = np.searchsorted(whole_part, np.arange(len(starts) + 1))
-        word_at = np.searchsorted(part, np.arange(len(starts) + 1))
-        for k, i in enumerate(owner):
-            found = whole[first[k] : first[k + 1]]
-            if not len(found) and word_at[k] < word_at[k + 1]:
-                found = np.full(1, 0x5851F42D4C957F2D, np.uint64)
-                for at in range(word_at[k], word_at[k + 1]):
-                    found = mix(found ^ hashes[at : at + 1])
-            out[i].append(found)
-    return [np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64)) for parts in out]
+        of = owner[np.searchsorted(starts, begin, "right") - 1]
+        number = np.bincount(of, minlength=len(texts))
+        words += number
+        for i in np.flatnonzero((number > 0) & (words < n)):
+            short.setdefault(int(i), []).append(hashes[of == i])
+        hashes, of = np.concatenate((tail, hashes)), np.concatenate((np.full(len(tail), tail_of), of))
+        whole, whole_of = shingles(hashes, of, n)
+        first = np.searchsorted(whole_of, np.arange(len(texts) + 1))
+        for i in np.unique(whole_of):
+            found[i].append(whole[first[i] : first[i + 1]])
+        if len(of):
+            tail_of = int(of[-1])
+            tail = hashes[of == tail_of][-(n - 1) :]
+    out = []
+    for i, parts in enumerate(found):
+        if not parts and words[i]:
+            h = np.full(1, 0x5851F42D4C957F2D, np.uint64)
+            for word in np.concatenate(short[i]):
+                h = mix(h ^ word)
+            parts = [h]
+        out.append(np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64)))
+    return out
 
 
 def unit(h: np.ndarray) -> np.ndarray:
@@ -132,88 +164,113 @@ def weighted_sets(texts: list[str], weighted: bool) -> list[tuple[np.ndarray, np
     return sets if weighted else [(s, np.ones(len(s), np.int64)) for s, _ in sets]
 
 
+def some_texts(batch: pa.Array) -> Iterator[list[str]]:
+    """The texts of a batch, some hundred kilobytes at a time; null counts as empty."""
+    for some in byte_slices(pa.RecordBatch.from_arrays([batch], names=["text"]), limit=2**19):
+        yield [t or "" for t in some.column(0).to_pylist()]
+
+
 def sketch(docs: DataFrame, weighted: bool = False) -> DataFrame:
     """(doc_id, fp, size, bands) of each row: the fingerprint of its shingles and its band keys."""
+    schema = pa.struct([("fp", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
-    @F.pandas_udf("fp binary, size long, bands array<long>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("fp binary, size long, bands array<long>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            raw = batch.fillna("").tolist()
             rows = []
-            for at in range(0, len(raw), 128):
-                part = raw[at : at + 128]
+            for part in some_texts(batch):
                 sets = weighted_sets(part, weighted)
                 for (s, w), text, keys in zip(sets, part, band_keys(signatures(sets))):
                     body = s.tobytes() + w.tobytes() if len(s) else b"raw" + text.encode("utf-8", "replace")
-                    rows.append((hashlib.blake2b(body, digest_size=16).digest(), int(w.sum()), keys if len(s) else keys[:0]))
-            yield pd.DataFrame(rows, columns=["fp", "size", "bands"])
+                    rows.append({"fp": hashlib.blake2b(body, digest_size=16).digest(), "size": int(w.sum()), "bands": keys if len(s) else keys[:0]})
+            yield pa.array(rows, schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), run("text").alias("_s")).select("doc_id", "_s.*")
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The weighted Jaccard similarity of two sets."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(a[1][i], b[1][j]).sum())
-    union = int(a[1].sum() + b[1].sum()) - both
+def elements(s: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A weighted set as a plain one, sorted: the repeats of a shingle count as different elements."""
+    number = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+    return np.sort(mix(np.repeat(s, w) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    flags = np.zeros(64 * LONGS, np.uint8)
+    flags[s % np.uint64(64 * LONGS)] = 1
+    return np.packbits(flags).view(np.int64)
+
+
+def element_sets(texts: DataFrame, weighted: bool) -> DataFrame:
+    """(id, version, n, s, bits): the packed elements of each text, their number and their bitmap.
+
+    Shingles are taken from a candidate's text once; all that follows works on these sets.
+    """
+    schema = pa.struct([("s", pa.binary()), ("bits", pa.list_(pa.int64()))])
+
+    @F.arrow_udf("s binary, bits array<long>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = []
+            for some in some_texts(batch):
+                sets = [elements(s, w) for s, w in weighted_sets(some, weighted)]
+                parts.append(pa.array([{"s": s.tobytes(), "bits": bitmap(s)} for s in sets], schema))
+            yield pa.concat_arrays(parts) if parts else pa.array([], schema)
+
+    rows = texts.select("id", "version", run("text").alias("e"))
+    return rows.select("id", "version", (F.octet_length("e.s") / 8).cast("int").alias("n"), "e.s", "e.bits")
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sets of elements."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    union = len(a) + len(b) - both
     return both / union if union else 0.0
 
 
-def verify(pairs: DataFrame, texts: DataFrame, weighted: bool, least: float) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those pairs (a, b) whose exact similarity is at least `least`."""
 
-    @F.pandas_udf("boolean")
-    def near(left: pd.Series, right: pd.Series) -> pd.Series:
-        left, right = left.fillna(""), right.fillna("")
-        out: list[bool] = []
-        for at in range(0, len(left), 256):
-            x, y = left[at : at + 256].tolist(), right[at : at + 256].tolist()
-            names = list(dict.fromkeys([*x, *y]))
-            sets = dict(zip(names, weighted_sets(names, weighted)))
-            out += [similarity(sets[p], sets[q]) >= least for p, q in zip(x, y)]
-        return pd.Series(out)
+    @F.arrow_udf("boolean")
+    def near(left: pa.Array, right: pa.Array) -> pa.Array:
+        read = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
+        return pa.array([similarity(read(x), read(y)) >= least for x, y in zip(left, right)], pa.bool_())
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").where(near("text_a", "text_b")).select("a", "b")
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("s").alias(f"s_{c}"))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(near("s_a", "s_b")).select("a", "b").distinct()
 
 
-def prefix_pairs(ids: DataFrame, texts: DataFrame, weighted: bool, least: float) -> DataFrame:
+def prefix_pairs(ids: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of different classes among the given (id, class) that can have the similarity.
 
-    Of n shingles in any common order, the first n - ceil(least x n) + 1 hold one that both
+    Of n elements in any common order, the first n - ceil(least x n) + 1 hold one that both
     texts share. In the order of rarity these are mostly a text's own, so texts that share a
-    frequent passage, or differ a little too much, rarely meet. Repeated shingles count as
-    different ones if the sets are weighted. Before a pair is made, two bounds on what the two
-    can share must allow it: from the places of the shingle in both orders, as nothing before
-    the first shared shingle is shared, and from a bitmap of the shingles. Both are exact, so
-    they lose no pair.
+    frequent passage, or differ a little too much, rarely meet. Before a pair is made, two
+    bounds on what the two can share must allow it: from the places of the element in both
+    orders, as nothing before the first shared one is shared, and from a bitmap of the
+    elements. Both are exact, so they lose no pair. Bitmaps join the few elements of a prefix
+    that others have too; the many rows that are counted and ordered hold ids and elements.
     """
 
-    @F.pandas_udf("s array<long>, bits array<long>")
-    def elements(batch: pd.Series) -> pd.DataFrame:
-        out, maps = [], []
-        for s, w in weighted_sets(batch.fillna("").tolist(), weighted):
-            number = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-            found = mix(np.repeat(s, w) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            flags = np.zeros(64 * LONGS, np.uint8)
-            flags[found % np.uint64(64 * LONGS)] = 1
-            out.append(found.view(np.int64))
-            maps.append(np.packbits(flags).view(np.int64))
-        return pd.DataFrame({"s": out, "bits": maps})
-
-    sets = texts.join(ids, "id").select("id", "class", F.xxhash64("text").alias("version"), elements("text").alias("e"))
-    rows = sets.select("id", "class", "version", F.size("e.s").alias("n"), "e.bits", F.explode("e.s").alias("s"))
-    counts = rows.groupBy("s").agg(F.count("*").alias("df"))
+    @F.arrow_udf("array<long>")
+    def unpacked(batch: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(x.as_buffer(), np.int64) for x in batch], pa.list_(pa.int64()))
+
+    known = checkpoint(sets.join(ids, "id"))
+    rows = checkpoint(known.select("id", "version", F.explode(unpacked("s")).alias("s")))
+    counts = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    # an element that no other text has is in no pair, but it takes its place in the order: the first
+    ordered = rows.join(counts, "s", "left").select("id", "version", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s").alias("e"))
+    shared = ordered.groupBy("id", "version").agg(
+        F.sort_array(F.collect_list(F.when(F.col("e.df") > 1, F.col("e")))).alias("shared"), F.count_if(F.col("e.df") == 1).alias("alone")
+    )
+    first = F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)) + 1 - F.col("alone")
     bits = [f"bits{i}" for i in range(LONGS)]
-    rows = rows.select("id", "class", "version", "n", "s", *[F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(bits)])
-    first = F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)) + 1
-    ordered = rows.join(counts, "s").groupBy("id", "class", "version", "n", *bits).agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("all"))
-    rare = ordered.select("id", "class", "n", *bits, F.posexplode(F.slice("all", F.lit(1), first.cast("int"))).alias("at", "e")).where("e.df > 1")
-    rare = rare.withColumn("left", F.col("n") - F.col("at"))
-    x, y = (rare.select("e.s", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "left", "class", *bits)]) for side in "ab")
+    rare = shared.where("size(shared) > 0").join(known.drop("s"), ["id", "version"]).where(first > 0)
+    rare = rare.select("id", "class", "n", "alone", *[F.get("bits", F.lit(i)).alias(b) for i, b in enumerate(bits)], F.posexplode(F.slice("shared", F.lit(1), first.cast("int"))).alias("at", "e"))
+    rare = checkpoint(rare.select("id", "class", "n", *bits, "e.s", (F.col("n") - F.col("alone") - F.col("at")).alias("left")))
+    x, y = (rare.select("s", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "left", "class", *bits)]) for side in "ab")
     fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(least)
-    # every bit of one text that the other lacks is a shingle that they do not share
+    # every bit of one text that the other lacks is an element that they do not share
     only = lambda p, q: sum((F.bit_count(F.col(f"{c}_{p}").bitwiseAND(F.bitwise_not(F.col(f"{c}_{q}")))) for c in bits), F.lit(0))
     both = F.least("left_a", "left_b", F.col("n_a") - only("a", "b"), F.col("n_b") - only("b", "a"))
     enough = both * F.lit(1 + least) >= (F.col("n_a") + F.col("n_b")) * F.lit(least) - F.lit(1e-6)
@@ -253,9 +310,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool =
     Buckets of equal band keys never emit all their pairs. Every bucket first compares its
     members with the most central one, the member that shares buckets with most others. Members
     that are in different classes after that meet by a prefix filter instead, which loses no
-    pair: only two texts that share one of their rarest shingles can be so similar. Signatures are read from whole texts; only the texts
-    of candidates are shuffled a second time. Counts are combined map-side, and joins with hot
-    keys are left to adaptive execution, which splits them.
+    pair: only two texts that share one of their rarest shingles can be so similar. Signatures
+    are read from whole texts; only the shingle sets of candidates are shuffled. Counts are
+    combined map-side, and joins with hot keys are left to adaptive execution, which splits them.
     """
     sketches = checkpoint(sketch(docs, weighted))
     named = sketches.where(F.col("doc_id").isNotNull())
@@ -273,16 +330,16 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool =
     sizes = pivots.join(at_pivot, ["key", "pivot"]).distinct()
     star = members.join(sizes, "key").where(F.col("id") != F.col("pivot")).where(fits(F.col("size"), F.col("pivot_size")))
     star = checkpoint(star.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
-    texts = candidate_texts(docs, members)
-    found = checkpoint(verify(star, texts, weighted, least))
+    sets = checkpoint(element_sets(candidate_texts(docs, members), weighted))
+    found = checkpoint(verify(star, sets, least))
     classes = groups(found)
     labelled = checkpoint(members.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id")))
     mixed = labelled.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
     rest = labelled.join(mixed, "key")
-    cross = prefix_pairs(rest.select("id", "class").distinct(), texts, weighted, least)
+    cross = prefix_pairs(rest.select("id", "class").distinct(), sets, least)
     tested = star.select(F.least("a", "b").alias("s"), F.greatest("a", "b").alias("t"))
     cross = cross.withColumn("s", F.least("a", "b")).withColumn("t", F.greatest("a", "b")).join(tested, ["s", "t"], "left_anti")
-    more = checkpoint(verify(cross, texts, weighted, least))
+    more = checkpoint(verify(cross, sets, least))
     # a doc_id with several texts links the nodes of all of them
     of_doc = named.select("doc_id", "fp").join(nodes, "fp").select("doc_id", "id")
     several = of_doc.groupBy("doc_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
@@ -293,9 +350,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool =
 
 
 def candidate_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The texts of documents that share a bucket with another, one per id."""
+    """(id, version, text) of documents that share a bucket with another; repeated rows count once."""
     ids = members.select("id").distinct()
-    return checkpoint(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("version"), "text")
+    return rows.join(ids, "id", "left_semi").dropDuplicates(["id", "version"])
 
 
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:

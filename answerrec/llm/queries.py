@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerrec.llm.base import fold, table
-from answerrec.llm.bpe import encode_texts
+from answerrec.llm.bpe import digest_texts
 from answerrec.llm.centroids import centroid_clusters
 from answerrec.llm.decontam import find_items
 from answerrec.llm.html import extract_text
@@ -41,9 +41,8 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = encode_texts(docs, VOCABULARY, decode=True)
-    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    coded = digest_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY)
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +78,7 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), weighted=True)
 
 
 def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -19,7 +20,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import corpus_pipeline  # noqa: E402
 from answerrec.llm import decontam, html, langid, licenses, lines, neardup, quality, topk, toxicity  # noqa: E402
-from answerrec.llm.bpe import Vocabulary, decode_ids, encode_texts  # noqa: E402
+from answerrec.llm.bpe import SEGMENT, Vocabulary, decode_ids, digest_texts, encode_texts, segments  # noqa: E402
 from answerrec.llm.queries import ORACLES, QUERIES, VOCABULARY  # noqa: E402
 from oracle import compare, connect  # noqa: E402
 
@@ -68,7 +69,7 @@ def test_encoding_equals_the_library(library):
     same(vocabulary, library, ["".join(rng.choices("aab!!?'sré<|ΣΑς 12\n\tİ\x1c\x85 漢字🙂", k=50)) for _ in range(1000)])
     same(vocabulary, library, ["", " ", "a<|endoftext|>b<|startoftext|>", "a" * 3000, "ab" * 999, "\0\0<|endoftext|>", "it's I'VE we'll'd", LONG])
     same(vocabulary, library, ["a" + chr(c) + "b " + chr(c) for c in range(32, 0x110000, 37) if not 0xD800 <= c < 0xE000])
-    assert 0 < vocabulary.merged < len(vocabulary.known)  # both ways are used
+    assert 0 < vocabulary.merged < len(vocabulary.cache)  # both ways are used
 
 
 def test_encoding_odd_rows(spark):
@@ -76,6 +77,19 @@ def test_encoding_odd_rows(spark):
     assert len(out) == 8 and {r["n_tokens"] for r in out if not r["text"]} == {0}
     assert all(len(r["ids"]) == 4 * r["n_tokens"] for r in out)
     assert encode_texts(empty(spark), VOCABULARY, decode=True).count() == 0
+    clash = odd_rows(spark).withColumn("_c", F.lit(1)).withColumn("decoded", F.lit("x")).withColumn("ids_sha256", F.lit("x"))
+    both = digest_texts(encode_texts(clash, VOCABULARY, decode=True), VOCABULARY)
+    assert both.count() == 8
+    assert both.where(F.sha2("ids", 256) != F.col("ids_sha256")).count() == 0
+    assert both.where(F.sha2(F.encode("decoded", "UTF-8"), 256) != F.col("decoded_sha256")).count() == 0
+    assert digest_texts(empty(spark), VOCABULARY).count() == 0
+
+
+def test_very_long_texts_are_encoded_in_segments(library):
+    text = ("word after word, don't stop; " * 90_000)[:-1]
+    assert len(list(segments(text))) == 3 and " ".join(segments(text)) == text and len(text) > 2 * SEGMENT
+    vocabulary = Vocabulary(Path(VOCABULARY).read_bytes())
+    same(vocabulary, library, [text, "x" * (SEGMENT + 5), ""])
 
 
 # line dedup
@@ -112,9 +126,18 @@ def test_lines_odd_rows(spark):
 # near duplicates
 
 
-def brute_classes(texts):
+def plain_shingles(text):
+    """Five-word shingles with their counts, from words found one by one; the text itself if it has no word."""
+    words = []
+    for word in regex.findall(r"[\p{L}\p{M}\p{N}_]+", text.lower()):
+        words += [w for w in regex.split(r"([\p{Han}\p{Hiragana}\p{Katakana}])", word) if w]
+    return Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4)) or Counter([tuple(words) or text])
+
+
+def brute_classes(texts, weighted=False):
     """The smallest id of each group; texts without words belong together if they are equal."""
-    sets = {i: set(s.tolist()) or {t} for (i, t), (s, _) in zip(texts.items(), neardup.shingle_sets(list(texts.values())))}
+    sets = {i: plain_shingles(t) for i, t in texts.items()}
+    sets = sets if weighted else {i: Counter(set(c)) for i, c in sets.items()}
     label = {i: i for i in texts}
 
     def root(i):
@@ -122,7 +145,7 @@ def brute_classes(texts):
 
     for i, x in sets.items():
         for j, y in sets.items():
-            if i < j and len(x & y) >= 0.8 * len(x | y):
+            if i < j and (x & y).total() >= 0.8 * (x | y).total():
                 low, high = sorted((root(i), root(j)))
                 label[high] = low
     return {i: root(i) for i in texts}
@@ -143,6 +166,39 @@ def test_near_duplicates(spark):
     assert {r["doc_id"]: r["class_id"] for r in out} == brute_classes(texts)
 
 
+def test_near_duplicates_count_repeats(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(60)]
+    texts = {}
+    for i in range(60):
+        base = words[20 * (i % 3) : 20 * (i % 3) + 12] * rng.randint(1, 9)
+        texts[i] = " ".join([*base, *rng.choices(words, k=rng.randint(0, 8))])
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = [{r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(frame, weighted=w).collect()} for w in (False, True)]
+    assert found[0] == brute_classes(texts) and found[1] == brute_classes(texts, weighted=True) and found[0] != found[1]
+
+
+def test_marks_and_scripts_do_not_hide_copies(spark):
+    rng = random.Random(22)
+    words = ["".join(rng.choices("abcdeéñ", k=5)) for _ in range(80)]
+    quoted = " ".join(words[:60])
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(90))
+    texts = {1: quoted, 2: "«" + " — ".join(words[:60]).replace(" — ", "\u00a0", 5) + "…»", 3: han, 4: han[:45] + "字" + han[45:], 5: han[::-1], 6: "क" * 3 + "ि " + quoted, 7: " ".join(words[20:])}
+    out = neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in out} == brute_classes(texts) == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 1, 7: 7}
+
+
+def test_shingles_across_buffers():
+    rng = random.Random(23)
+    words = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(5000)]
+    texts = [" ".join(rng.choices(words, k=700_000)), " ".join(words[:3]), "", "x" * 3_000_000 + " y " + "z" * 3_000_000, " ".join(words)]
+    for text, (hashes, counts) in zip(texts, neardup.shingle_sets(texts)):
+        expected = plain_shingles(text) if text else Counter()
+        assert len(hashes) == len(expected) and counts.sum() == expected.total()
+    again = neardup.shingle_sets([texts[3], " ".join(words)])
+    assert (again[0][0] == neardup.shingle_sets(texts)[3][0]).all() and (again[1][0] == neardup.shingle_sets(texts[4:])[0][0]).all()
+
+
 def test_near_duplicates_odd_rows(spark):
     out = neardup.near_duplicates(odd_rows(spark)).collect()
     assert Counter(r["doc_id"] for r in out) == {1: 2, 2: 1, 3: 1, 4: 1, None: 1, 5: 1, 6: 1}
