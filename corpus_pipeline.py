@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerrec.llm.base import table
-from answerrec.llm.bpe import encode_texts
+from answerrec.llm.bpe import digest_texts
 from answerrec.llm.decontam import decontaminate
 from answerrec.llm.lines import dedup_lines
 from answerrec.llm.neardup import keep_first, near_duplicates
@@ -26,7 +26,11 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least 0.7; a null text is scored as an empty one."""
+    """Documents whose quality score is at least 0.7; a null text is scored as an empty one.
+
+    A score depends on the text alone, so repeated rows stay or go together; long texts are
+    scored whole, and a score of exactly 0.7 stays. An empty table gives an empty one.
+    """
     model = train_quality(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs.select(*COLUMNS), model).where(F.col("score") >= GOOD_FROM).select(*COLUMNS)
 
@@ -43,15 +47,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Every row is judged by its own whole text, however long: repeated rows stay or go together,
+    null and empty texts stay. A text within the error budget goes, also at its very edge.
+    """
     return decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per document: number of tokens, and digests of the ids and of the decoded text."""
-    coded = encode_texts(docs.select("doc_id", "text"), VOCABULARY, decode=True)
-    digests = F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
-    return coded.select("doc_id", "n_tokens", *digests)
+    """One row per document: number of tokens, and digests of the ids and of the decoded text.
+
+    A null text counts as empty (no tokens); repeated rows give repeated results, long texts are
+    encoded whole, an empty table gives an empty one.
+    """
+    return digest_texts(docs.select("doc_id", "text"), VOCABULARY)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
