@@ -1,27 +1,33 @@
 """Factor models that rank users for questions.
 
 A question or user is the weighted sum of the vectors of its features, and a score is the
-product of two such sums plus the user's bias. Training is table algebra: every step joins
-pairs, entity vectors and feature vectors, and adds gradients up with map-side combining,
-so no table has to fit on one machine. Each step's tables are written to the shared folder.
+product of two such sums plus the user's bias. Features, factors and pairs are tables; what
+an epoch compares is drawn once, as ids. A step deals its pairs into blocks, sends every
+vector that a block needs to it once, and only sums of gradients leave the block, so no table
+has to fit on one machine. Each step's factors are written to the shared folder.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerrec.errors import need_columns, need_option
-from answerrec.functions.vectors import dot, scale, vector_sum
+from answerrec.functions.vectors import scale, vector_sum
 from answerrec.operators.features import dense_ids
-from answerrec.operators.metrics import METRICS, best_epoch, mean_metrics, need_metrics, question_metrics
+from answerrec.operators.metrics import METRICS, mean_metrics, need_metrics, question_metrics
 from answerrec.operators.prep import display_name
 from answerrec.operators.scoring import held_out_positions
 from answerrec.operators.skew import attach, join_salted, salted, with_copies
-from answerrec.session import materialize
+from answerrec.session import discard, materialize
+
+BLOCK_PAIRS = 50_000  # pairs of a step whose gradients are added up in one place
+PAIRS_AT_ONCE = 2_048
 
 LOSSES = ("warp", "bpr")
 
@@ -50,6 +56,12 @@ class Options:
         return self.components + 1
 
 
+def hashed(digits: int, *parts: str | int | Column) -> Column:
+    """A number from the first hex digits of md5 over the parts: the same on every engine."""
+    texts = [F.lit(str(p)) if isinstance(p, int) else (F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]
+    return F.conv(F.left(F.md5(F.concat_ws(":", *texts)), F.lit(digits)), 16, 10).cast("bigint")
+
+
 def question_node(question: Column) -> Column:
     return question.cast("bigint") * 2
 
@@ -90,6 +102,7 @@ class RankingModel:
         vector = F.slice("vector", 1, self.options.components).alias("vector")
         bias = F.get("vector", F.lit(self.options.components)).alias("bias")
         questions = rows.where(~_is_user()).select(F.shiftright("node", 1).alias("question_id"), vector)
+        questions.stored_at = rows.stored_at
         return questions, rows.where(_is_user()).select(F.shiftright("node", 1).alias("user_id"), vector, bias)
 
 
@@ -113,8 +126,7 @@ def new_model(question_features: DataFrame, user_features: DataFrame, options: O
     spread = 0.1 * 12**0.5  # a uniform value of this width has standard deviation 0.1
 
     def start(i: int) -> Column:
-        draw = F.pmod(F.xxhash64(F.lit(options.seed), F.lit(i), F.col("feature")), F.lit(2**20))
-        return (draw / 2.0**20 - 0.5) * spread
+        return (hashed(5, options.seed, i, "feature") / 2.0**20 - 0.5) * spread
 
     values = F.array(*[start(i) for i in range(options.components)], F.lit(0.0))
     ones = F.array_repeat(F.lit(1.0), options.size)
@@ -126,11 +138,10 @@ def new_model(question_features: DataFrame, user_features: DataFrame, options: O
 class _Training:
     """Tables that stay the same over all steps."""
 
-    pairs: DataFrame  # question, user, weight, salts of both; nodes, not ids
-    questions: DataFrame  # question, _copies
-    answerers: DataFrame  # user, _copies
+    pairs: DataFrame  # question, user, weight; nodes, not ids
     users: DataFrame  # idx, negative
     user_count: int
+    blocks: int
 
 
 def _prepare(model: RankingModel, interactions: DataFrame) -> _Training:
@@ -140,79 +151,93 @@ def _prepare(model: RankingModel, interactions: DataFrame) -> _Training:
         user_node(F.col("user_id")).alias("user"),
         F.col("weight").cast("double").alias("weight"),
     )
-    sizes = {}
-    for key in ("question", "user"):
-        counted = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("pairs"))
-        sizes[key] = materialize(with_copies(counted, "pairs").drop("pairs"), f"{key}-sizes")
-        pairs = salted(pairs, sizes[key], key, f"{key}_salt")
+    pairs = materialize(pairs, "pairs")
     users = dense_ids(model.features.where(_is_user()).select("node"), "node")
     users = materialize(users.select("idx", F.col("node").alias("negative")), "users")
-    return _Training(materialize(pairs, "pairs"), sizes["question"], sizes["user"], users, users.count())
+    blocks = -(-pairs.count() // (BLOCK_PAIRS * model.options.batches))
+    return _Training(pairs, users, users.count(), max(1, blocks))
 
 
-def _with_vector(rows: DataFrame, vectors: DataFrame, sizes: DataFrame, key: str, name: str) -> DataFrame:
-    """Attach the vector of a question or positive user; frequent ones are spread."""
-    per_key = sizes.join(vectors.select(F.col("node").alias(key), F.col("vector").alias(name)), key)
-    return join_salted(rows, per_key, key, f"{key}_salt")
+@dataclass(frozen=True)
+class _Draws:
+    """What an epoch compares: ids only."""
+
+    pairs: DataFrame  # batch, block, question, user, weight, draws: array of (draw, negative)
+    needed: DataFrame  # batch, block, node
 
 
-def _triples(model: RankingModel, training: _Training, vectors: DataFrame, epoch: int, batch: int) -> DataFrame:
-    """Rows `(question, user, negative, step)` with the three vectors.
+def _draw(options: Options, training: _Training, epoch: int) -> _Draws:
+    """Batches, blocks and random users of an epoch.
 
-    BPR compares each pair with one random user. WARP takes the first of `max_sampled`
-    random users that scores within 1 of the positive one; the fewer draws that took, the
-    worse the rank of the positive and the larger the step. Users who answered the question
-    are never negatives.
+    BPR compares each pair with one random user, WARP with up to `max_sampled`. Users who
+    answered the question are never negatives; a pair left without any is skipped.
     """
-    options = model.options
-    turn = F.pmod(F.xxhash64(F.lit(options.seed), F.lit(epoch), "question", "user"), F.lit(options.batches))
-    pairs = training.pairs.where(turn == batch)
-    salts = pairs.select("question", "user", "question_salt", "user_salt")
-    pairs = _with_vector(pairs, vectors, training.questions, "question", "qv")
-    pairs = _with_vector(pairs, vectors, training.answerers, "user", "uv")
     draws = 1 if options.loss == "bpr" else options.max_sampled
+    turn = F.pmod(hashed(8, options.seed, epoch, "question", "user"), F.lit(options.batches)).cast("int")
+    block = F.pmod(F.xxhash64("question", "user"), F.lit(training.blocks)).cast("int")
+    pairs = training.pairs.select("*", turn.alias("batch"), block.alias("block"))
     drawn = pairs.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    number = F.xxhash64(F.lit(options.seed), F.lit(epoch), "question", "user", "draw")
-    drawn = drawn.withColumn("idx", F.pmod(number, F.lit(training.user_count)))
-    answered = training.pairs.select("question", F.col("user").alias("negative"))
-    others = training.users.join(vectors, F.col("negative") == F.col("node")).select(
-        "idx", "negative", F.col("vector").alias("nv")
-    )
-    if options.loss == "bpr":
-        triples = drawn.join(others, "idx").join(answered, ["question", "negative"], "left_anti")
-        margin = dot(F.col("qv"), F.col("uv")) - dot(F.col("qv"), F.col("nv"))
-        return triples.withColumn("step", F.col("weight") / (1 + F.exp(margin)))
-    # the draws travel with the question's vector only; vectors of the few chosen come later
-    light = drawn.withColumn("positive", dot(F.col("qv"), F.col("uv"))).drop("uv")
-    close = light.join(others, "idx").where(dot(F.col("qv"), F.col("nv")) > F.col("positive") - 1)
-    close = close.select("question", "user", "weight", "draw", "negative")
-    close = close.join(answered, ["question", "negative"], "left_anti")
-    chosen = close.groupBy("question", "user").agg(
-        F.min("draw").alias("draw"), F.min_by("negative", "draw").alias("negative"), F.first("weight").alias("weight")
-    )
-    chosen = chosen.join(salts, ["question", "user"])
-    rank = F.greatest(F.floor(F.lit(training.user_count - 1) / F.col("draw")), F.lit(1))
-    chosen = chosen.withColumn("step", F.col("weight") * F.log(rank))
-    chosen = _with_vector(chosen, vectors, training.questions, "question", "qv")
-    chosen = _with_vector(chosen, vectors, training.answerers, "user", "uv")
-    return chosen.join(others.drop("idx"), "negative")
+    number = hashed(15, options.seed, epoch, "question", "user", "draw")
+    drawn = drawn.withColumn("idx", F.pmod(number, F.lit(training.user_count))).join(training.users, "idx")
+    answered = training.pairs.select("question", F.col("user").alias("negative")).distinct()
+    drawn = drawn.join(answered, ["question", "negative"], "left_anti")
+    listed = F.array_sort(F.collect_list(F.struct("draw", "negative"))).alias("draws")
+    pairs = materialize(drawn.groupBy("batch", "block", "question", "user", "weight").agg(listed), "draws")
+    nodes = F.explode(F.concat(F.array("question", "user"), F.col("draws.negative"))).alias("node")
+    return _Draws(pairs, materialize(pairs.select("batch", "block", nodes).distinct(), "needed"))
 
 
-def _update(model: RankingModel, training: _Training, epoch: int, batch: int) -> RankingModel:
+def _gradients(options: Options, user_count: int):
+    """A function of a block's pairs and vectors that gives `(node, gradient)`, a row per node.
+
+    WARP takes the first drawn user that scores within 1 of the positive one; the fewer draws
+    that took, the worse the rank of the positive and the larger the step.
+    """
+    bpr, size = options.loss == "bpr", options.size
+
+    def block(pairs: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        vectors = vectors.sort_values("node", ignore_index=True)
+        nodes, v = vectors["node"].to_numpy(np.int64), np.array(vectors["vector"].tolist(), float).reshape(-1, size)
+        pairs = pairs.sort_values(["question", "user"], ignore_index=True)
+        question, user = (np.searchsorted(nodes, pairs[c].to_numpy(np.int64)) for c in ("question", "user"))
+        weight = pairs["weight"].to_numpy(float)
+        total = np.zeros_like(v)
+        for at in range(0, len(pairs), PAIRS_AT_ONCE):
+            here = slice(at, at + PAIRS_AT_ONCE)
+            lists = pairs["draws"].iloc[here]
+            owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            draw = np.array([d["draw"] for x in lists for d in x], np.int64)
+            negative = np.searchsorted(nodes, np.array([d["negative"] for x in lists for d in x], np.int64))
+            q, u = v[question[here]], v[user[here]]
+            margin = (q * u).sum(axis=1)[owner] - (q[owner] * v[negative]).sum(axis=1)
+            if bpr:
+                step = weight[here][owner] / (1 + np.exp(margin))
+            else:
+                close = np.flatnonzero(margin < 1)
+                first = close[np.unique(owner[close], return_index=True)[1]]  # draws stand in order
+                owner, negative, draw = owner[first], negative[first], draw[first]
+                step = weight[here][owner] * np.log(np.maximum((user_count - 1) // draw, 1))
+            step = step[:, None]
+            q, u, n = q[owner], u[owner], v[negative]
+            towards = (n - u) * step
+            towards[:, -1] = 0  # the question's last element is the constant 1 and takes no gradient
+            np.add.at(total, question[here][owner], towards)
+            np.add.at(total, user[here][owner], -q * step)
+            np.add.at(total, negative, q * step)
+        moved = np.flatnonzero(total.any(axis=1))
+        return pd.DataFrame({"node": nodes[moved], "gradient": list(total[moved])})
+
+    return block
+
+
+def _update(model: RankingModel, training: _Training, draws: _Draws, batch: int) -> RankingModel:
     """One batch: gradients per entity, then per feature, then an Adagrad step."""
     options = model.options
-    vectors = materialize(model.vectors(), "vectors")
-    triples = _triples(model, training, vectors, epoch, batch)
-    step, qv, uv, nv = (F.col(c) for c in ("step", "qv", "uv", "nv"))
-    # the question's last element is the constant 1 and takes no gradient
-    towards = F.zip_with(nv, uv, lambda n, u: (n - u))
-    towards = F.concat(F.slice(towards, 1, options.components), F.array(F.lit(0.0)))
-    moves = F.array(
-        F.struct(F.col("question").alias("node"), scale(towards, step).alias("gradient")),
-        F.struct(F.col("user").alias("node"), scale(qv, -step).alias("gradient")),
-        F.struct(F.col("negative").alias("node"), scale(qv, step).alias("gradient")),
+    sent = draws.needed.where(F.col("batch") == batch).join(model.vectors(), "node").select("block", "node", "vector")
+    pairs = draws.pairs.where(F.col("batch") == batch).select(F.col("block").alias("place"), "question", "user", "weight", "draws")
+    rows = pairs.groupBy("place").cogroup(sent.groupBy("block")).applyInPandas(
+        _gradients(options, training.user_count), "node long, gradient array<double>"
     )
-    rows = triples.select(F.explode(moves).alias("m")).select("m.*")
     per_node = rows.groupBy("node").agg(vector_sum(F.col("gradient"), options.size).alias("gradient"))
     shared = model.features.join(per_node, "node").select(
         "feature", scale(F.col("gradient"), F.col("weight")).alias("gradient")
@@ -230,16 +255,23 @@ def _update(model: RankingModel, training: _Training, epoch: int, batch: int) ->
 
 def fit(model: RankingModel, interactions: DataFrame, epochs: int | None = None, first_epoch: int = 0) -> RankingModel:
     """Train all epochs. Starting from a trained model continues it; from `new_model`, it
-    starts afresh."""
+    starts afresh. Tables of passed steps are deleted; those of the given model stay."""
     training = _prepare(model, interactions)
+    start = model
     for epoch in range(first_epoch, first_epoch + (epochs or model.options.epochs)):
-        model = _epoch(model, training, epoch)
+        model = _epoch(model, training, epoch, keep=start)
+    discard(training.pairs, training.users)
     return model
 
 
-def _epoch(model: RankingModel, training: _Training, epoch: int) -> RankingModel:
+def _epoch(model: RankingModel, training: _Training, epoch: int, keep: RankingModel) -> RankingModel:
+    """One epoch; of the tables of factors only the last one and those of `keep` are left."""
+    draws = _draw(model.options, training, epoch)
     for batch in range(model.options.batches):
-        model = _update(model, training, epoch, batch)
+        before, model = model, _update(model, training, draws, batch)
+        if before.factors is not keep.factors:
+            discard(before.factors)
+    discard(draws.pairs, draws.needed)
     return model
 
 
@@ -269,18 +301,28 @@ def fit_tracked(
         raise ValueError("tracking needs validation interactions")
     names = need_metrics(list(dict.fromkeys([*metrics, "auc"])))
     training = _prepare(model, interactions)
-    trace, models = [], []
+    trace: list[tuple[int, str, str, float]] = []
+    best, best_auc = model, float("-inf")
+    current = model
     for epoch in range(model.options.epochs):
-        model = _epoch(model, training, epoch)
-        models.append(model)
+        before, current = current, _epoch(current, training, epoch, keep=current)
+        questions, users = current.sides()
         for stage, held, seen in [("train", interactions, None), ("validation", validation, interactions)]:
             # at most three values come back
-            found = evaluate(model, held, seen, tuple(names), k).collect()
+            found = mean_metrics(question_metrics(held_out_positions(questions, users, held, seen), k), tuple(names)).collect()
             trace += [(epoch, stage, row.metric, row.value) for row in found]
+        discard(questions)
+        auc = next(v for e, stage, metric, v in trace if (e, stage, metric) == (epoch, "validation", "auc"))
+        was_best = best
+        if auc is not None and auc > best_auc:
+            best, best_auc = current, auc
+        for old in (was_best, before):  # the given model is the caller's; of the others the best and the last are needed
+            if all(old.factors is not kept.factors for kept in (model, best, current)):
+                discard(old.factors)
+    discard(training.pairs, training.users)
     spark = interactions.sparkSession
     rows = spark.createDataFrame(trace, "epoch int, stage string, metric string, value double")
-    best = best_epoch(rows).first().epoch
-    return models[best], rows
+    return best, rows
 
 
 def display_trace(trace: DataFrame) -> DataFrame:

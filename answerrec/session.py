@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,7 +47,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of written tables that nothing will read again; other frames are left alone."""
+    for table in tables:
+        if path := getattr(table, "stored_at", None):
+            folder, fs = file_system(table.sparkSession, path)
+            fs.delete(folder, True)
+
+
+def file_system(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """A Hadoop path and its file system."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 TEXT_PARTITIONS = "answerrec.text.partitions"
