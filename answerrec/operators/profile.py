@@ -20,35 +20,26 @@ def describe(
 ) -> DataFrame:
     """Rows `(column, statistic, value)`: count, mean, std, min, percentiles, max.
 
-    Exact percentiles go through a distributed ranking of distinct values; "approx" uses
-    one sketch pass.
+    One pass gives the moments of all columns, another the counts of their distinct values,
+    from which the exact percentiles come; "approx" uses one sketch pass.
     """
     need_columns(df.columns, *columns)
     need_option(method, ["exact", "approx"])
     probs = sorted(set(percentiles))
-    parts = []
-    for name in columns:
-        value = F.col(name).cast("double")
-        moments = df.agg(
-            F.count(value).cast("double").alias("count"),
-            F.avg(value).alias("mean"),
-            F.stddev_samp(value).alias("std"),
-            F.min(value).alias("min"),
-            F.max(value).alias("max"),
-        ).unpivot([], ["count", "mean", "std", "min", "max"], "statistic", "value")
-        if method == "exact":
-            points = quantiles(df.select(name), name, probs)
-        else:
-            sketch = F.percentile_approx(value, [float(p) for p in probs], 10000)
-            points = df.agg(
-                F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"), sketch.alias("value")).alias("z")
-            ).select(F.inline("z"))
-        points = points.select(percent_name(F.col("p")).alias("statistic"), "value")
-        parts.append(moments.unionByName(points).select(F.lit(name).alias("column"), "statistic", "value"))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    value = {c: F.col(c).cast("double") for c in columns}
+    moments = {
+        "count": lambda v: F.count(v).cast("double"), "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
+    }
+    row = [F.struct(F.lit(c).alias("column"), F.lit(k).alias("statistic"), f(v).alias("value")) for c, v in value.items() for k, f in moments.items()]
+    whole = df.agg(F.array(*row).alias("_m")).select(F.inline("_m"))
+    if method == "exact":
+        points = quantiles(df.select(*dict.fromkeys(columns)), columns, probs)
+    else:
+        sketches = [F.struct(F.lit(c).alias("column"), F.percentile_approx(v, [float(p) for p in probs], 10000).alias("v")) for c, v in value.items()]
+        points = df.agg(F.array(*sketches).alias("_s")).select(F.inline("_s"))
+        zipped = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"), F.col("v").alias("value"))
+        points = points.select("column", F.inline(zipped))
+    return whole.unionByName(points.select("column", percent_name(F.col("p")).alias("statistic"), "value"))
 
 
 def percent_name(p: Column) -> Column:
@@ -88,22 +79,25 @@ def coverage(facts: DataFrame, fact_key: str, entities: DataFrame, entity_key: s
 def threshold_sweep(flagged: DataFrame, highest: int = 10) -> DataFrame:
     """Percent of answers, users and questions left for each score threshold 1..highest.
 
-    Each answer, user or question is reduced to the highest threshold it survives, so the
-    rows are read once for each of the three and never multiplied by the thresholds.
+    Each answer, user or question is reduced to the highest threshold it survives. All three
+    come from one pass: users and questions by their id, answers, of which an id stands in one
+    row, by the threshold alone, so that no row is shuffled for a unique id.
     """
     need_columns(flagged.columns, "answer_id", "user_id", "question_id", "score", "is_accepted_answer")
     survives = F.when(F.col("is_accepted_answer") == 1, F.lit(highest)).otherwise(
         F.greatest(F.lit(0), F.least(F.coalesce("score", F.lit(0)), F.lit(highest)))
     )
-    levels = flagged.select("answer_id", "user_id", "question_id", survives.alias("level"))
-    parts = []
-    for key, category in [("answer_id", "answers"), ("user_id", "users"), ("question_id", "questions")]:
-        best = levels.where(F.col(key).isNotNull()).groupBy(key).agg(F.max("level").alias("level"))
-        left = [F.floor(F.count_if(F.col("level") >= t) * 100 / F.count(F.lit(1))).alias(str(t))
-                for t in range(1, highest + 1)]
-        row = best.agg(*left).unpivot([], [str(t) for t in range(1, highest + 1)], "score", "percentage")
-        parts.append(row.select(F.col("score").cast("int"), "percentage", F.lit(f"remaining_{category}_%").alias("category")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    levels = flagged.select("answer_id", "user_id", "question_id", survives.cast("long").alias("level"))
+    entry = lambda kind, key, there: F.struct(F.lit(kind).alias("kind"), F.when(F.col(there).isNotNull(), F.col(key)).cast("long").alias("key"), "level")
+    entries = F.array(entry("answers", "level", "answer_id"), entry("users", "user_id", "user_id"), entry("questions", "question_id", "question_id"))
+    rows = levels.select(F.explode(entries).alias("e")).select("e.*").where("key is not null")
+    best = rows.groupBy("kind", "key").agg(F.max("level").alias("level"), F.count(F.lit(1)).alias("rows"))
+    weight = F.when(F.col("kind") == "answers", F.col("rows")).otherwise(F.lit(1))
+    counts = best.groupBy("kind", "level").agg(F.sum(weight).alias("n"))
+    left = [F.struct(F.lit(t).alias("score"), F.floor(F.sum(F.when(F.col("level") >= t, F.col("n")).otherwise(0)) * 100 / F.sum("n")).alias("percentage"))
+            for t in range(1, highest + 1)]
+    shares = counts.groupBy("kind").agg(F.array(*left).alias("_l")).select("kind", F.inline("_l"))
+    return shares.select("score", "percentage", F.concat(F.lit("remaining_"), "kind", F.lit("_%")).alias("category"))
 
 
 def conditional_distinct(rows: DataFrame) -> DataFrame:

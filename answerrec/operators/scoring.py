@@ -8,20 +8,24 @@ the k best users (or one count per held-out pair) leave it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerrec.errors import need_columns
 from answerrec.functions.vectors import dot
 from answerrec.operators.skew import attach
-from answerrec.session import materialize
+from answerrec.session import discard, materialize
 
 QUESTION_BLOCK = 2048
 USER_BLOCK = 8192
 HELD_PER_PART = 4096  # held-out pairs of one question that travel together
+STRIP = 16  # user blocks that one task visits
+SLACK = 1e-6  # of bounds on scores, for rounding
 ROWS_AT_ONCE = 256  # rows of a block multiplied at once: 256 x 8192 doubles are 16 MB
 
 # kinds of rows that meet in one pair of blocks
@@ -130,6 +134,141 @@ def _score_block(cell: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, Callable
     return questions, ids, scores
 
 
+@dataclass(frozen=True)
+class UserBlocks:
+    """Users in blocks of falling vector length: `(user_id, vector, bias, ub)`, and for each
+    block the longest vector in it or any later one."""
+
+    users: DataFrame
+    longest: np.ndarray
+
+
+def _length(vector: Column, last: Column) -> Column:
+    return F.sqrt(dot(vector, vector) + last * last)
+
+
+def users_by_length(users: DataFrame, user_block: int = USER_BLOCK) -> UserBlocks:
+    """Cut the users at quantiles of the length of their vector and bias. Where one length is
+    so frequent that a block overflows, the block is split by a hash of the id."""
+    sized = materialize(users.select("user_id", "vector", "bias", _length(F.col("vector"), F.col("bias")).alias("length")), "user-lengths")
+    bands = max(1, -(-sized.count() // user_block))
+    edges: list[float] = []
+    if bands > 1:
+        shares = F.array(*[F.lit(i / bands) for i in range(1, bands)])
+        found = sized.agg(F.percentile_approx("length", shares, F.lit(max(10_000, 4 * bands))).alias("e")).first()["e"]
+        edges = sorted(set(found or []))
+    if edges:
+        cuts = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol="length", outputCol="band", handleInvalid="keep")
+        banded = cuts.transform(sized)
+    else:
+        banded = sized.withColumn("band", F.lit(0.0))
+    counts = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("band")).collect()  # a row per block
+    table, first = [], 0
+    for row in counts:
+        parts = max(1, -(-row.n // user_block))
+        table.append((row.band, first, parts))
+        first += parts
+    places = users.sparkSession.createDataFrame(table, "band double, first int, parts int")
+    blocked = banded.join(F.broadcast(places), "band")
+    ub = F.col("first") + F.pmod(F.xxhash64("user_id"), F.col("parts")).cast("int")
+    blocked = materialize(blocked.select("user_id", "vector", "bias", "length", ub.alias("ub")), "user-blocks")
+    discard(sized)
+    longest = np.zeros(first)
+    for row in blocked.groupBy("ub").agg(F.max("length").alias("length")).collect():
+        longest[row.ub] = row.length
+    return UserBlocks(blocked, np.maximum.accumulate(longest[::-1])[::-1] if first else longest)
+
+
+def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Which of the flat candidates are among the k best of their row; ties go to the lower id."""
+    order = np.lexsort((ids, -scores, rows))
+    ordered = rows[order]
+    place = np.arange(len(order)) - np.searchsorted(ordered, ordered, "left")
+    return order[place < k]
+
+
+def _top_of_blocks(cell: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best users of each question of a cell, its user blocks visited by falling length.
+
+    A question leaves out a block whose longest vector cannot reach its k-th best score so
+    far, nor its floor, below which nothing is wanted.
+    """
+    questions = cell[cell["kind"] == QUESTION].drop_duplicates("question_id").sort_values("question_id", ignore_index=True)
+    users = cell[cell["kind"] == USER]
+    if questions.empty or users.empty:
+        return pd.DataFrame({"question_id": [], "user_id": [], "score": []})
+    question_ids = questions["question_id"].to_numpy(np.int64)
+    left = np.array(questions["vector"].tolist(), float)
+    reach = np.sqrt((left * left).sum(axis=1) + 1)
+    floor = questions["bias"].to_numpy(float)  # of a question this column holds its floor
+    seen = cell[cell["kind"] == SEEN]
+    seen_row = np.searchsorted(question_ids, seen["question_id"].to_numpy(np.int64))
+    there = seen_row < len(question_ids)
+    there[there] = question_ids[seen_row[there]] == seen["question_id"].to_numpy(np.int64)[there]
+    seen_row, seen_user = seen_row[there], seen["user_id"].to_numpy(np.int64)[there]
+    rows, ids, values = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    for _, block in users.groupby("ub", sort=True):
+        block = block.sort_values("user_id", ignore_index=True)
+        block_ids = block["user_id"].to_numpy(np.int64)
+        right, bias = np.array(block["vector"].tolist(), float), block["bias"].to_numpy(float)
+        longest = np.sqrt((right * right).sum(axis=1) + bias * bias).max()
+        active = np.flatnonzero(reach * longest * (1 + SLACK) + SLACK >= floor)
+        for at in range(0, len(active), ROWS_AT_ONCE):
+            some = active[at : at + ROWS_AT_ONCE]
+            scores = _exact(left[some] @ right.T + bias)
+            own = np.flatnonzero(np.isin(seen_row, some))
+            column = np.searchsorted(block_ids, seen_user[own])
+            hit = column < len(block_ids)
+            hit[hit] = block_ids[column[hit]] == seen_user[own][hit]
+            scores[np.searchsorted(some, seen_row[own][hit]), column[hit]] = -np.inf
+            least = floor[some]
+            if len(block_ids) > k:
+                least = np.maximum(least, np.partition(scores, len(block_ids) - k, axis=1)[:, len(block_ids) - k])
+            row, col = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+            rows, ids = np.concatenate((rows, some[row])), np.concatenate((ids, block_ids[col]))
+            values = np.concatenate((values, scores[row, col]))
+        best = _best(rows, ids, values, k)
+        rows, ids, values = rows[best], ids[best], values[best]
+        full = np.bincount(rows, minlength=len(floor)) >= k
+        worst = np.full(len(floor), np.inf)
+        np.minimum.at(worst, rows, values)
+        floor = np.where(full, np.maximum(floor, worst), floor)
+    return pd.DataFrame({"question_id": question_ids[rows], "user_id": ids, "score": values})
+
+
+def _shaped(df: DataFrame, kind: int, cell: Column, **values: Column) -> DataFrame:
+    """Rows of a cell: the columns that a kind does not have are null."""
+    types = {"question_id": "long", "user_id": "long", "vector": "array<double>", "bias": "double", "ub": "int"}
+    return df.select(cell.alias("cell"), F.lit(kind).alias("kind"), *[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in types.items()])
+
+
+def _meet(questions: DataFrame, users: DataFrame, seen: DataFrame | None, k: int) -> DataFrame:
+    """The k best users per question and cell. All three tables carry `cell`; of questions
+    `floor` is the score below which nothing is wanted."""
+    vector = F.col("vector")
+    rows = _shaped(questions, QUESTION, F.col("cell"), question_id=F.col("question_id"), vector=vector, bias=F.col("floor"))
+    rows = rows.unionAll(_shaped(users, USER, F.col("cell"), user_id=F.col("user_id"), vector=vector, bias=F.col("bias"), ub=F.col("ub")))
+    if seen is not None:
+        rows = rows.unionAll(_shaped(seen, SEEN, F.col("cell"), question_id=F.col("question_id"), user_id=F.col("user_id")))
+    return rows.groupBy("cell").applyInPandas(lambda cell: _top_of_blocks(cell, k), "question_id long, user_id long, score double")
+
+
+def visits(questions: DataFrame, first: DataFrame, blocks: UserBlocks, k: int) -> DataFrame:
+    """`(question_id, vector, floor, ub)`: after the first block, each question's k-th best
+    score, and the number of blocks that may hold a better user, the first one included."""
+    kth = first.groupBy("question_id").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n"))
+    floor = F.when(F.col("n") >= k, F.col("kth")).otherwise(F.lit(float("-inf")))
+    longest = blocks.longest
+
+    @F.pandas_udf("int")
+    def count(length: pd.Series, least: pd.Series) -> pd.Series:
+        bound = (least.to_numpy(float) - SLACK) / (length.to_numpy(float) * (1 + SLACK))
+        return pd.Series(np.searchsorted(-longest, -bound, "right"))
+
+    asked = questions.select("question_id", "vector").join(kth, "question_id", "left").withColumn("floor", floor)
+    return asked.select("question_id", "vector", "floor", count(_length(F.col("vector"), F.lit(1.0)), F.col("floor")).alias("ub"))
+
+
 def top_users(
     questions: DataFrame,
     users: DataFrame,
@@ -137,37 +276,49 @@ def top_users(
     exclude_seen: DataFrame | None = None,
     question_block: int = QUESTION_BLOCK,
     user_block: int = USER_BLOCK,
+    strip: int = STRIP,
 ) -> DataFrame:
     """Rows `(question_id, user_id, score, rank)` of the k best users of each question.
 
     `exclude_seen` removes known pairs. Ties go to the lower user id.
-    """
 
-    def best(cell: pd.DataFrame) -> pd.DataFrame:
-        found, ids, scores = _score_block(cell)
-        question_ids = found["question_id"].to_numpy(dtype=np.int64)
-        owners, chosen, values = [], [], []
-        for start in range(0, len(found) if len(ids) else 0, ROWS_AT_ONCE):
-            end = min(start + ROWS_AT_ONCE, len(found))
-            block = scores(start, end)
-            block[np.isnan(block)] = -np.inf
-            keep = min(k, len(ids))
-            # everything at least as good as the k-th best, then a stable order by score and id
-            limit = np.partition(block, len(ids) - keep, axis=1)[:, len(ids) - keep]
-            for i, row in enumerate(block):
-                at = np.flatnonzero((row >= limit[i]) & np.isfinite(row))
-                at = at[np.argsort(-row[at], kind="stable")][:k]
-                owners.append(np.full(len(at), question_ids[start + i]))
-                chosen.append(ids[at])
-                values.append(row[at])
-        joined = [np.concatenate(c) if c else np.empty(0) for c in (owners, chosen, values)]
-        return pd.DataFrame(dict(zip(["question_id", "user_id", "score"], joined)))
-
-    whole = questions.withColumn("part", F.lit(0))
+    Users lie in blocks of falling vector length. All questions meet the first block; by
+    Cauchy and Schwarz no user scores above the product of the lengths, so a question's k-th
+    best score tells how many of the next blocks it has to see. Questions that need equally
+    many strips of blocks share cells; a cell visits its blocks by falling length with a
+    running k-th best, and gives at most k rows per question and strip.
+    """
+    blocks = users_by_length(users, user_block)
+    count = questions.agg(F.count(F.lit(1))).scalar()
+    q_blocks = _blocks(count, question_block)
+    by_hash = F.pmod(F.xxhash64("question_id"), q_blocks).cast("int")
+    seen = None
     if exclude_seen is not None:
-        exclude_seen = exclude_seen.select("question_id", "user_id").distinct().withColumn("part", F.lit(0))
-    cells = _cells(whole, users, exclude_seen, None, question_block, user_block)
-    found = cells.groupBy("qb", "ub").applyInPandas(best, "question_id long, user_id long, score double")
+        known = exclude_seen.select("question_id", "user_id").distinct()
+        sizes = known.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).join(blocks.users.select("user_id", "ub"), "user_id")
+        seen = materialize(attach(known, sizes, "user_id", size="_n").select("question_id", "user_id", "ub"), "seen")
+    first_users = blocks.users.where("ub = 0").withColumn("cell", F.explode(F.sequence(F.lit(0), q_blocks - 1)))
+    first_seen = None if seen is None else seen.where("ub = 0").withColumn("cell", by_hash)
+    first = questions.withColumn("cell", by_hash).withColumn("floor", F.lit(float("-inf")))
+    found = materialize(_meet(first, first_users, first_seen, k), "first-block")
+    if len(blocks.longest) > 1:
+        asked = visits(questions, found, blocks, k).where("ub > 1").withColumn("strips", F.ceil((F.col("ub") - 1) / strip).cast("int"))
+        asked = materialize(asked, "visits")
+        sizes = asked.groupBy("strips").agg(F.ceil(F.count(F.lit(1)) / question_block).cast("int").alias("parts"))  # a row per strip at most
+        part = F.pmod(F.xxhash64("question_id"), F.col("parts")).cast("int").alias("part")
+        asked = asked.join(F.broadcast(sizes), "strips").select("*", part)
+        each = sizes.select("strips", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        each = each.select("*", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("strip"))
+        cells = each.select("strip", F.xxhash64("strips", "part", "strip").alias("cell"))
+        of_strip = F.floor((F.col("ub") - 1) / strip).cast("int")
+        later = blocks.users.where("ub > 0").withColumn("strip", of_strip).join(cells, "strip")
+        rows = asked.withColumn("strip", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)))
+        rows = rows.withColumn("cell", F.xxhash64("strips", "part", "strip"))
+        more_seen = None
+        if seen is not None:
+            more_seen = seen.where("ub > 0").withColumn("strip", of_strip).join(asked.select("question_id", "strips", "part"), "question_id")
+            more_seen = more_seen.where("strip < strips").withColumn("cell", F.xxhash64("strips", "part", "strip"))
+        found = found.unionByName(_meet(rows, later, more_seen, k))
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "user_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -222,14 +373,16 @@ def held_out_positions(
         for start in range(0, len(found) if len(ids) else 0, ROWS_AT_ONCE):
             end = min(start + ROWS_AT_ONCE, len(found))
             block = scores(start, end)
-            by_score = np.sort(block, axis=1)  # NaN goes last
             size = np.count_nonzero(~np.isnan(block), axis=1)
-            for i in range(*np.searchsorted(row_of, [start, end])):
-                row = row_of[i] - start
-                known = by_score[row, : size[row]]
-                low, high = np.searchsorted(known, held_score[i], "left"), np.searchsorted(known, held_score[i], "right")
-                earlier = np.count_nonzero(block[row, : np.searchsorted(ids, held_user[i])] == held_score[i])
-                counts[i] = low, high - low, size[row] - high + earlier, size[row]
+            low, high = np.searchsorted(row_of, [start, end])
+            for at in range(low, high, ROWS_AT_ONCE):
+                here = slice(at, min(at + ROWS_AT_ONCE, high))
+                others, mine = block[row_of[here] - start], held_score[here, None]
+                same = others == mine
+                earlier = (same & (ids[None, :] < held_user[here, None])).sum(axis=1)
+                counts[here] = np.stack(
+                    ((others < mine).sum(axis=1), same.sum(axis=1), (others > mine).sum(axis=1) + earlier, size[row_of[here] - start]), axis=1
+                )
         return pd.DataFrame(
             {"question_id": wanted["question_id"], "user_id": held_user, "score": held_score,
              "below": counts[:, 0], "equal": counts[:, 1], "ahead": counts[:, 2], "candidates": counts[:, 3]}

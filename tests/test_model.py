@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from answerrec.errors import BadEvaluationMetric, InvalidTag
 from answerrec.operators import metrics, model, scoring
@@ -94,11 +96,49 @@ def test_positions_match_brute_force(spark):
     rows = {(r.question_id, r.user_id, r.below, r.equal, r.ahead, r.candidates) for r in found.collect()}
     assert rows == expected
 
-    best = scoring.top_users(q_df, u_df, 5, exclude_seen=pair(seen), question_block=7, user_block=16)
-    lists = {r.question_id: list(r.user_ids) for r in scoring.ranked_lists(best).collect()}
-    for q in questions:
-        free = sorted((x for x in users if (q, x) not in seen), key=lambda x: (-score(q, x), x))
-        assert lists[q] == free[:5]
+    for strip in (1, 2, 16):
+        best = scoring.top_users(q_df, u_df, 5, exclude_seen=pair(seen), question_block=7, user_block=8, strip=strip)
+        lists = {r.question_id: list(r.user_ids) for r in scoring.ranked_lists(best).collect()}
+        for q in questions:
+            free = sorted((x for x in users if (q, x) not in seen), key=lambda x: (-score(q, x), x))
+            assert lists[q] == free[:5]
+
+
+def test_blocks_that_cannot_hold_better_users_are_skipped(spark):
+    rng = random.Random(8)
+    length = lambda i: 1.0 / (1 + i / 40)
+    users = []
+    for i in range(1600):
+        v = [rng.gauss(0, 1) for _ in range(6)]
+        size = sum(x * x for x in v) ** 0.5
+        users.append((i, [x / size * length(i) for x in v], 0.0))
+    questions = [(q, [rng.gauss(0, 1) for _ in range(6)]) for q in range(50)]
+    q_df = spark.createDataFrame(questions, "question_id long, vector array<double>")
+    u_df = spark.createDataFrame(users, "user_id long, vector array<double>, bias double").repartition(4)
+    blocks = scoring.users_by_length(u_df, 100)
+    sizes = [r["count"] for r in blocks.users.groupBy("ub").count().collect()]
+    assert len(sizes) == len(blocks.longest) >= 16 and max(sizes) <= 110
+    first = blocks.users.where("ub = 0").select(F.lit(0).alias("cell"), "*")
+    top = scoring._meet(q_df.select("*", F.lit(float("-inf")).alias("floor"), F.lit(0).alias("cell")), first, None, 5)
+    asked = scoring.visits(q_df, top, blocks, 5).collect()
+    share = sum(r.ub for r in asked) / (len(asked) * len(blocks.longest))
+    assert share < 0.5  # more than half of all blocks are skipped
+    found = {}
+    for r in scoring.top_users(q_df, u_df, 5, user_block=100, strip=3).orderBy("question_id", "rank").collect():
+        found.setdefault(r.question_id, []).append(r.user_id)
+    for q, v in questions:
+        best = sorted(users, key=lambda u: (-float(np.float32(sum(a * b for a, b in zip(v, u[1])))), u[0]))
+        assert found[q] == [u[0] for u in best[:5]]
+
+
+def test_equal_lengths_and_few_users(spark):
+    u_df = spark.createDataFrame([(i, [1.0, 0.0], 0.0) for i in range(90)], "user_id long, vector array<double>, bias double")
+    q_df = spark.createDataFrame([(1, [2.0, 1.0]), (2, [-1.0, 0.0])], "question_id long, vector array<double>")
+    top = scoring.top_users(q_df, u_df, 4, user_block=10)
+    assert {r.question_id: list(r.user_ids) for r in scoring.ranked_lists(top).collect()} == {1: [0, 1, 2, 3], 2: [0, 1, 2, 3]}
+    assert scoring.top_users(q_df, u_df.limit(2), 4).count() == 4
+    assert scoring.top_users(q_df, u_df.limit(0), 4).count() == 0
+    assert scoring.top_users(q_df.limit(0), u_df, 4).count() == 0
 
 
 def test_constant_scores_give_half(spark):

@@ -62,6 +62,42 @@ def test_attach_spreads_hot_keys(rows, spark):
 def test_quantiles(spark, values):
     probs = [0.0, 0.1, 0.5, 0.75, 0.99, 1.0]
     df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
-    found = {r.p: r.value for r in skew.quantiles(df, "v", probs, buckets=16).collect()}
     known = [v for v in values if v is not None]
-    assert found == {p: pytest.approx(float(np.quantile(known, p))) for p in probs}
+    for bound in (1, 3, 100_000):
+        found = {r.p: r.value for r in skew.quantiles(df, ["v"], probs, bound=bound, cuts=16).collect()}
+        assert found == {p: pytest.approx(float(np.quantile(known, p))) for p in probs}
+
+
+def test_quantiles_of_several_columns_with_an_outlier(spark, monkeypatch):
+    rng = random.Random(6)
+    data = [(rng.gauss(0, 1), float(rng.randrange(5)), 1000.0 + rng.random()) for _ in range(4000)]
+    data[17] = (1e12, -3.0, None)
+    df = spark.createDataFrame(data, "a double, b double, c double")
+    largest = []
+    real = spark.createDataFrame
+
+    def watch(rows, schema=None, *more):
+        if isinstance(schema, str) and schema.startswith("range int"):
+            largest.append(max(r[5] for r in rows))
+        return real(rows, schema, *more)
+
+    monkeypatch.setattr(spark, "createDataFrame", watch)
+    probs = [0.25, 0.5, 0.999]
+    found = {(r.column, r.p): r.value for r in skew.quantiles(df, ["a", "b", "c"], probs, bound=50).collect()}
+    monkeypatch.undo()
+    columns = {c: [r[i] for r in data if r[i] is not None] for i, c in enumerate("abc")}
+    assert found == {(c, p): pytest.approx(float(np.quantile(v, p))) for c, v in columns.items() for p in probs}
+    assert largest[-1] <= 50 and len(largest) <= 4
+
+
+def test_one_crowded_hour_is_opened(spark):
+    rows = [(1 if i % 10 else 2, i * 3 % 5000) for i in range(5000)]
+    df = spark.createDataFrame(rows, "question_id long, answer_id long").withColumn("date", F.lit("2024-05-05 10:00:00").cast("timestamp"))
+    quota = lambda n: F.ceil(n * 0.3)
+    levels = [F.hour("date"), F.second("date")]
+    kept = skew.first_rows(df, ["question_id"], levels, [F.desc("answer_id")], quota, last="answer_id", bound=20)
+    expected = []
+    for q in (1, 2):
+        ids = sorted((a for k, a in rows if k == q), reverse=True)
+        expected += ids[: -(-len(ids) * 3 // 10)]
+    assert sorted(r.answer_id for r in kept.collect()) == sorted(expected)
