@@ -88,8 +88,16 @@ def unit(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def poisson(mean: float) -> np.ndarray:
+    """The chances of at most 0, 1, 2 ... events, until the rest is too rare for a double."""
+    terms = [np.exp(-mean)]
+    while terms[-1] > 1e-18 or len(terms) < mean:
+        terms.append(terms[-1] * mean / len(terms))
+    return np.cumsum(terms)
+
+
 def darts(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, region: tuple[float, float, float, float], k: int):
-    """The darts in one region of each element, in groups: (owner, coordinate, rank, identity).
+    """The darts in one region of each element: (owner, coordinate, rank, identity).
 
     A region spans the ranks `low` to `high` and the weights `floor` to `roof`. The number of
     its darts is drawn from a Poisson law with the region's area as mean, by a hash of element
@@ -98,19 +106,14 @@ def darts(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, region:
     low, high, floor, roof = region
     corner = np.array([low, floor], np.float64).view(np.uint64)
     seed = mix(elements ^ mix(corner * np.array([3, 5], np.uint64)).sum(dtype=np.uint64))
-    area = (high - low) * (roof - floor)
-    u = unit(seed)
-    chance = term = np.exp(-area)
-    some, number = np.flatnonzero(u > chance), 0  # those with one dart more
-    while len(some) and number < 200:
-        number += 1
-        h = mix(seed[some] + np.uint64(number * 0xD1342543DE82EF95 % 2**64))
-        hit = floor + unit(mix(h ^ np.uint64(0xA5A5A5A5))) * (roof - floor) <= weights[some]
-        rank = low + unit(mix(h[hit] ^ np.uint64(0x5A5A5A5A))) * (high - low)
-        yield owner[some][hit], (h[hit] % np.uint64(k)).astype(np.int64), rank, h[hit]
-        term = term * area / number
-        chance = chance + term
-        some = some[u[some] > chance]
+    count = np.searchsorted(poisson((high - low) * (roof - floor)), unit(seed))
+    thrower = np.repeat(np.arange(len(seed)), count)
+    number = np.arange(1, len(thrower) + 1) - np.repeat(np.cumsum(count) - count, count)
+    h = mix(seed[thrower] + number.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    hit = floor + unit(mix(h ^ np.uint64(0xA5A5A5A5))) * (roof - floor) <= weights[thrower]
+    h, thrower = h[hit], thrower[hit]
+    rank = low + unit(mix(h ^ np.uint64(0x5A5A5A5A))) * (high - low)
+    return owner[thrower], (h % np.uint64(k)).astype(np.int64), rank, h
 
 
 def slabs(heaviest: float, height: float) -> Iterator[tuple[float, float]]:
@@ -139,11 +142,11 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int = BANDS * ROWS)
         # the height depends on the layer alone, so that all texts see the same regions
         for floor, roof in slabs(weights.max(), 2.0 ** np.floor(np.log2(16 / (high - low)))):
             more = weights > floor
-            for who, place, rank, name in darts(elements[more], weights[more], owner[more], (low, high, floor, roof), k):
-                flat = who * k + place
-                np.minimum.at(ranks, flat, rank)
-                won = ranks[flat] == rank
-                names[flat[won]] = name[won]
+            who, place, rank, name = darts(elements[more], weights[more], owner[more], (low, high, floor, roof), k)
+            flat = who * k + place
+            np.minimum.at(ranks, flat, rank)
+            won = ranks[flat] == rank
+            names[flat[won]] = name[won]
         todo = todo[np.isinf(best[todo]).any(axis=1)]
         low, high = high, high + min(high, 16.0)
     return out
