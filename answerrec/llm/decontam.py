@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import ahocorasick
 import pandas as pd
@@ -18,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from answerrec.llm.base import checkpoint
+from answerrec.llm.base import checkpoint, unused
+from answerrec.session import materialize
 
 ERROR_RATE = 0.1
 MIN_CHARS = 20
@@ -160,12 +162,13 @@ class Items:
     """A block of items: its automaton of pieces is built once per worker."""
 
     texts: dict[int, list[str]]  # normalised, by key: the whole, then the lines that count alone
-    rate: float
+    short: dict[int, str] = field(default_factory=dict)  # normalised texts that are found only as they stand, by key
+    rate: float = ERROR_RATE
     ids: dict[int, int | None] = field(default_factory=dict)  # item ids by key, where they differ
     _ready: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return {"texts": self.texts, "rate": self.rate, "ids": self.ids, "_ready": {}}
+        return {"texts": self.texts, "short": self.short, "rate": self.rate, "ids": self.ids, "_ready": {}}
 
     def ready(self):
         if not self._ready:
@@ -175,26 +178,30 @@ class Items:
                 for g, (low, high) in enumerate(stretch.groups):
                     for i in range(low, high):
                         pieces.setdefault(stretch.text[stretch.cuts[i] : stretch.cuts[i + 1]], []).append((s, i, g))
-            automaton = ahocorasick.Automaton()
-            for piece, places in pieces.items():
-                automaton.add_word(piece, (len(piece), places))
-            automaton.make_automaton()
-            self._ready = {"automaton": automaton, "stretches": stretches}
+            words: dict[str, list[int | None]] = {}
+            for key, text in self.short.items():
+                words.setdefault(f" {text} ", []).append(self.ids.get(key, key))
+            self._ready = {"pieces": automaton(pieces), "words": automaton(words), "stretches": stretches}
         return self._ready
 
     def search(self, raw: str | None) -> list[tuple[int | None, int, int, int, int]]:
         """(item, distance, start, end, letters) of the best place of each item found, in the normalised text."""
-        if not raw or not self.texts:
+        if not raw or not (self.texts or self.short):
             return []
-        stretches = self.ready()["stretches"]
+        ready = self.ready()
+        stretches = ready["stretches"]
         text = normal(raw)
         hits: dict[int, list[tuple[int, int]]] = {}
-        for end, (size, places) in self.ready()["automaton"].iter(text):
+        for end, (size, places) in ready["pieces"].iter(text) if ready["pieces"] else ():
             at = end - size + 1
             for s, piece, group in places:
                 if stretches[s].fits(text, at, piece, group):
                     hits.setdefault(s, []).append((at - stretches[s].cuts[piece], group))
         out: dict[int | None, tuple[int, int, int, int]] = {}
+        for end, (size, items) in ready["words"].iter(f" {text} ") if ready["words"] else ():
+            for item in items:  # the first place of the longest text of an item
+                if item not in out or out[item][3] < size - 2:
+                    out[item] = (0, end - size + 1, end - 1, size - 2)
         for s in sorted(hits):
             item = stretches[s].item
             if item in out and out[item][3] > len(stretches[s].text):
@@ -206,6 +213,17 @@ class Items:
         return sorted(((item, *found) for item, found in out.items()), key=lambda f: (f[0] is None, f[0] or 0))
 
 
+def automaton(words: dict[str, list]):
+    """Finds all words at once, each with its length and what it stands for; None if there are none."""
+    found = ahocorasick.Automaton()
+    for word, meaning in words.items():
+        found.add_word(word, (len(word), meaning))
+    if not words:
+        return None
+    found.make_automaton()
+    return found
+
+
 def stretches_of(raw: str, min_chars: int) -> list[str]:
     """The normalised item, then those of its lines that count alone; none if it is too short."""
     whole = normal(raw)
@@ -224,7 +242,9 @@ def merged(begins: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
     return out
 
 
-def find_items(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block: int = BLOCK_ITEMS, unnamed: bool = False) -> DataFrame:
+def find_items(
+    docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block: int = BLOCK_ITEMS, unnamed: bool = False, short: bool = True
+) -> DataFrame:
     """Adds `found`: for each item of a benchmark that the text holds, its best place.
 
     Texts and items are compared in lower case, with everything but letters and digits as one
@@ -234,34 +254,52 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, min_
     of its lines of 50 letters or more, with their own length and fewer edits than pieces.
     `distance`, `start` and `end` (in the normalised text) describe the best place of the
     whole, or else of what is found of it; `letters` is how many letters of the item were
-    compared. Items that are null or normalise to fewer than `min_chars` letters are too short
-    to prove anything and are never found. Of several texts with a common id each is searched,
+    compared. Items that normalise to fewer than `min_chars` letters are found only where they
+    stand exactly, as whole words, and with `short=False` not at all; items without a letter
+    or digit, and null ones, are never found. Of several texts with a common id each is searched,
     and the one of which most is found is described; texts without id are searched if
     `unnamed` is set, together as one item without id. Null and empty texts hold nothing;
     repeated rows are each searched; an empty table on either side gives no places. Other
     columns stay.
 
-    Items are broadcast in blocks of at most `block`, one pass over the texts for each block;
-    a benchmark of any size thus never needs more than one block in memory, and the texts are
-    not shuffled at all.
+    Up to `block` items are broadcast at once, and the texts are not shuffled. A larger
+    benchmark is searched block by block: each pass over the texts writes the places it finds,
+    by a hash of the text, and has one block in its workers; the places join the texts at the
+    end. The driver holds one block at a time.
     """
-    spark = docs.sparkSession
     some = F.col("text").isNotNull() if unnamed else F.col("item_id").isNotNull() & F.col("text").isNotNull()
     texts = items.where(some).select(F.col("item_id").cast("long"), "text").distinct()
     count = texts.count()
     blocks = max(1, -(-count // block))
     texts = checkpoint(texts.withColumn("_block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))) if blocks > 1 else texts.withColumn("_block", F.lit(0))
     kept = [c for c in docs.columns if c != "found"]
-    out = docs.select(*kept).withColumn("found", F.array().cast(FOUND))
+    if blocks == 1:
+        return docs.select(*kept, searcher(block_of(texts, 0, rate, min_chars, short))("text").alias("found"))
+    h1, h2, places = unused(docs, "_h1", "_h2", "_places")
+    key = F.xxhash64("text").alias(h1), F.xxhash64(F.lit("second"), "text").alias(h2)
+    passes = []
     for k in range(blocks):
-        rows = texts.where(F.col("_block") == k).select("item_id", "text").toLocalIterator()
-        rows = sorted(((r["item_id"], t) for r in rows if (t := stretches_of(r["text"], min_chars))), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        keyed = Items({key: t for key, (_, t) in enumerate(rows)}, rate, {key: item for key, (item, _) in enumerate(rows)})
-        out = out.withColumn("found", F.concat("found", searcher(spark.sparkContext.broadcast(keyed))("text")))
-    return out.withColumn("found", best_of_each("found")) if blocks > 1 else out
-
-
-def best_of_each(found: str) -> Column:
+        shared = block_of(texts, k, rate, min_chars, short)
+        hits = docs.select(*key, searcher(shared)("text").alias(places)).where(F.size(places) > 0).dropDuplicates([h1, h2])
+        passes.append(materialize(hits, "places"))
+        shared.unpersist()
+    every = reduce(DataFrame.unionByName, passes).groupBy(h1, h2).agg(F.flatten(F.collect_list(places)).alias(places))
+    joined = docs.select(*kept, *key).join(every, [h1, h2], "left")
+    none = F.array().cast(FOUND)
+    return joined.select(*kept, best_of_each(F.coalesce(F.col(places), none)).alias("found"))
+
+
+def block_of(texts: DataFrame, k: int, rate: float, min_chars: int, short: bool):
+    """The items of a block, as a broadcast."""
+    rows = [(r["item_id"], r["text"]) for r in texts.where(F.col("_block") == k).select("item_id", "text").toLocalIterator()]
+    rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    long = {key: t for key, (_, raw) in enumerate(rows) if (t := stretches_of(raw, min_chars))}
+    words = {key: t for key, (_, raw) in enumerate(rows) if key not in long and (t := normal(raw))} if short else {}
+    ids = {key: item for key, (item, _) in enumerate(rows)}
+    return texts.sparkSession.sparkContext.broadcast(Items(long, words, rate, ids))
+
+
+def best_of_each(found: Column) -> Column:
     """One place for each item, as a single block of items would give it."""
     ranked = F.sort_array(F.transform(found, lambda f: F.struct(f["item_id"].alias("item_id"), (-f["letters"]).alias("less"), f["distance"], f["start"], f["end"])))
     firsts = F.filter(ranked, lambda f, i: (i == 0) | ~F.get(ranked, i - 1)["item_id"].eqNullSafe(f["item_id"]))
@@ -280,8 +318,12 @@ def searcher(shared):
     return search
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` whose text holds no item of the benchmark, with or without id, with their columns."""
-    found = find_items(docs.withColumnRenamed("found", "_found_before") if "found" in docs.columns else docs, items, unnamed=True, **options)
-    clean = found.where(F.size("found") == 0).drop("found")
-    return clean.withColumnRenamed("_found_before", "found") if "found" in docs.columns else clean
+def decontaminate(docs: DataFrame, items: DataFrame, short: bool = False, **options) -> DataFrame:
+    """The rows of `docs` whose text holds no item of the benchmark, with or without id, with their columns.
+
+    A text is not dropped for an item of a word or two (see `find_items`), unless `short` is set.
+    """
+    (before,) = unused(docs, "_found_before")
+    hidden = docs.withColumnRenamed("found", before) if "found" in docs.columns else docs
+    clean = find_items(hidden, items, unnamed=True, short=short, **options).where(F.size("found") == 0).drop("found")
+    return clean.withColumnRenamed(before, "found") if "found" in docs.columns else clean
