@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Generator, Iterator
@@ -38,7 +39,11 @@ ENDS: dict[str, tuple[set[str], set[str]]] = {
 }
 CLOSE_P = (BLOCK - {"li", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "option", "optgroup", "html", "body", "text"}) | {"li", "dd", "dt"}
 INSIDE_HEAD = set("title meta link style script base noscript template".split())
-INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+TABLE_PARTS = set("table thead tbody tfoot tr td th caption li".split())  # laid out by their place, whatever their style says
+DISPLAY, VISIBILITY = (re.compile(rf"(?:^|[;{{\s]){name}\s*:\s*([a-z-]+)", re.I) for name in ("display", "visibility"))
+INLINE = set("inline inline-block inline-flex inline-grid inline-table contents ruby".split())
+SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
+SILENT = set("hidden password checkbox radio file image color range".split())  # inputs whose value is not read as text
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 DEEPEST = 150  # blocks nested deeper are not indented or aligned any more
 WIDEST = 60  # a cell wider than this does not widen its column
@@ -46,11 +51,12 @@ COLUMNS = 1000  # columns beyond this are not kept free below a cell of several
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "gone", "block")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs = tag, attrs
         self.children: list[Node | str] = []
+        self.gone, self.block = False, tag in BLOCK
 
 
 class Tree(HTMLParser):
@@ -94,6 +100,8 @@ class Tree(HTMLParser):
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.push(node)
+        elif tag == "input" and node.attrs.get("type", "text").lower() not in SILENT and node.attrs.get("value"):
+            node.children.append(f" {node.attrs['value']} ")
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
@@ -127,11 +135,91 @@ def tree(html: str) -> Node:
     parser = Tree()
     parser.feed(html)
     parser.close()
+    settle(parser.root, "<style" in html.lower())
     return parser.root
 
 
+def declared(style: str) -> tuple[str | None, str | None]:
+    """(display, visibility) of a list of declarations; the last one counts."""
+    return tuple(found[-1].lower() if (found := kind.findall(style)) else None for kind in (DISPLAY, VISIBILITY))
+
+
+class Sheet:
+    """The rules of a page's own style sheets that show or hide: plain selectors of tag, class and id."""
+
+    def __init__(self, css: str):
+        self.rules: dict[str, list[tuple[int, str, set[str], tuple[str | None, str | None]]]] = defaultdict(list)
+        css = re.sub(r"/\*.*?\*/", " ", css, flags=re.S)
+        at = 0
+        while (start := css.find("{", at)) >= 0:
+            selectors, at = css[at:start], start + 1
+            if selectors.rsplit(";", 1)[-1].lstrip(" \t\r\n\f}").startswith("@"):  # a rule for some media
+                deep = 1
+                while deep and at < len(css):
+                    deep += {"{": 1, "}": -1}.get(css[at], 0)
+                    at += 1
+                continue
+            end = css.find("}", at)
+            body, at = css[at : end if end >= 0 else len(css)], end + 1 if end >= 0 else len(css)
+            found = declared(body)
+            if any(found):
+                for selector in selectors.rsplit(";", 1)[-1].lstrip("} \t\r\n\f").split(","):
+                    self.add(selector.strip(), found)
+
+    def add(self, selector: str, found: tuple[str | None, str | None]) -> None:
+        match = SIMPLE.fullmatch(selector)
+        if match and selector:
+            tag, marks = (match[1] or "").lower().strip("*"), set(re.findall(r"[.#][\w-]+", match[2]))
+            weight = sum(100 if m[0] == "#" else 10 for m in marks) + bool(tag)
+            self.rules[min(marks) if marks else tag].append((weight, tag, marks, found))
+
+    def of(self, node: Node) -> tuple[str | None, str | None]:
+        marks = {"." + c for c in node.attrs.get("class", "").split()} | ({"#" + node.attrs["id"]} if "id" in node.attrs else set())
+        fits = [r for key in (*marks, node.tag, "") for r in self.rules.get(key, ()) if r[1] in ("", node.tag) and r[2] <= marks]
+        display = visibility = None
+        for _, _, _, (d, v) in sorted(fits, key=lambda r: r[0]):  # of equal weight the later one
+            display, visibility = d or display, v or visibility
+        return display, visibility
+
+
+def settle(root: Node, styled: bool) -> None:
+    """Mark what is not drawn and what is a block, and drop texts whose visibility is hidden.
+
+    Visibility is inherited, so a visible element in a hidden one is seen; display is not.
+    """
+    sheet = Sheet("\n".join(styles(root))) if styled else None
+    left = [(root, False)]
+    while left:
+        node, silent = left.pop()
+        display = visibility = None
+        if sheet:
+            display, visibility = sheet.of(node)
+        if "style" in node.attrs:
+            d, v = declared(node.attrs["style"])
+            display, visibility = d or display, v or visibility
+        closed = node.tag == "dialog" and "open" not in node.attrs
+        node.gone = node.tag in HIDDEN or closed or display == "none" or ("hidden" in node.attrs and not display)
+        if node.gone:
+            continue
+        if display and node.tag not in TABLE_PARTS:
+            node.block = display not in INLINE
+        silent = visibility in ("hidden", "collapse") if visibility and visibility != "inherit" else silent
+        if silent:
+            node.children = [c for c in node.children if isinstance(c, Node)]
+        left += [(c, silent) for c in node.children if isinstance(c, Node)]
+
+
+def styles(root: Node) -> Iterator[str]:
+    left = [root]
+    while left:
+        node = left.pop()
+        if node.tag == "style":
+            yield "".join(c for c in node.children if isinstance(c, str))
+        left += [c for c in reversed(node.children) if isinstance(c, Node)]
+
+
 def visible(node: Node) -> bool:
-    return not (node.tag in HIDDEN or "hidden" in node.attrs or (node.tag == "dialog" and "open" not in node.attrs) or INVISIBLE.search(node.attrs.get("style", "")))
+    return not node.gone
 
 
 def shown(node: Node) -> list[Node | str]:
@@ -151,7 +239,7 @@ def inside(node: Node) -> Iterator[Node | str]:
         elif isinstance(child, str):
             yield child
         elif visible(child):
-            if child.tag == "br" or child.tag in BLOCK:
+            if child.tag == "br" or child.block:
                 yield child
             else:
                 left.append(iter(shown(child)))
@@ -230,26 +318,74 @@ def render(node: Node, tight: bool, depth: int) -> Layout:
 
 
 def raw(node: Node) -> str:
-    out, left = [], [iter(shown(node))]
+    """Texts as they stand; a block in them has lines of its own, and cells of a row stand apart."""
+    out: list[str] = []
+    left: list[tuple[Node, Iterator[Node | str]]] = [(node, iter(shown(node)))]
+
+    def new_line() -> None:
+        if out and not out[-1].endswith("\n"):
+            out.append("\n")
+
     while left:
-        child = next(left[-1], None)
+        parent, children = left[-1]
+        child = next(children, None)
         if child is None:
             left.pop()
+            if left and parent.block and parent.tag not in ("td", "th"):
+                new_line()
         elif isinstance(child, str):
-            out.append(child)
+            out.append(child) if child else None
         elif child.tag == "br":
             out.append("\n")
         elif visible(child):
-            left.append(iter(shown(child)))
+            if child.tag in ("td", "th"):
+                out += ["  "] if out and not out[-1].endswith("\n") else []
+            elif child.block:
+                new_line()
+            left.append((child, iter(shown(child))))
     return "".join(out)
 
 
+def letters_of(number: int) -> str:
+    """a, b, ... z, aa, ab, ..."""
+    out = ""
+    while number > 0:
+        number, digit = divmod(number - 1, 26)
+        out = chr(97 + digit) + out
+    return out
+
+
+def roman(number: int) -> str:
+    out = ""
+    for value, sign in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+        out += sign * (number // value)
+        number %= value
+    return out
+
+
+def numbered(number: int, kind: str) -> str:
+    """The number of a list item in the list's style; numbers that a style cannot write stay plain."""
+    if kind in ("a", "A") and number > 0:
+        text = letters_of(number)
+    elif kind in ("i", "I") and 0 < number < 4000:
+        text = roman(number)
+    else:
+        return f"{number}. "
+    return (text.upper() if kind.isupper() else text) + ". "
+
+
+def whole(value: str | None) -> int | None:
+    return int(value) if value and re.fullmatch(r"\s*[+-]?[0-9]{1,9}\s*", value) else None
+
+
 def listing(node: Node, depth: int) -> Layout:
     """Items with a dash or their number; what follows in an item is indented."""
     lines: list[str] = []
-    start = node.attrs.get("start", "1")
-    number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
-    for part in inside(node):
+    parts = list(inside(node))
+    step = -1 if "reversed" in node.attrs else 1
+    first = whole(node.attrs.get("start"))
+    number = first if first is not None else 1 if step > 0 else sum(isinstance(p, Node) and p.tag == "li" for p in parts)
+    for part in parts:
         if isinstance(part, str):
             lines += [t] if (t := BLANKS.sub(" ", part).strip(" ")) else []
             continue
@@ -257,13 +393,22 @@ def listing(node: Node, depth: int) -> Layout:
             block = yield render(part, True, depth + 1)
             lines += ["  " + x if x and depth < DEEPEST else x for x in block]
             continue
-        mark = f"{number}. " if node.tag == "ol" else "- "
-        number += 1
+        own = whole(part.attrs.get("value"))
+        number = own if own is not None and node.tag == "ol" else number
+        mark = numbered(number, part.attrs.get("type", node.attrs.get("type", "1"))) if node.tag == "ol" else "- "
+        number += step
         item = yield flow(part, True, depth + 1)
         lines += [(mark if i == 0 else " " * len(mark) if depth < DEEPEST else "") + x for i, x in enumerate(item)]
     return lines
 
 
+def places_of(text: str) -> int:
+    """The width of a text in places of a fixed-width font: wide letters take two, marks none."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
 def grid(node: Node, depth: int) -> Layout:
     """A caption and what stands between cells, then the rows with their columns aligned two spaces apart."""
     before: list[str] = []
@@ -319,7 +464,7 @@ def grid(node: Node, depth: int) -> Layout:
     for row in rows:
         for lines, at, wide in row:
             if wide == 1:
-                longest = max(map(len, lines))
+                longest = max(map(places_of, lines))
                 widths[at] = max(widths.get(at, 0), longest if longest <= WIDEST else 0)
     columns = max((at + wide for row in rows for _, at, wide in row), default=0)
     places = [0, *accumulate(widths.get(c, 0) + 2 for c in range(columns))]
@@ -328,7 +473,8 @@ def grid(node: Node, depth: int) -> Layout:
         for i in range(max((len(lines) for lines, *_ in row), default=0)):
             text = ""
             for lines, at, _ in row:
-                text = text.ljust(places[at]) if len(text) <= places[at] else text + "  "
+                free = places[at] - places_of(text)
+                text += " " * (free if free >= 0 else 2)
                 text += lines[i] if i < len(lines) else ""
             if text.strip():
                 out.append(text.rstrip())
@@ -343,7 +489,7 @@ def height(cell: Node) -> float:
 
 def span(cell: Node) -> int:
     value = cell.attrs.get("colspan", "1")
-    return max(1, min(100, int(value))) if re.fullmatch(r"\d{1,6}", value) else 1
+    return max(1, min(COLUMNS, int(value))) if re.fullmatch(r"[0-9]{1,6}", value) else 1  # the standard's own bound
 
 
 def text_of(html: str | None) -> str:
@@ -354,9 +500,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """Adds `text`: what a reader of the page `html` sees, laid out in lines.
 
     Elements that are never shown (head, scripts, styles, templates, `hidden`, display none,
-    closed dialogs, the inside of closed details) are left out. Blocks stand on lines of
+    closed dialogs, the inside of closed details) are left out, and texts whose visibility is
+    hidden; a `style` attribute counts, and so do rules of the page's own style sheets with
+    selectors of tag, class and id. Blocks stand on lines of
     their own, paragraphs, headings, lists and tables with a blank line around; list items
-    have a dash or a number; table cells are aligned, below a cell of several rows its columns
+    have a dash or their number in the list's style; values of inputs are read; table cells are aligned, below a cell of several rows its columns
     stay free, and text between cells stands before the rows; preformatted text keeps its blanks.
     Null and empty pages give an empty text, text without markup itself. Broken markup is
     read by the rules of implied and stray tags; nothing raises. Elements may be nested to
