@@ -1,4 +1,9 @@
-"""License scans: n-gram logistic regression over windows of a paragraph, templates confirm the family and the place."""
+"""License scans: n-gram logistic regression names the family of a stretch, its templates confirm it.
+
+The classifier knows the families, licences of other families (`unknown`), and texts that are
+no licence. What it takes for a family counts only if the stretch holds most of one of that
+family's templates; what it takes for a licence otherwise is reported as unknown.
+"""
 
 from __future__ import annotations
 
@@ -18,8 +23,9 @@ from answerrec.llm.grams import WORD, mix, pack, packs, shingles, word_hashes
 
 BITS = 14
 BUCKETS = 2**BITS
-UNKNOWN = "unknown"
-SAMPLE_DOCUMENTS = 400
+NONE, UNKNOWN = "none", "unknown"
+SAMPLE_DOCUMENTS = 400  # about as many documents give examples of lines that are no licence
+SAMPLE_LINES = 2_000  # of which so many enter the fit
 CONFIRMED_FROM, PARTLY_FROM = 0.6, 0.3
 WINDOWS = (6, 16, 48)  # words; one begins after every third of its length
 AROUND = 60  # words on both sides of a candidate that are compared with the templates as well
@@ -124,7 +130,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    names: list[str]  # the unknown class is the first
+    names: list[str]  # no licence, licences of other families, the families
     weights: np.ndarray  # bucket x class
     bias: np.ndarray
     heat: float  # the logits are divided by it, so that probabilities match frequencies
@@ -136,6 +142,10 @@ class Model:
         total = np.stack([np.bincount(owner, w[bucket], len(texts)) for w in self.weights.T], axis=1)
         return total / np.sqrt(count)[:, None] + self.bias
 
+    def chances(self, texts: list[str]) -> np.ndarray:
+        """Probabilities by class."""
+        return softmax(self.logits(texts) / self.heat) if texts else np.empty((0, len(self.names)))
+
     def windows(self, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Probabilities of the windows from word `begin` to before word `end`, as those of texts of their own."""
         total, count = np.zeros((len(begin), len(self.names))), np.zeros(len(begin))
@@ -175,47 +185,122 @@ def cut(line: str, kind: int, rng: np.random.Generator) -> str:
     return " ".join(words[at : at + size]) if kind else line
 
 
-def fit_licenses(rows: pd.DataFrame, epochs: int = 30) -> Model:
-    """Logistic regression by gradient descent on notices, plain sentences and lines of the corpus.
+#: Names by family and ways to name a licence, long and short.
+NAMES = {
+    "apache": ("Apache", "Apache"), "mit": ("MIT", "MIT"), "bsd": ("BSD", "BSD"), "gpl": ("GNU General Public", "GPL"), "lgpl": ("GNU Lesser General Public", "LGPL"),
+    "agpl": ("GNU Affero General Public", "AGPL"), "mpl": ("Mozilla Public", "MPL"), "cc": ("Creative Commons Attribution", "CC BY"), "isc": ("ISC", "ISC"),
+}
+FORMS = [
+    "Licensed under the {n} License, Version {v}.", "Released under the {n} License.", "This work is licensed under the {n} Licence, version {v}.",
+    "SPDX-License-Identifier: {a}-{v}", "Distributed under the {n} Software License, Version {v}.", "Licensed under the {a}.", "Licensed under the {n}.",
+    "You may use this file under the terms of the {n} License.", "This program is licensed under the {a}, version {v}.", "Released under the {a} {v}.",
+    "This project is licensed under the {n} Public License.", "The {n} License applies to this software and its documentation.",
+]
+VERSIONS = ["1.0", "1.2", "2.0", "2.1", "3.0", "4"]
+
+
+def named(family: str, rng: np.random.Generator) -> Iterator[str]:
+    """The family's names in the forms that licences of any name take, so that the name decides."""
+    if family in NAMES:
+        n, a = NAMES[family]
+        for form in FORMS:
+            yield form.format(n=n, a=a, v=rng.choice(VERSIONS))
+
+
+def strange(rng: np.random.Generator, count: int = 30) -> Iterator[str]:
+    """Notices of licences with invented names."""
+    syllable = lambda: "".join(rng.choice(list(part)) for part in ("bcdfgklmnprstvz", "aeiou"))
+    for i in range(count):
+        words = ["".join(syllable() for _ in range(rng.integers(2, 4))).capitalize() for _ in range(rng.integers(1, 4))]
+        short = "".join(rng.choice(list("BCDEFKLNOPSTUVWXYZ")) for _ in range(rng.integers(3, 5)))
+        for k in range(i, i + 6):
+            yield FORMS[k % len(FORMS)].format(n=" ".join(words), a=short, v=rng.choice(VERSIONS))
+
 
-    The temperature of the probabilities is set on every fifth example, which the weights have
-    not seen.
+@dataclass
+class Examples:
+    """Labelled texts as buckets of n-grams, sorted by text."""
+
+    bucket: np.ndarray
+    first: np.ndarray
+    label: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str], label: list[int]) -> Examples:
+        bucket, owner = grams(texts)
+        order = np.argsort(owner, kind="stable")
+        return cls(bucket[order], np.searchsorted(owner[order], np.arange(len(texts) + 1)), np.array(label))
+
+    def root(self, i: int) -> float:
+        return max(self.first[i + 1] - self.first[i], 1) ** 0.5
+
+    def logits(self, weights: np.ndarray, bias: np.ndarray, some: np.ndarray) -> np.ndarray:
+        return np.stack([weights[self.bucket[self.first[i] : self.first[i + 1]]].sum(axis=0) / self.root(i) + bias for i in some])
+
+    def descend(self, some: np.ndarray, classes: int, epochs: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and biases by gradient descent over the given examples; rare classes step wider."""
+        weights, bias = np.zeros((BUCKETS, classes)), np.zeros(classes)
+        share = 1 / np.sqrt(np.maximum(np.bincount(self.label[some], minlength=classes), 1))
+        for epoch in range(epochs):
+            for i in rng.permutation(some):
+                mine, root = self.bucket[self.first[i] : self.first[i + 1]], self.root(i)
+                chance = softmax((weights[mine].sum(axis=0) / root + bias)[None])[0]
+                chance[self.label[i]] -= 1
+                step = 5.0 * share[self.label[i]] * (1 - epoch / epochs) * chance
+                np.subtract.at(weights, mine, step / root)
+                bias -= 0.1 * step
+        return weights, bias
+
+
+def fit_licenses(rows: pd.DataFrame, epochs: int = 30, epochs_without: int = 8) -> Model:
+    """Logistic regression on notices, invented licences, plain sentences and lines of the corpus.
+
+    Probabilities are calibrated on every fifth example, which the weights have not seen, and
+    on each family as the classifier sees it when it was fitted without that family: there the
+    right answer is `unknown`. A temperature and a shift of the unknown class are chosen for
+    the least log loss on both.
     """
     rng = np.random.default_rng(11)
-    names = [UNKNOWN, *sorted(TEMPLATES)]
+    names = [NONE, UNKNOWN, *sorted(TEMPLATES)]
     texts, label = [], []
     known = {" ".join(words_of(t)) for family in TEMPLATES.values() for t in family}
-    for k, name in enumerate(names[1:], 1):
-        for template in TEMPLATES[name]:
-            for v in variants(template, rng):
-                texts.append(v)
-                label.append(k)
-    lines = sorted({p[:2000] for t in rows["text"].fillna("") for p in BREAK.split(t) if p.strip()}) if len(rows) else []
+    for k, name in enumerate(names[2:], 2):
+        for v in [v for template in TEMPLATES[name] for v in variants(template, rng)] + list(named(name, rng)):
+            texts.append(v)
+            label.append(k)
+    others = list(strange(rng))
+    texts += others
+    label += [1] * len(others)
+    lines = sorted({p for t in rows["text"].fillna("") for p in BREAK.split(t) if p.strip()}) if len(rows) else []
     lines = [p for p in lines if not re.search("licen[cs]e|copyright|permission", p, re.I) and " ".join(words_of(p)) not in known]
-    lines = [cut(lines[i], k % 3, rng) for k, i in enumerate(rng.permutation(len(lines))[:2000])]
-    plain = [*PLAIN * 3, *lines]
+    lines = [cut(lines[i], k % 3, rng) for k, i in enumerate(rng.permutation(len(lines))[:SAMPLE_LINES])]
+    plain = [*PLAIN * 2, *(cut(p, 1, rng) for p in PLAIN * 3), *lines]
     texts += plain
     label += [0] * len(plain)
-    label = np.array(label)
+    examples = Examples.of(texts, label)
     test = np.arange(len(label)) % 5 == 4
-    model = Model(names, np.zeros((BUCKETS, len(names))), np.zeros(len(names)), 1.0)
-    bucket, owner = grams(texts)
-    count = np.sqrt(np.maximum(np.bincount(owner, minlength=len(texts)), 1))
-    order = np.argsort(owner, kind="stable")
-    bucket, first = bucket[order], np.searchsorted(owner[order], np.arange(len(texts) + 1))
-    share = np.array([1 / np.sqrt(np.maximum((label == k).sum(), 1)) for k in range(len(names))])
-    train = np.flatnonzero(~test)
-    for epoch in range(epochs):
-        for i in rng.permutation(train):
-            mine = bucket[first[i] : first[i + 1]]
-            chance = softmax((model.weights[mine].sum(axis=0) / count[i] + model.bias)[None])[0]
-            chance[label[i]] -= 1
-            step = 2.0 * share[label[i]] * (1 - epoch / epochs) * chance
-            np.subtract.at(model.weights, mine, step / count[i])
-            model.bias -= 0.1 * step
-    logits = model.logits([texts[i] for i in np.flatnonzero(test)])
-    loss = lambda heat: -np.log(softmax(logits / heat)[np.arange(len(logits)), label[test]] + 1e-12).mean()
-    model.heat = float(min(np.geomspace(0.05, 5, 40), key=loss))
+    train, unseen = np.flatnonzero(~test), np.flatnonzero(test)
+    weights, bias = examples.descend(train, len(names), epochs, rng)
+    logits, truth = [examples.logits(weights, bias, unseen)], [examples.label[unseen]]
+    groups = [np.minimum(examples.label[unseen], 2)]
+    for k in range(2, len(names)):
+        rest = train[examples.label[train] != k]
+        without = examples.logits(*examples.descend(rest, len(names), epochs_without, rng), np.flatnonzero(examples.label == k))
+        without[:, k] = -1e9  # a family that it has never heard of
+        logits.append(without)
+        truth.append(np.ones(len(without), int))
+        groups.append(np.full(len(without), 3))
+    model = Model(names, weights, bias, 1.0)
+    seen, right, group = np.concatenate(logits), np.concatenate(truth), np.concatenate(groups)
+    share = 1 / np.bincount(group)[group] / len(np.unique(group))  # no licence, invented, known, left out: each counts alike
+
+    def loss(setting: tuple[float, float]) -> float:
+        heat, shift = setting
+        moved = seen + shift * (np.arange(len(names)) == 1)
+        return float(-(share * np.log(softmax(moved / heat)[np.arange(len(right)), right] + 1e-12)).sum())
+
+    model.heat, shift = min(((h, b) for h in np.geomspace(0.1, 5, 30) for b in np.linspace(-2, 6, 33)), key=loss)
+    model.bias = model.bias + shift * (np.arange(len(names)) == 1)
     return model
 
 
@@ -231,6 +316,13 @@ for _name, (_pairs, _) in KNOWN.items():
         HOLDERS.setdefault(_pair, []).append(_name)
 
 
+#: Word pairs of the forms that speak of a licence, whatever its name: one of them confirms an unknown one.
+LICENCE_PAIRS = {
+    pair for form in FORMS for part in re.split(r"\{\w\}", form) for pair in pairs_of(words_of(part))
+    if any("licen" in w for w in pair) or pair[0] in ("released", "distributed")
+}
+
+
 @dataclass
 class Place:
     share: float  # of the template's word pairs
@@ -316,8 +408,9 @@ class Region:
 
     start: int  # letters of the paragraph
     end: int
-    chance: np.ndarray  # by class: the largest one, of the unknown class the smallest
+    chance: np.ndarray  # by class: the largest one, of `none` the smallest
     places: list[Place]
+    strange: tuple[int, int]  # the window that looks most like an unknown licence
 
 
 def regions(blocks: list[str], model: Model, least: float) -> Iterator[tuple[int, Region]]:
@@ -345,11 +438,15 @@ def regions(blocks: list[str], model: Model, least: float) -> Iterator[tuple[int
         for k, a, b, members in joined:
             a, b = max(a - AROUND, firsts[k]), min(b + AROUND, firsts[k] + counts[k])
             i, offset, _ = group[k]
-            offset += len(buffer[starts[k] : begin[a]].tobytes().decode())
+            letters = lambda low, high: len(buffer[low:high].tobytes().decode())
+            odd = members[int(chance[members, 1].argmax())]
+            odd_start = offset + letters(starts[k], begin[low[odd]])
+            window = odd_start, odd_start + letters(begin[low[odd]], end[high[odd] - 1])
+            offset += letters(starts[k], begin[a])
             text = buffer[begin[a] : end[b - 1]].tobytes().decode()
             best = chance[members].max(axis=0)
             best[0] = chance[members, 0].min()
-            yield i, Region(offset, offset + len(text), best, places(text, offset))
+            yield i, Region(offset, offset + len(text), best, places(text, offset), window)
 
 
 def scan(text: str, model: Model, least: float) -> list[dict]:
@@ -357,31 +454,47 @@ def scan(text: str, model: Model, least: float) -> list[dict]:
     lines = BREAK.split(text)
     ranges = paragraphs(lines)
     bare = [MARK.sub("", line).lower() for line in lines]
+    blocks = ["\n".join(bare[a:b]) for a, b in ranges]
     by_block: dict[int, list[Region]] = {}
-    for i, region in regions(["\n".join(bare[a:b]) for a, b in ranges], model, least):
+    for i, region in regions(blocks, model, least):
         by_block.setdefault(i, []).append(region)
     out = []
     for i, found in sorted(by_block.items()):
         first, last = ranges[i]
         begins = np.cumsum([0, *(len(line) + 1 for line in bare[first:last])]).tolist()
 
-        def notice(p: Place, family: str, chance: float, number: int, begins=begins, first=first, i=i) -> tuple[int, dict]:
-            a, b = bisect_right(begins, p.start) - 1, bisect_right(begins, p.end - 1)
-            return p.start, {"paragraph": i, "family": family, "probability": chance, "template": number, "overlap": p.share, "notice": "\n".join(lines[first + a : first + b])}
+        def notice(start: int, end: int, family: str, chance: float, number: int, share: float, begins=begins, first=first, i=i) -> tuple[int, dict]:
+            a, b = bisect_right(begins, start) - 1, bisect_right(begins, max(start, end - 1))
+            return start, {"paragraph": i, "family": family, "probability": chance, "template": number, "overlap": share, "notice": "\n".join(lines[first + a : first + b])}
 
         taken: list[tuple[int, int]] = []
         rows: list[tuple[int, dict]] = []
-        # the best template decides; of equal ones the longer, then the family the classifier prefers
-        order = lambda x: (-x[0].share, -x[0].pairs, -x[1], x[0].family, x[0].template, x[0].start)
-        for p, chance in sorted(((p, float(r.chance[model.names.index(p.family)])) for r in found for p in r.places if p.share >= CONFIRMED_FROM), key=order):
+        # the classifier names the family of each stretch that most of some template stands in ...
+        stretches = [p for r in found for p in r.places if p.share >= CONFIRMED_FROM]
+        chance = model.chances([blocks[i][p.start : p.end] for p in stretches])
+        named = [(p, c, model.names[int(c.argmax())]) for p, c in zip(stretches, chance)]
+        # ... and a template of that family has to confirm it; of several the one that fits best, then the longer
+        confirmed = [(p, float(c.max())) for p, c, family in named if family == p.family]
+        for p, share in sorted(confirmed, key=lambda x: (-x[0].share, -x[0].pairs, -x[1], x[0].template, x[0].start)):
             if free(taken, p.start, p.end):
                 insort(taken, (p.start, p.end))
-                rows.append(notice(p, p.family, chance, p.template))
+                rows.append(notice(p.start, p.end, p.family, share, p.template, p.share))
         for r in found:
-            if r.chance[0] < 0.5 and r.places and free(taken, r.start, r.end):
-                p = max(r.places, key=lambda p: (p.share, p.pairs, -p.start))
-                insort(taken, (p.start, p.end))
-                rows.append(notice(p, UNKNOWN, float(1 - r.chance[0]), -1))
+            if r.chance[0] >= 0.5:
+                continue
+            # a licence, but of no family that a template confirms
+            partly = max(r.places, key=lambda p: (p.share, p.pairs, -p.start), default=None)
+            if partly and free(taken, partly.start, partly.end):
+                start, end, share = partly.start, partly.end, partly.share
+            elif r.chance[1] >= 0.5 and free(taken, *r.strange) and LICENCE_PAIRS & pairs_of(words_of(blocks[i][slice(*r.strange)])):
+                (start, end), share = r.strange, 0.0
+            else:
+                continue
+            c = model.chances([blocks[i][start:end]])[0]
+            other = float(1 - c[0] - (c[2:].max() if c[2:].argmax() + 2 == c.argmax() else 0))
+            if c[0] < 0.5:
+                insort(taken, (start, end))
+                rows.append(notice(start, end, UNKNOWN, min(max(other, 0.0), 1.0), -1, share))
         out += [row for _, row in sorted(rows, key=lambda x: x[0])]
     return out
 
@@ -390,9 +503,10 @@ FOUND = "struct<paragraph:int,family:string,probability:double,template:int,over
 
 
 def train_licenses(docs: DataFrame, limit: int = SAMPLE_DOCUMENTS) -> Model:
-    """Learn from the notices and from the lines of `limit` documents, first by a hash of the id."""
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(limit)
-    return fit_in_task(sample, fit_licenses)
+    """Learn from the notices and from lines of about `limit` documents, drawn where they lie by a hash of the id."""
+    number = docs.count()
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, number))) < limit
+    return fit_in_task(docs.select("doc_id", "text").where(drawn).limit(2 * limit), fit_licenses)
 
 
 def scan_licenses(docs: DataFrame, model: Model, least: float = 0.2) -> DataFrame:
@@ -401,10 +515,12 @@ def scan_licenses(docs: DataFrame, model: Model, least: float = 0.2) -> DataFram
     A paragraph is a stretch of lines between lines without letters and digits (blank ones,
     or only comment marks), so a notice may run over its lines. Windows of 6, 16 and 48 words
     of a paragraph are candidates if the classifier gives them at least `least` of being any
-    license; what else stands in the paragraph does not count. The words around candidates
-    are then compared with the templates: a stretch that holds 60 % of a template's word pairs
-    is a notice of its family, the best template first, without overlaps. Candidates above one
-    half without such a stretch, but with 30 % of a template, are reported as `unknown`.
+    license; what else stands in the paragraph does not count. In the words around candidates,
+    stretches that hold 60 % of a template's word pairs are given to the classifier: if it
+    names the template's family, the stretch is a notice of it, with the probability of the
+    family. Stretches that it takes for a license without that are reported as `unknown`, if
+    30 % of a template stands there, or if the unknown class has at least one half and words
+    such as "licensed under" stand there; their probability is that of a license that is not of the likeliest family. Notices do not overlap.
     `paragraph` counts from 0, `notice` is the lines the stretch touches. Null and empty texts,
     and texts without notices, give an empty array. Repeated rows give repeated results, an
     empty table an empty one; a column of that name is replaced. Nothing is shuffled.
