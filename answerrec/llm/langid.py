@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerrec.llm.base import fit_in_task, fold
+from answerrec.llm.base import fit_in_task, fold, unused
 from answerrec.llm.grams import packs
 
 SAMPLE_ROWS = 4_000
@@ -171,4 +171,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"lang": [x for f in found for x in f[0]], "score": [x for f in found for x in f[1]]})
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, predict("text").alias("_found")).select(*kept, F.col("_found.lang").alias("lang_pred"), F.col("_found.score").alias("score"))
+    (found,) = unused(docs, "_found")
+    out = F.col(f"{found}.lang").alias("lang_pred"), F.col(f"{found}.score").alias("score")
+    return docs.select(*kept, predict("text").alias(found)).select(*kept, *out)

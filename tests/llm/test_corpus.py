@@ -263,7 +263,7 @@ def test_items_changed_or_left_in_part_are_found():
     short = (words(30)[:74] + " zebras").strip()
     several = [words(14), words(15), words(13)]
     long = words(45)
-    items = decontam.Items({1: decontam.stretches_of(short, 20), 2: decontam.stretches_of("\n".join(several), 20), 3: decontam.stretches_of(long, 20)}, decontam.ERROR_RATE)
+    items = decontam.Items({1: decontam.stretches_of(short, 20), 2: decontam.stretches_of("\n".join(several), 20), 3: decontam.stretches_of(long, 20)}, rate=decontam.ERROR_RATE)
     around = lambda text: words(40) + " " + text + " " + words(40)
     found = lambda text: [f[0] for f in items.search(around(text))]
     assert found(short.replace("zebras", "kk")) == [1]  # one word of 81 letters
@@ -282,6 +282,25 @@ def test_all_texts_of_items_are_searched(spark):
         assert [r["doc_id"] for r in decontam.decontaminate(docs, items, block=block).collect()] == [5]
 
 
+def test_short_items_are_found_as_whole_words(spark):
+    items = spark.createDataFrame([(1, "Two words!"), (2, "ab"), (3, "..."), (1, "two"), (None, "solo"), (4, "ab")], "item_id long, text string")
+    texts = {1: "here are two  WORDS.", 2: "two wordsmiths", 3: "tab, ab-c", 4: "ab", 5: None, 6: "solo"}
+    docs = spark.createDataFrame([(i, t, "kept", "kept") for i, t in texts.items()], "doc_id long, text string, found string, _found_before string")
+    for block in (20_000, 2):
+        found = {r["doc_id"]: [tuple(f) for f in r["found"]] for r in decontam.find_items(docs, items, block=block).collect()}
+        assert found == {1: [(1, 0, 9, 18, 9)], 2: [(1, 0, 0, 3, 3)], 3: [(2, 0, 4, 6, 2), (4, 0, 4, 6, 2)], 4: [(2, 0, 0, 2, 2), (4, 0, 0, 2, 2)], 5: [], 6: []}
+        assert decontam.decontaminate(docs, items, block=block).count() == 6
+        clean = decontam.decontaminate(docs, items, block=block, short=True)
+        assert [tuple(r) for r in clean.collect()] == [(5, None, "kept", "kept")]
+
+
+def test_a_pass_has_one_block_in_its_workers(spark):
+    items = spark.createDataFrame([(i, f"a long enough passage of the benchmark number {i}") for i in range(9)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id long, text string")
+    plan = decontam.find_items(docs, items, block=1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 0  # each pass is written before the next
+
+
 def test_whole_items_and_windows_equal_brute_force():
     rng = random.Random(9)
     hits = 0
@@ -299,7 +318,7 @@ def test_whole_items_and_windows_equal_brute_force():
             pieces = stretch.groups[high - 1][1] - stretch.groups[low][0]
             if place := plain_distance(stretch.text[a:b], text, min(int((b - a) * decontam.ERROR_RATE), pieces - 1)):
                 expected.append((low > 0 or high < len(stretch.groups), place[0]))
-        found = decontam.Items({1: [decontam.normal(item)]}, decontam.ERROR_RATE).search(text)
+        found = decontam.Items({1: [decontam.normal(item)]}).search(text)
         assert [(f[4] < len(stretch.text), f[1]) for f in found] == [min(expected)] if expected else found == []
         hits += bool(expected)
     assert 10 < hits < 60
@@ -308,20 +327,49 @@ def test_whole_items_and_windows_equal_brute_force():
 # top k
 
 
+def plain_top_k(rows, k=20, scale=64):
+    """By the contract: pairs of a query's row and any row of another id, ranked by query id."""
+    whole = [(i, [int(np.floor(scale * float(np.float32(c)))) for c in v]) for i, v in rows]
+    out = set()
+    for q in {i for i, _ in whole if i % 20 == 0}:
+        pairs = [(-sum(a * b for a, b in zip(x, y)), j) for i, x in whole if i == q for j, y in whole if j != q]
+        out |= {(q, r, j, -s if abs(s) < 2**63 else None) for r, (s, j) in enumerate(sorted(pairs)[:k], 1)}
+    return out
+
+
 def test_top_k_with_ties_and_broken_vectors(spark):
     rng = np.random.default_rng(6)
     rows = [(i, [float(x) for x in rng.normal(size=4) * (1 if i % 3 else 0.2)]) for i in range(200)]
     rows += [(i, [0.5, 0.5, 0.5, 0.5]) for i in range(200, 280)]  # equal vectors
-    broken = [(1000, None), (1001, [1.0, None, 0.0, 0.0]), (1020, [float("nan"), 0.0, 0.0, 0.0]), (1040, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0, 0.0, 0.0, 0.0]), rows[40]]
-    out = topk.top_inner_products(spark.createDataFrame(rows + broken, "vec_id long, embedding array<float>")).collect()
-    whole = {i: np.floor(64 * np.array(v, np.float32).astype(float)) for i, v in rows}
-    for q in (i for i in whole if i % 20 == 0):
-        best = sorted(((-int(whole[q] @ v), i) for i, v in whole.items() if i != q))[:20]
-        assert [(-r["score"], r["vec_id"]) for r in sorted(out, key=lambda r: r["rank"]) if r["query_id"] == q] == best
+    rows += [rows[40], rows[41], (41, [9.0, 0.0, 0.0, 0.0]), (60, [0.0, 0.25, -1.0, 3.0])]  # ids that repeat, with and without their vector
+    broken = [(1000, None), (1001, [1.0, None, 0.0, 0.0]), (1020, [float("nan"), 0.0, 0.0, 0.0]), (1040, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0, 0.0, 0.0, 0.0])]
+    clash = "vec_id long, embedding array<float>, v int, row string, near double, cell int, pivot int, _p int"
+    frame = spark.createDataFrame([(i, v, 1, "x", None, 3, 4, 5) for i, v in rows + broken], clash)
+    assert {tuple(r) for r in topk.top_inner_products(frame).collect()} == plain_top_k(rows)
     assert topk.top_inner_products(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert topk.top_inner_products(spark.createDataFrame(rows[:1], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("size", [3e5, 3e6, 2e7])
+def test_top_k_is_exact_for_large_components(spark, size):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(np.float32(x)) for x in size * (1 + 1e-7 * rng.normal(size=64))]) for i in range(60)]
+    rows += [(100 + i, [float(np.float32(x)) for x in size * rng.normal(size=64)]) for i in range(40)]
+    found = {tuple(r) for r in topk.top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert found == plain_top_k(rows)
+
+
+def test_far_cells_are_not_visited(spark):
+    """On vectors in far apart groups a query compares itself with few of the rows."""
+    rng = np.random.default_rng(8)
+    centres = 4 * rng.normal(size=(40, 8))
+    rows = [(i, [float(x) for x in centres[i % 40] + 0.02 * rng.normal(size=8)]) for i in range(4000)]
+    share: list[float] = []
+    out = topk.top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), audit=share)
+    assert {tuple(r) for r in out.collect()} == plain_top_k(rows)
+    assert share[0] < 0.3
+
+
 # classifiers
 
 
@@ -355,7 +403,7 @@ def test_classifiers_odd_rows(spark):
         for marks in (some, labels(spark)):
             assert quality.score_quality(frame, quality.train_quality(frame, marks)).where("score between 0 and 1").count() == frame.count()
             assert toxicity.score_toxicity(frame, toxicity.train_toxicity(frame, marks, trees=2)).where("score between 0 and 1").count() == frame.count()
-        found = langid.identify(frame, langid.train_languages(frame))
+        found = langid.identify(frame.withColumn("_found", F.lit(1)), langid.train_languages(frame))
         assert found.where("score between 0 and 1").count() == frame.count()
         assert found.where("text is null or text in ('', '!!! ???')").where("lang_pred <> 'und'").count() == 0
         assert licenses.scan_licenses(frame, licenses.train_licenses(frame)).where("size(licenses) = 0").count() == frame.count()
@@ -368,6 +416,34 @@ def test_licenses(spark):
     assert out == {1: ["mit"], 2: ["gpl"], 3: ["cc"], 4: ["apache"], 5: [], 6: []}
 
 
+def test_planted_licenses_of_known_and_unknown_families(spark):
+    rng = random.Random(31)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = licenses.train_licenses(docs)
+    lines = [x for r in docs.orderBy("doc_id").limit(300).collect() for x in (r["text"] or "").split("\n") if x.strip() and "licen" not in x.lower()]
+    talk = ["Her driving license had expired in the spring.", "The new version was shown to the public on Friday.", "He works as a general in the army and writes at night.", "Copies of the map are sold under the bridge.", "They granted him permission to stay for a week."]
+    prose = lambda n: "\n".join([*rng.choices(lines, k=n), *rng.choices(talk, k=1)])
+    others = ["the Boost Software License, Version 1.0", "the EUPL", "the zlib License", "the Artistic License 2.0", "the Eclipse Public License, version 1.0", "the PostgreSQL License", "the SIL Open Font License, version 1.1"]
+    planted, texts = {}, {}
+    for i in range(240):
+        kind = rng.choice([*licenses.TEMPLATES, "unknown", "none", "none"])
+        notice = "" if kind == "none" else rng.choice(["Licensed under {}.", "Released under {}.", "This program is licensed under {}."]).format(rng.choice(others)) if kind == "unknown" else rng.choice(licenses.TEMPLATES[kind])
+        planted[i], texts[i] = kind, "\n".join([prose(rng.randint(1, 4)), *[notice] * bool(notice), prose(rng.randint(1, 4))])
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(frame, model).collect()}
+    found = {i: {f["family"] for f in r} for i, r in rows.items()}
+    families = [i for i, k in planted.items() if k in licenses.TEMPLATES]
+    named = [(i, f) for i, r in found.items() for f in r if f != "unknown"]
+    assert np.mean([planted[i] in found[i] for i in families]) >= 0.95  # recall
+    assert np.mean([planted[i] == f for i, f in named]) >= 0.95  # precision
+    strange = [i for i, k in planted.items() if k == "unknown"]
+    assert np.mean([found[i] == {"unknown"} for i in strange]) >= 0.9
+    assert np.mean([not found[i] for i, k in planted.items() if k == "none"]) >= 0.95
+    # the probability of unknown matches its frequency
+    chances = [f["probability"] for i in strange for f in rows[i] if f["family"] == "unknown"]
+    assert abs(np.mean(chances) - 1) < 0.2
+
+
 def test_licenses_over_several_lines_and_in_long_ones(spark):
     rng = random.Random(12)
     prose = lambda n: " ".join(rng.choices("the garden river house walked slowly under morning bread table was of and in a long story".split(), k=n))
@@ -428,6 +504,26 @@ def test_tables_lose_no_text_and_keep_columns():
         assert set(words) <= set(html.text_of(page).split()), page
 
 
+def test_what_style_shows_and_hides():
+    assert html.text_of("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>end") == "yes\nend"
+    assert html.text_of("<div style='display:none'>no<b style='visibility:visible;display:block'>no</b></div>end") == "end"
+    assert html.text_of("<span style='display:block'>a</span><span style='Display: Flex'>b</span><div style='display:inline'>c</div>d") == "a\nb\ncd"
+    page = "<style>/* .x{display:none} */ .h, p#q , i.k{display:none} @media print{b{display:none}} .v{visibility:hidden} div > b{display:none}</style>"
+    assert html.text_of(page + "<b class=x>a</b><b class='g h'>no</b><p id=q>no</p><p>e</p><i>f</i><i class=k>no</i><u class=v>no<b style='visibility:visible'>g</b></u>") == "a\n\ne\n\nfg"
+    assert html.text_of("<style>p{display:none} p.s{display:block} #t{display:none}</style><p>no<p class=s>yes<p class=s id=t>no") == "yes"
+    assert html.text_of("<form>Name <input value='Ann'><input type=hidden value=no><input type=submit value=Go></form>") == "Name Ann Go"
+
+
+def test_preformatted_blocks_numbers_and_wide_letters():
+    assert html.text_of("<pre><div>a</div><div>b</div></pre>") == "a\nb"
+    assert html.text_of("<pre>x<table><tr><td>a<td>b<tr><td>c</table>y  z</pre>") == "x\na  b\nc\ny  z"
+    assert html.text_of("<ol start=3 type=a><li>x<li value=9>y<li>z</ol>") == "c. x\ni. y\nj. z"
+    assert html.text_of("<ol reversed type=I><li>x<li>y<li>z</ol>") == "III. x\nII. y\nI. z"
+    assert html.text_of("<ol type=A><li>x<li type=1 value=27>y<li>z<li value=0>n</ol>") == "A. x\n27. y\nAB. z\n0. n"
+    assert html.text_of("<table><tr><td>漢字<td>b<tr><td>ab<td>c</table>") == "漢字  b\nab    c"
+    assert html.letters_of(703) == "aaa" and html.roman(1994) == "mcmxciv"
+
+
 def test_pages_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (2, "<p>a", None), (None, "<p>" + LONG, "t")], "page_id long, html string, text string")
     out = html.extract_text(pages)
