@@ -13,12 +13,14 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import FMClassifier
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerrec.errors import need_columns, need_option
-from answerrec.functions.vectors import scale, vector_sum
+from answerrec.functions.vectors import dot, scale, vector_sum
 from answerrec.operators.features import dense_ids
 from answerrec.operators.metrics import METRICS, mean_metrics, need_metrics, question_metrics
 from answerrec.operators.prep import display_name
@@ -353,3 +355,60 @@ def als_vectors(
     question_rows = found.userFactors.join(questions, F.col("id") == F.col("idx")).select("question_id", vector)
     user_rows = found.itemFactors.join(users, F.col("id") == F.col("idx"))
     return question_rows, user_rows.select("user_id", vector, F.lit(0.0).alias("bias"))
+
+
+def sampled_pairs(interactions: DataFrame, per_positive: int = 1, seed: int = 42) -> DataFrame:
+    """Rows `(question_id, user_id, label)`: the known pairs and as many random unknown ones of
+    the same questions, times `per_positive`. Draws that hit a known pair are left out, and a pair that is
+    drawn twice counts once."""
+    need_columns(interactions.columns, "question_id", "user_id")
+    known = materialize(interactions.select("question_id", "user_id").distinct(), "known-pairs")
+    users = materialize(dense_ids(known, "user_id"), "user-numbers")
+    draws = known.select("question_id", "user_id", F.explode(F.sequence(F.lit(1), F.lit(per_positive))).alias("draw"))
+    number = F.pmod(hashed(15, seed, "question_id", "user_id", "draw"), F.lit(users.count()))
+    drawn = draws.select("question_id", number.alias("idx")).join(users, "idx").select("question_id", "user_id").distinct()
+    unknown = drawn.join(known, ["question_id", "user_id"], "left_anti")
+    return known.withColumn("label", F.lit(1.0)).unionByName(unknown.withColumn("label", F.lit(0.0)))
+
+
+def fm_vectors(
+    question_features: DataFrame, user_features: DataFrame, interactions: DataFrame, components: int = 8, iterations: int = 60,
+    buckets: int = 2**12, per_positive: int = 3, step: float = 0.05, seed: int = 42,
+) -> tuple[DataFrame, DataFrame]:
+    """Question and user vectors of Spark's factorisation machine, trained on known pairs and
+    random unknown ones; ready for scoring.
+
+    Features of both sides are hashed into `buckets` each, which bounds what the driver holds:
+    components + 1 numbers per bucket. A machine's score of a pair is the sum over its
+    features of weights and products of vectors; what depends on the question alone cannot
+    change the order of users, so the rest is a product of two vectors plus the user's bias.
+    """
+    for table in (question_features, user_features):
+        need_columns(table.columns, "entity_id", "feature")
+
+    def bucketed(table: DataFrame, first: int) -> DataFrame:
+        place = F.pmod(F.xxhash64("feature"), F.lit(buckets)) + first
+        return table.select("entity_id", place.cast("string").alias("place")).distinct()
+
+    sides = {"question_id": bucketed(question_features, 0), "user_id": bucketed(user_features, buckets)}
+    pairs = sampled_pairs(interactions, per_positive, seed)
+    for key, places in sides.items():
+        listed = places.groupBy(F.col("entity_id").alias(key)).agg(F.sort_array(F.collect_list("place")).alias(f"_{key}"))
+        sizes = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        pairs = attach(pairs, listed.join(sizes, key), key, size="_n").drop("_n")
+    rows = pairs.select("label", F.concat("_question_id", "_user_id").alias("places"))
+    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(2 * buckets)], inputCol="places", outputCol="features")
+    machine = FMClassifier(factorSize=components, maxIter=iterations, stepSize=step, seed=seed)
+    trained = machine.fit(materialize(counter.transform(rows).select("label", "features"), "fm-pairs"))
+    factors, weights = trained.factors.toArray(), trained.linear.toArray()
+    spark = interactions.sparkSession
+    learned = pd.DataFrame({"place": [str(i) for i in range(2 * buckets)], "v": factors.tolist(), "w": weights})
+    learned = materialize(spark.createDataFrame(learned, "place string, v array<double>, w double"), "fm-factors")
+
+    def summed(key: str) -> DataFrame:
+        known = sides[key].join(F.broadcast(learned), "place").withColumn("own", dot(F.col("v"), F.col("v")))  # a row per bucket
+        return known.groupBy(F.col("entity_id").alias(key)).agg(vector_sum(F.col("v"), components).alias("vector"), F.sum("w").alias("w"), F.sum("own").alias("own"))
+
+    users = summed("user_id")
+    bias = F.col("w") + (dot(F.col("vector"), F.col("vector")) - F.col("own")) / 2
+    return summed("question_id").select("question_id", "vector"), users.select("user_id", "vector", bias.alias("bias"))

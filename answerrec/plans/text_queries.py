@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from answerrec.functions import text as textfn
 from answerrec.functions.stem import SPECIAL_WORDS, STEPS, stem
 from answerrec.operators.tfidf import Tfidf
+from answerrec.operators.topics import Topics
 from answerrec.plans import views
 from answerrec.plans.catalogue import register
 from answerrec.plans.profile_queries import STOP_SQL, STOP_WORDS, STRIP_SQL, TOKENS_SQL
@@ -220,3 +221,18 @@ def user_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
                    select=tags_sql("questions", "question_id")))
 def question_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return question_tags(spark, sf_dir).select("question_id", *TAGS)
+
+
+TOPIC_WORDS = """
+known as (select word from words where word not in """ + STOP_SQL + """ group by word having count(distinct doc_id) >= 2),
+told as (select distinct doc_id from words join known using (word))"""
+
+
+@register(sql_with(WORDS, TOPIC_WORDS, select="""
+select doc_id, case when doc_id in (select doc_id from told) then 1.0::double else 0 end as total, 8 as topics from documents"""))
+def document_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topic weights of every document add up to 1, or to 0 if it has no word of the vocabulary."""
+    docs = documents(spark, sf_dir)
+    model = Topics(topics=8, iterations=10, stop_words=STOP_WORDS).fit(docs, "doc_id", "text")
+    weights = model.documents(docs, "doc_id", "text").groupBy("doc_id")
+    return weights.agg(F.round(F.sum("weight"), 6).alias("total"), F.count(F.lit(1)).cast("int").alias("topics"))

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def get_session(app: str = "answerrec", **conf: str) -> SparkSession:
     """A session with adaptive execution, skew-join splitting and UTC timestamps."""
@@ -19,7 +23,26 @@ def get_session(app: str = "answerrec", **conf: str) -> SparkSession:
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which need not see the folder it was imported from.
+
+    `get_session` does so; call it for a session that was made elsewhere. Once per context.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="answerrec-")) / "answerrec.zip"  # of the driver; Spark hands it on
+    with zipfile.ZipFile(archive, "w") as file:
+        for source in sorted(package.rglob("*.py")):
+            file.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -59,6 +59,18 @@ def test_als_vectors(planted):
     assert metrics.mean_metrics(found, ("auc",)).first().value > 0.65
 
 
+def test_factorisation_machine(planted):
+    train, test, questions, users = planted
+    sides = model.fm_vectors(*features(questions, users, ["tag1"]), train, components=6, buckets=512)
+    found = metrics.question_metrics(scoring.held_out_positions(*sides, test, train))
+    assert metrics.mean_metrics(found, ("auc",)).first().value > 0.68
+    pairs = model.sampled_pairs(train, per_positive=2).collect()
+    known = {(r.question_id, r.user_id) for r in train.collect()}
+    assert {(r.question_id, r.user_id) for r in pairs if r.label} == known
+    unknown = [(r.question_id, r.user_id) for r in pairs if not r.label]
+    assert len(unknown) == len(set(unknown)) > len(known) and not known & set(unknown)
+
+
 def test_bad_options(planted):
     train, test, questions, users = planted
     with pytest.raises(InvalidTag):
