@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import ModuleType
 
-GROUPS = ["io", "prep", "split", "profile", "text", "keyrank", "features", "rank", "model"]
+GROUPS = ["io", "prep", "split", "profile", "text", "keyrank", "phrase", "features", "rank", "model"]
 
 
 def load_catalogue() -> ModuleType:
