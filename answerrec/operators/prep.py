@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from answerrec.errors import need_columns
 from answerrec.operators.skew import attach
+from answerrec.session import materialize
 
 ANSWER_COLUMNS = ["answer_id", "user_id", "question_id", "score", "date"]
 
@@ -80,7 +81,11 @@ def question_activity(
 ) -> DataFrame:
     """One row per question with a positive answer: all its answers counted, its positive
     answers counted, and its label."""
-    flagged = accepted_flag(answers.select(*ANSWER_COLUMNS), questions)
+    return flagged_activity(accepted_flag(answers.select(*ANSWER_COLUMNS), questions), threshold, take_accepted)
+
+
+def flagged_activity(flagged: DataFrame, threshold: int = 1, take_accepted: bool = True) -> DataFrame:
+    """`question_activity` of answers that have their accepted flag."""
     counted = (
         flagged.where(F.col("question_id").isNotNull())
         .groupBy("question_id")
@@ -93,10 +98,14 @@ def question_activity(
 
 
 def preprocess(answers: DataFrame, questions: DataFrame, threshold: int = 1, take_accepted: bool = True) -> DataFrame:
-    """Positive answers with their question's activity label, ready to be split."""
+    """Positive answers with their question's activity label, ready to be split.
+
+    The answers meet their flag once: the flagged rows are written, since the counts and the
+    result both read them, and so are the counts, which the join reads for its hot keys too.
+    """
     need_columns(answers.columns, *ANSWER_COLUMNS)
-    flagged = accepted_flag(answers.select(*ANSWER_COLUMNS), questions)
-    activity = question_activity(answers, questions, threshold, take_accepted)
+    flagged = materialize(accepted_flag(answers.select(*ANSWER_COLUMNS), questions), "flagged")
+    activity = materialize(flagged_activity(flagged, threshold, take_accepted), "activity")
     positive = positive_interactions(flagged, threshold, take_accepted)
     return attach(positive, activity, "question_id", size="positive_answers").drop("positive_answers")
 
