@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from answerrec.llm.base import byte_slices, unused
 from answerrec.llm.grams import runs
 
-CACHED = 150_000  # words and stretches whose ids a worker remembers
+CACHED = 300_000  # words and stretches whose ids a worker remembers, some 70 MB
 SEGMENT = 2**20  # letters of a text that are split at once
 _loaded: dict[bytes, "Vocabulary"] = {}
 
