@@ -153,6 +153,27 @@ def test_equal_lengths_and_few_users(spark):
     assert scoring.top_users(q_df.limit(0), u_df, 4).count() == 0
 
 
+def test_one_sort_serves_all_held_out_users_of_a_question():
+    rng = np.random.default_rng(1)
+    for size in (0, 1, 40, 40):
+        ids = np.sort(rng.choice(100, size, replace=False))
+        scores = np.where(rng.random(size) < 0.3, np.nan, rng.integers(-3, 4, size).astype(float))
+        users, mine = rng.integers(0, 100, 50), rng.integers(-4, 5, 50).astype(float)
+        found = scoring._places(scores, int((~np.isnan(scores)).sum()), ids, users, mine)
+        for user, own, row in zip(users, mine, found.tolist()):
+            ahead = (scores > own).sum() + ((scores == own) & (ids < user)).sum()
+            assert row == [(scores < own).sum(), (scores == own).sum(), ahead, (~np.isnan(scores)).sum()]
+
+
+def test_held_out_pairs_of_few_questions_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "HELD_PER_PART", 100)
+    questions = spark.range(20).selectExpr("id as question_id", "0 as part", "array(1.0D) as vector")
+    users = spark.range(80).selectExpr("id as user_id", "array(1.0D) as vector", "0.0D as bias")
+    held = questions.crossJoin(users.selectExpr("user_id", "0.0D as score")).select("question_id", "user_id", "part", "score")
+    cells = scoring._cells(questions, users, None, held, 2048, 8192).where(F.col("kind") == scoring.HELD)
+    assert max(r["count"] for r in cells.groupBy("qb", "ub").count().collect()) < 800
+
+
 def test_constant_scores_give_half(spark):
     vectors = spark.range(5).selectExpr("id as question_id", "array(0.0D) as vector")
     users = spark.range(20).selectExpr("id as user_id", "array(0.0D) as vector", "0.0D as bias")
