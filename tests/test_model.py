@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +144,28 @@ def test_blocks_that_cannot_hold_better_users_are_skipped(spark):
         assert found[q] == [u[0] for u in best[:5]]
 
 
+def test_users_in_a_box_that_cannot_reach_are_left_out(monkeypatch):
+    monkeypatch.setattr(scoring, "LEAF", 8)
+    rng = np.random.default_rng(6)
+    angles = rng.uniform(0, 2 * np.pi, 400)
+    users = np.column_stack((np.cos(angles), np.sin(angles)))  # one length: no block can be skipped
+    questions = rng.normal(size=(30, 2))
+    rows = [(scoring.QUESTION, q, None, list(v), float("-inf"), None) for q, v in enumerate(questions)]
+    rows += [(scoring.USER, None, u, list(v), 0.0, u // 100) for u, v in enumerate(users)]
+    rows += [(scoring.SEEN, 3, u, None, None, None) for u in range(0, 400, 2)]
+    cell = pd.DataFrame(rows, columns=["kind", "question_id", "user_id", "vector", "bias", "ub"])
+    scored = []
+    monkeypatch.setattr(scoring, "_exact", lambda s: scored.append(s.size) or s.astype(np.float32).astype(float))
+    found = scoring._top_of_blocks(cell, 5).sort_values(["question_id", "score", "user_id"], ascending=[True, False, True])
+    assert sum(scored) < 0.5 * 30 * 400
+    for q, v in enumerate(questions):
+        best = np.lexsort((np.arange(400), -(users @ v).astype(np.float32)))
+        best = [u for u in best if q != 3 or u % 2][:5]
+        assert found[found["question_id"] == q]["user_id"].tolist() == best
+    leaves = scoring._leaves(users)
+    assert sorted(np.concatenate(leaves).tolist()) == list(range(400)) and max(map(len, leaves)) <= 8
+
+
 def test_equal_lengths_and_few_users(spark):
     u_df = spark.createDataFrame([(i, [1.0, 0.0], 0.0) for i in range(90)], "user_id long, vector array<double>, bias double")
     q_df = spark.createDataFrame([(1, [2.0, 1.0]), (2, [-1.0, 0.0])], "question_id long, vector array<double>")
