@@ -12,8 +12,8 @@ from answerrec.errors import KeywordExtractorError, need_columns, need_option
 from answerrec.functions.stem import stem
 from answerrec.functions.text import clean_text, stop_list, tokens
 from answerrec.operators.prep import tag_columns
-from answerrec.operators.skew import attach
-from answerrec.session import materialize, spread
+from answerrec.operators.skew import attach_stored
+from answerrec.session import dealt, materialize
 
 STEMS = ["none", "stemmer", "lemmatizer"]
 
@@ -57,7 +57,8 @@ class Tfidf:
         need_columns(docs.columns, doc, text)
         words = tokens(clean_text(F.col(text)), self.strip_accents)
         # explode_outer: explode would add a filter that computes all tokens a second time
-        words = spread(docs.select(doc, text)).select(doc, F.explode_outer(words).alias("term"))
+        # whole texts are dealt by document, so that no row for a word is shuffled to be counted
+        words = dealt(docs.select(doc, text), doc).select(doc, F.explode_outer(words).alias("term"))
         words = words.where(F.col("term").isNotNull())
         if self.stem == "none" or not self.stop_after_stem_only:
             words = without(words, self.stop_words)
@@ -73,14 +74,16 @@ class Tfidf:
         else:
             vocabulary = lemmas(vocabulary, self.lexicon)
         vocabulary = without(materialize(vocabulary, "vocabulary"), self.stop_words, "form")
-        formed = attach(counts, vocabulary, "term", size="_docs")
-        return formed.groupBy(doc, F.col("form").alias("term")).agg(F.sum("tf").alias("tf"))
+        formed = attach_stored(counts, vocabulary, "term", size="_docs")
+        formed = dealt(formed.select(doc, F.col("form").alias("term"), "tf"), doc)
+        return formed.groupBy(doc, "term").agg(F.sum("tf").alias("tf"))
 
     def fit(self, docs: DataFrame, doc: str, text: str) -> TfidfModel:
         counts = materialize(self.term_counts(docs, doc, text), "term-counts")
         total = docs.agg(F.count(F.lit(1))).scalar()
         terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= self.min_df)
-        return TfidfModel(self, terms.withColumn("idf", self.idf(F.col("df"), total)), (docs, doc, text), counts)
+        terms = materialize(terms.withColumn("idf", self.idf(F.col("df"), total)), "terms")
+        return TfidfModel(self, terms, (docs, doc, text), counts)
 
     def idf(self, df: Column, total: Column) -> Column:
         if not self.use_idf:
@@ -106,30 +109,55 @@ class TfidfModel:
 
     def weights(self, docs: DataFrame, doc: str, text: str) -> DataFrame:
         """Rows `(doc, term, tf, weight)`; terms outside the vocabulary are left out."""
-        return self._weighted(self.options.term_counts(docs, doc, text), doc)
+        return self._weighted(materialize(self.options.term_counts(docs, doc, text), "term-counts"), doc)
 
     def fitted_weights(self) -> DataFrame:
         """The weights of the fitted documents, without reading their texts again."""
         return self._weighted(self.counts, self.fitted[1])
 
-    def _weighted(self, counts: DataFrame, doc: str) -> DataFrame:
-        known = attach(counts, self.terms, "term", size="df")
+    def _raw(self, counts: DataFrame, doc: str) -> DataFrame:
+        """Rows `(doc, term, tf, weight)` of written counts, before lengths are made equal."""
+        known = attach_stored(counts, self.terms, "term", size="df")
         tf = F.log(F.col("tf")) + 1 if self.options.sublinear_tf else F.col("tf")
-        raw = known.select(doc, "term", "tf", (tf * F.col("idf")).alias("weight"))
-        whole = Window.partitionBy(doc)
-        if self.options.norm == "l2":
-            raw = raw.withColumn("weight", F.col("weight") / F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(whole)))
-        elif self.options.norm == "l1":
-            raw = raw.withColumn("weight", F.col("weight") / F.sum(F.abs("weight")).over(whole))
-        return raw
+        return known.select(doc, "term", "tf", (tf * F.col("idf")).alias("weight"))
+
+    def _total(self) -> Column | None:
+        """Aggregate: what the length of a document's weights comes from."""
+        if self.options.norm is None:
+            return None
+        return F.sum(F.col("weight") * F.col("weight") if self.options.norm == "l2" else F.abs("weight"))
+
+    def _length(self, total: Column) -> Column:
+        return F.sqrt(total) if self.options.norm == "l2" else total
+
+    def _weighted(self, counts: DataFrame, doc: str) -> DataFrame:
+        raw, total = self._raw(counts, doc), self._total()
+        if total is None:
+            return raw
+        return raw.withColumn("weight", F.col("weight") / self._length(total.over(Window.partitionBy(doc))))
+
+    def _strongest(self, counts: DataFrame, doc: str) -> DataFrame:
+        """Rows `(doc, rank, term, weight)` of the strongest terms of written counts.
+
+        Only terms near the top of their document and its length are shuffled. The division
+        may make neighbouring weights equal, and then the term decides; such weights have the
+        same or the next single-precision value, so one more of these values is kept.
+        """
+        raw, total = self._raw(counts, doc), self._total()
+        falling = Window.partitionBy(doc).orderBy(F.desc(F.col("weight").cast("float")))
+        near = raw.select(doc, "term", "weight", F.dense_rank().over(falling).alias("_place")).where(F.col("_place") <= self.options.top_n + 1)
+        if total is not None:
+            totals = raw.groupBy(F.col(doc).alias("_doc")).agg(total.alias("_total"))
+            near = near.join(totals, F.col(doc).eqNullSafe(F.col("_doc"))).withColumn("weight", F.col("weight") / self._length(F.col("_total")))
+        return top_per_document(near, doc, "weight", self.options.top_n)
 
     def top_terms(self, docs: DataFrame, doc: str, text: str) -> DataFrame:
         """Rows `(doc, rank, term, weight)` of the strongest terms; ties in term order."""
-        return top_per_document(self.weights(docs, doc, text), doc, "weight", self.options.top_n)
+        return self._strongest(materialize(self.options.term_counts(docs, doc, text), "term-counts"), doc)
 
     def fitted_top_terms(self) -> DataFrame:
         """`top_terms` of the fitted documents."""
-        return top_per_document(self.fitted_weights(), self.fitted[1], "weight", self.options.top_n)
+        return self._strongest(self.counts, self.fitted[1])
 
     def keywords(self, docs: DataFrame, doc: str, text: str, order: str = "desc") -> DataFrame:
         """Every document with its keyword array and `tag1..tagN`, strongest first."""

@@ -101,3 +101,11 @@ def test_one_crowded_hour_is_opened(spark):
         ids = sorted((a for k, a in rows if k == q), reverse=True)
         expected += ids[: -(-len(ids) * 3 // 10)]
     assert sorted(r.answer_id for r in kept.collect()) == sorted(expected)
+
+
+def test_rows_of_frequent_keys_are_not_shuffled(spark, tmp_path):
+    df = spark.range(1000).select("id", F.when(F.col("id") < 900, F.lit(0)).when(F.col("id") < 990, F.col("id")).alias("key"))
+    per_key = df.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    joined = skew.attach_stored(df, per_key, "key", "n", frequent_keys=10)
+    assert sorted((r.id, r.key, r.n) for r in joined.collect()) == [(i, 0 if i < 900 else i, 900 if i < 900 else 1) for i in range(990)]
+    assert skew.attach_stored(df, per_key.where("n < 0"), "key", "n").count() == 0

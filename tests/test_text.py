@@ -1,5 +1,6 @@
 """Cleaning strings, tokens, keywords and their errors."""
 
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,32 @@ def test_weights_follow_the_text_column(spark):
     model = Tfidf(stem="none").fit(docs, "id", "t")
     assert {r.term for r in model.weights(docs, "id", "t").collect()} == {"aa", "bb"}
     assert {r.term for r in model.weights(docs, "id", "other").collect()} == {"bb"}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_counted_where_their_text_is(spark):
+    docs = spark.createDataFrame([(1, "red red blue"), (1, "blue green"), (None, "red"), (2, None)], "id long, t string")
+    counts = Tfidf(stem="none").term_counts(docs, "id", "t")
+    assert {(r.id, r.term): r.tf for r in counts.collect()} == {(1, "red"): 2, (1, "blue"): 2, (1, "green"): 1, (None, "red"): 1}
+    exchanges = [line for line in plan_of(counts).splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and all("term" not in line for line in exchanges)
+
+
+def test_only_terms_near_the_top_are_shuffled(spark):
+    rng = random.Random(7)
+    words = ["word" + a + b for a in "abcdefgh" for b in "abcdefgh"]
+    rows = [(i // 2 if i else None, " ".join(rng.choices(words, k=60))) for i in range(40)]
+    for norm in ("l2", "l1", None):
+        model = Tfidf(stem="none", norm=norm, top_n=3).fit(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+        expected = {}
+        for r in model.fitted_weights().collect():
+            expected.setdefault(r.id, []).append((-r.weight, r.term))
+        top = model.fitted_top_terms()
+        found = {}
+        for r in top.collect():
+            found.setdefault(r.id, {})[r["rank"]] = r.term
+        assert {k: [v[i] for i in sorted(v)] for k, v in found.items()} == {k: [t for _, t in sorted((round(w, 12), t) for w, t in v)[:3]] for k, v in expected.items()}
+        assert plan_of(top).count("WindowGroupLimit") >= 3  # one of them before the shuffle
