@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from answerrec.errors import KeywordExtractorError, need_columns
 from answerrec.functions.text import clean_text, stop_list, tokens
-from answerrec.operators.skew import attach
+from answerrec.operators.skew import attach_stored
 from answerrec.session import materialize, spread
 
 ELEMENT = re.compile(r"<([^<>\s/]+)>([*+?]|\{\d+(?:,\d*)?\})?|([()|])([*+?])?")
@@ -58,15 +58,17 @@ def guessed_tags(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     """
     need_columns(words.columns, "term")
     need_columns(lexicon.columns, "token", "pos")
-    known = lexicon.groupBy(F.col("token").alias("term")).agg(F.min("pos").alias("pos"))
+    # both are read several times, and the words of a lexicon may come from the same texts
+    known = materialize(lexicon.groupBy(F.col("token").alias("term")).agg(F.min("pos").alias("pos")), "known-tags")
+    distinct = materialize(words.select("term").distinct(), "distinct-words")
     endings = [F.struct(F.lit(n).alias("size"), F.right("term", F.lit(n)).alias("ending")) for n in SUFFIXES]
     long_enough = lambda e: F.length("term") >= e["size"]
     ends = lambda df: df.select("*", F.explode(F.filter(F.array(*endings), long_enough)).alias("e")).select(*df.columns, "e.*")
     counts = ends(known).groupBy("size", "ending", "pos").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy("size", "ending").agg(F.min_by("pos", F.struct(-F.col("n"), F.col("pos"))).alias("guess"))
-    unknown = words.select("term").distinct().join(known, "term", "left_anti")
+    unknown = distinct.join(known, "term", "left_anti")
     guessed = ends(unknown).join(best, ["size", "ending"]).groupBy("term").agg(F.max_by("guess", "size").alias("pos"))
-    every = words.select("term").distinct().join(known.unionByName(guessed), "term", "left")
+    every = distinct.join(known.unionByName(guessed), "term", "left")
     return every.withColumn("pos", F.coalesce("pos", F.lit(DEFAULT_TAG)))
 
 
@@ -84,7 +86,7 @@ def noun_phrases(
     words = tokens(clean_text(F.col(text)))
     placed = spread(docs.select(doc, text)).select(doc, F.posexplode_outer(words).alias("at", "term")).where("term is not null")
     placed = materialize(placed, "words")
-    uses = placed.groupBy("term").agg(F.count(F.lit(1)).alias("uses"))
+    uses = materialize(placed.groupBy("term").agg(F.count(F.lit(1)).alias("uses")), "word-uses")
     known = materialize(guessed_tags(uses, lexicon).join(uses, "term"), "tags")
     tags = sorted(r.pos for r in known.select("pos").distinct().limit(MOST_TAGS + 1).collect())
     if len(tags) > MOST_TAGS:
@@ -94,21 +96,23 @@ def noun_phrases(
     for i, tag in enumerate(tags):
         letters = F.when(F.col("pos") == tag, F.lit(letter(i))).otherwise(letters)
     letters = F.when(F.col("term").isin(*stop_list(stop_words)), F.lit("-")).otherwise(letters) if stop_words else letters
-    tagged = attach(placed, known, "term", size="uses").select(doc, F.struct("at", "term", letters.alias("letter")).alias("w"))
+    tagged = attach_stored(placed, known, "term", size="uses").select(doc, F.struct("at", "term", letters.alias("letter")).alias("w"))
     lines = tagged.groupBy(doc).agg(F.array_sort(F.collect_list("w")).alias("w"))
 
     @F.arrow_udf("array<string>")
     def matched(words: pa.Array, line: pa.Array) -> pa.Array:
-        out = []
-        for some, marks in zip(words, line):
-            terms = some.as_py()
-            out.append([" ".join(terms[m.start() : m.end()]) for m in found.finditer(marks.as_py()) if m.end() > m.start()])
+        every = words.flatten().to_numpy(zero_copy_only=False)  # the words of all texts, one after another
+        out, first = [], 0
+        for marks in line.to_pylist():
+            spans = [(first + m.start(), first + m.end()) for m in found.finditer(marks) if m.end() > m.start()]
+            out.append([" ".join(every[start:end]) for start, end in spans])
+            first += len(marks)
         return pa.array(out, pa.list_(pa.string()))
 
     terms = lines.select(doc, F.explode(matched("w.term", F.array_join("w.letter", ""))).alias("term"))
     counted = materialize(terms.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf")), "phrases")
-    frequent = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
-    return attach(counted, frequent, "term", size="df")
+    frequent = materialize(counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df), "frequent-phrases")
+    return attach_stored(counted, frequent, "term", size="df")
 
 
 def tag_counts(tags: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from answerrec.plans.catalogue import register
 from answerrec.plans.profile_queries import STOP_SQL, STOP_WORDS
 from answerrec.plans.text_queries import WORDS, documents, word_rows
 from answerrec.plans.views import sql_with
+from answerrec.session import materialize
 
 PLACED = WORDS.replace("words as (select doc_id, unnest(", "words as (select doc_id, generate_subscripts(ws, 1) as place, unnest(ws) as word from (select doc_id, ").replace(") as word from documents)", " as ws from documents))")
 LEXICON = """
@@ -34,23 +35,28 @@ counted as (select doc_id, term, count(*) as tf from terms group by all),
 frequent as (select term, count(*) as df from counted group by term having count(*) >= 2)"""
 
 
-def hashed_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """About half of the words, with tags by their md5."""
-    digit = lambda i: F.substring(F.md5("word"), i, 1)
+def hashed_lexicon(words: DataFrame) -> DataFrame:
+    """About half of the distinct words `(term)`, with tags by their md5."""
+    digit = lambda i: F.substring(F.md5("term"), i, 1)
     pos = F.when(digit(2) < "6", "NOUN").when(digit(2) < "b", "ADJ").otherwise("VERB")
-    return word_rows(spark, sf_dir).select("word").distinct().where(digit(1) < "8").select(F.col("word").alias("token"), pos.alias("pos"))
+    return words.where(digit(1) < "8").select(F.col("term").alias("token"), pos.alias("pos"))
+
+
+def distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words `(term)` of all texts, written once."""
+    return materialize(word_rows(spark, sf_dir).select(F.col("word").alias("term")).distinct(), "distinct-words")
 
 
 @register(sql_with(PLACED, LEXICON, GUESSED, select="select word as term, pos from tags"))
 def guessed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = word_rows(spark, sf_dir).select(F.col("word").alias("term"))
-    return phrases.guessed_tags(words, hashed_lexicon(spark, sf_dir))
+    words = distinct_words(spark, sf_dir)
+    return phrases.guessed_tags(words, hashed_lexicon(words))
 
 
 @register(sql_with(PLACED, LEXICON, GUESSED, MATCHED, select="select doc_id, term, tf, df from counted join frequent using (term)"))
 def noun_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases of adjectives and nouns that stand in two documents or more."""
-    lexicon = hashed_lexicon(spark, sf_dir)
+    lexicon = hashed_lexicon(distinct_words(spark, sf_dir))
     return phrases.noun_phrases(documents(spark, sf_dir), "doc_id", "text", lexicon, "<ADJ>*<NOUN>+", 2, STOP_WORDS)
 
 

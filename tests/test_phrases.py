@@ -69,3 +69,10 @@ CASES = {
 def test_published_cases(spark, text):
     row = spark.createDataFrame([(text,), (None,)], "t string").select(treebank_tokens(F.col("t")).alias("w")).collect()
     assert " ".join(row[0].w) == CASES[text] and row[1].w is None
+
+
+def test_words_and_lexicon_are_computed_once(spark):
+    words = spark.createDataFrame([("walking",), ("talking",), ("blue",), ("blue",)], "w string").select(F.lower("w").alias("term"))
+    tags = guessed_tags(words, words.where("term = 'walking'").select(F.col("term").alias("token"), F.lit("VERB").alias("pos")))
+    assert sorted(tuple(r) for r in tags.select("term", "pos").collect()) == [("blue", "NOUN"), ("talking", "VERB"), ("walking", "VERB")]
+    assert "lower(" not in tags._jdf.queryExecution().executedPlan().toString()
