@@ -79,7 +79,7 @@ def noun_phrases(
 
     Matches go from left to right, repeat as often as they can and do not overlap; stop words
     end a phrase. A word is tagged once, wherever it stands; only ids, places and words are
-    shuffled, and frequent words are spread when they meet their tag.
+    shuffled, and the tags of frequent words are broadcast.
     """
     need_columns(docs.columns, doc, text)
     phrase_pattern(pattern, [DEFAULT_TAG])  # a broken pattern is told before any work
