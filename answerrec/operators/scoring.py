@@ -402,6 +402,17 @@ def _places(scores: np.ndarray, size: int, ids: np.ndarray, users: np.ndarray, m
     return np.stack((low, high - low, size - high + earlier, np.full(len(mine), size)), axis=1)
 
 
+def held_pairs(held: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct held-out pairs that were not seen, and the seen pairs of their questions."""
+    pairs = held.select("question_id", "user_id").distinct()
+    if seen is None:
+        return pairs, None
+    # only pairs of held-out questions matter
+    asked = pairs.select("question_id").distinct()
+    seen = seen.select("question_id", "user_id").distinct().join(asked, "question_id", "left_semi")
+    return pairs.join(seen, ["question_id", "user_id"], "left_anti"), seen
+
+
 def held_out_positions(
     questions: DataFrame,
     users: DataFrame,
@@ -417,12 +428,19 @@ def held_out_positions(
 
     A pair that was also seen is no held-out pair.
     """
-    pairs = held.select("question_id", "user_id").distinct()
-    if seen is not None:
-        # only pairs of held-out questions matter
-        asked = pairs.select("question_id").distinct()
-        seen = seen.select("question_id", "user_id").distinct().join(asked, "question_id", "left_semi")
-        pairs = pairs.join(seen, ["question_id", "user_id"], "left_anti")
+    return positions_of(questions, users, *held_pairs(held, seen), question_block, user_block, held_per_part)
+
+
+def positions_of(
+    questions: DataFrame,
+    users: DataFrame,
+    pairs: DataFrame,
+    seen: DataFrame | None,
+    question_block: int = QUESTION_BLOCK,
+    user_block: int = HELD_USER_BLOCK,
+    held_per_part: int = HELD_PER_PART,
+) -> DataFrame:
+    """`held_out_positions` of pairs from `held_pairs`."""
     # the scored pairs feed three branches below, so they are computed once
     scored = materialize(score_pairs(pairs, questions, users), "held-scores")
     # a question with very many held-out pairs is split into parts that meet all users each
